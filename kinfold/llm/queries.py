@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.mixing import mix_sources
+from kinfold.llm.setsketch import near_duplicates
 from kinfold.llm.sharding import shard_by_bytes
 
 
@@ -26,6 +27,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("position", "doc_id")
 
 
+def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=8)
     return sharded.select(
@@ -46,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_shard_by_bytes": op6_shard_by_bytes,
     "op10_line_dedup": op10_line_dedup,
 }
