@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.line_dedup import dedup_lines
+from kinfold.llm.media import media_columns
 from kinfold.llm.mixing import mix_sources
+from kinfold.llm.packing import pack_documents
 from kinfold.llm.setsketch import near_duplicates
 from kinfold.llm.sharding import shard_by_bytes
 
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -39,6 +45,10 @@ def op6_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_chars=40, min_docs=5).select(
@@ -50,8 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pack": op2_pack,
     "op4_mix_sources": op4_mix_sources,
     "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_shard_by_bytes": op6_shard_by_bytes,
+    "op9_media_columns": op9_media_columns,
     "op10_line_dedup": op10_line_dedup,
 }
