@@ -9,6 +9,7 @@ from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.media import media_columns
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.packing import pack_documents
+from kinfold.llm.quality import quality_scores
 from kinfold.llm.setsketch import near_duplicates
 from kinfold.llm.sharding import shard_by_bytes
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -60,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_pack": op2_pack,
     "op4_mix_sources": op4_mix_sources,
     "op5_setsketch_dedup": op5_setsketch_dedup,

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at once: what one task holds beside its Arrow batch.
 BLOCK = 1 << 18
@@ -143,7 +144,7 @@ def distinct_by_doc(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.nd
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, so that working arrays stay bounded."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
         lo = 0
         while lo < batch.num_rows:
