@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm.langid import language_labels
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.media import media_columns
 from kinfold.llm.mixing import mix_sources
@@ -50,6 +51,10 @@ def op6_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_labels(_table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).drop("digest")
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_shard_by_bytes": op6_shard_by_bytes,
+    "op7_language_id": op7_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_line_dedup": op10_line_dedup,
 }
