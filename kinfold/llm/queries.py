@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm.ann import nearest_neighbours
 from kinfold.llm.langid import language_labels
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.media import media_columns
@@ -27,6 +28,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -72,6 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pack": op2_pack,
+    "op3_graph_ann": op3_graph_ann,
     "op4_mix_sources": op4_mix_sources,
     "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_shard_by_bytes": op6_shard_by_bytes,
