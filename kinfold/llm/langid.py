@@ -291,6 +291,21 @@ def identify_languages(
     return slim.mapInArrow(label, f"__id {id_type}, lang_pred string, score double").withColumnRenamed("__id", id_col)
 
 
+def keep_identified(
+    docs: DataFrame, names: list[str], params: Params, least: float, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a letter and a language with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((names, params))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, params = shared.value
+        for batch in small_batches(batches, text_col, 4 << 20):
+            best = pooled(params, batch.column(text_col)).max(1) if names else np.zeros(batch.num_rows)
+            yield batch.filter(pa.array(best >= least))
+
+    return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(keep, docs.schema)
+
+
 def not_held_out(docs: DataFrame, folds: int = 5) -> DataFrame:
     """(__id, __text, __lang) of the documents to learn from: crc32 of the id, modulo the folds, not 0."""
     fold = F.crc32(F.col("doc_id").cast("string")) % folds

@@ -76,6 +76,17 @@ def cycled_ramps(sources: DataFrame) -> DataFrame:
     )
 
 
+def _position(before: Column) -> Column:
+    """When a source's demand reaches ``before`` words.
+
+    It grows as w0 t + (w1 - w0) t^2 / 2, up to the target at t = 1; solved for t.
+    """
+    filled = F.least(before / F.col("__target"), F.lit(1.0)) * (F.col("__w0") + F.col("__w1")) / 2
+    slope = F.col("__w1") - F.col("__w0")
+    root = F.sqrt(F.greatest(F.col("__w0") * F.col("__w0") + 2 * slope * filled, F.lit(0.0)))
+    return F.round(F.when(slope == 0, filled / F.col("__w0")).otherwise((root - F.col("__w0")) / slope), 9) + F.lit(0.0)
+
+
 def mix_sources(
     docs: DataFrame,
     ramps=cycled_ramps,
@@ -92,7 +103,9 @@ def mix_sources(
     ``{prefix}source_size``, ``{prefix}target``, ``{prefix}taken`` words (whole
     passes over the source, then its hashed prefix up to the target; the last
     document is taken in part), ``{prefix}position`` in [0, 1] of the first copy
-    (null when none is taken).  Reruns agree: the order is by md5 of the id.
+    (null when none is taken), ``{prefix}copies``, the words taken rounded to whole
+    documents, and ``{prefix}positions``, one for each copy.  Reruns agree: the
+    order is by md5 of the id.
 
     Defined cases: null text has size 0; a null source is a source of its own,
     the last; documents of size 0 are taken 0 words; rows that repeat an id count
@@ -141,12 +154,9 @@ def mix_sources(
     passes = F.least(F.floor(F.col("__target") / F.col("__ssize")), F.lit(max_repeat)).cast("long")
     rest = F.round(F.col("__target") - F.col("__passes") * F.col("__ssize")).cast("long")
     extra = F.greatest(F.least(F.col("__rest") - F.col("__before"), F.col("__size")), F.lit(0).cast("long"))
-    # demand grows as w0 t + (w1 - w0) t^2 / 2 over its integral; solve it for t
-    filled = F.least(F.col("__before") / F.col("__target"), F.lit(1.0)) * (F.col("__w0") + F.col("__w1")) / 2
-    slope = F.col("__w1") - F.col("__w0")
-    position = F.when(slope == 0, filled / F.col("__w0")).otherwise(
-        (F.sqrt(F.greatest(F.col("__w0") * F.col("__w0") + 2 * slope * filled, F.lit(0.0))) - F.col("__w0")) / slope
-    )
+    copies = F.when(
+        F.col("__size") > 0, F.col("__passes") + (2 * extra >= F.col("__size")).cast("long")
+    ).otherwise(F.lit(0).cast("long"))
     return (
         rows.withColumn("__run", F.sum("__size").over(within.rowsBetween(W.unboundedPreceding, 0)))
         .join(starts, F.col("__tsrc").eqNullSafe(F.col("__bsrc")) & (F.col("__bucket") == F.col("__bno")))
@@ -161,11 +171,23 @@ def mix_sources(
             F.col("__ssize").alias(f"{prefix}source_size"),
             F.col("__target").alias(f"{prefix}target"),
             F.col("__taken").alias(f"{prefix}taken"),
-            (F.round(F.when(F.col("__taken") > 0, position), 9) + F.lit(0.0)).alias(f"{prefix}position"),
+            F.when(F.col("__taken") > 0, _position(F.col("__before"))).alias(f"{prefix}position"),
+            copies.alias(f"{prefix}copies"),
+            F.when(
+                copies > 0,
+                F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda c: _position(F.col("__before") + c * F.col("__ssize"))),
+            ).otherwise(F.array().cast("array<double>")).alias(f"{prefix}positions"),
         )
     )
 
 
-def training_order(mixed: DataFrame, prefix: str = "mix_", id_col: str = "doc_id") -> DataFrame:
-    """The taken documents, range-sorted by training position."""
-    return mixed.where(F.col(f"{prefix}taken") > 0).orderBy(f"{prefix}position", id_col)
+def training_order(docs: DataFrame, mixed: DataFrame, prefix: str = "mix_", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as many copies as the mixture takes, range-sorted by training position.
+
+    Ids have to be unique here: the copies are joined to the documents by id.
+    """
+    taken = mixed.where(F.col(f"{prefix}copies") > 0).select(
+        F.col(id_col).alias("__taken"), F.explode(f"{prefix}positions").alias("__at")
+    )
+    own = [docs[c] for c in docs.columns]
+    return docs.join(taken, docs[id_col] == F.col("__taken")).orderBy("__at", "__taken").select(*own)
