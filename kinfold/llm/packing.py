@@ -9,12 +9,17 @@ tree's root stays bounded; all others are done too.  No piece is ever lost.
 
 from __future__ import annotations
 
+import base64
+import re
+import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,54 +27,84 @@ from tokenizers import Tokenizer
 
 from kinfold.plans.staging import stage
 
-CACHE = 400_000
+#: Chunks that a worker remembers.
+CACHE = 700_000
+
+#: White space next to white space, or signs that only Python takes for it.
+_TOUCHING = re.compile(r"\s\s|[\x1c-\x1f]")
+_CHUNK = re.compile(r" ?\S+|\s")
 
 
 class ByteEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE file.
 
-    The byte-level pattern starts a new piece at every single space before
-    anything else, so a text is the sum of its space-separated chunks, each with
-    the space before it; their ids are remembered.  Texts in which a space touches
-    other white space go through the tokenizer whole.
+    The byte-level pattern starts a new piece at every space before anything else
+    and keeps a lone line break apart, so a text is the sum of such chunks; their
+    ids are remembered, as most words come again.  A run of letters, with or
+    without a space before it, is one piece whatever the pattern, and goes to the
+    same vocabulary's rank file, which is the faster reader of single words.  Texts
+    in which white space touches white space go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.words = tiktoken.Encoding(
+            "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}
+        )
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.encode_ordinary(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of letters, or of letters and then signs; None: ask the tokenizer."""
+        end = len(chunk)
+        while end and not chunk[end - 1].isalnum():
+            end -= 1
+        word = chunk[:end]
+        if not (word[1:] if word[:1] == " " else word).isalpha():
+            return None
+        ids = self.known.get(word) or self._word(word)
+        if end < len(chunk):
+            signs = chunk[end:]
+            if signs not in self.known:
+                self.known[signs] = self._whole([signs])[0]
+            ids += self.known[signs]
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [self._chunks(x) for x in texts]
+        split = [None if _TOUCHING.search(x) else _CHUNK.findall(x) for x in texts]
         plain = [i for i, x in enumerate(split) if x is None]
-        whole = dict(zip(plain, self._ids([texts[i] for i in plain])))
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({y for x in split if x for y in x} - self.known.keys())
-        self.known.update(zip(new, self._ids(new)))
+        whole = dict(zip(plain, self._whole([texts[i] for i in plain])))
         known = self.known
+        new = {y for x in split if x for y in x} - known.keys()
+        if len(known) > CACHE:  # rare words come on top for this call only
+            known = ChainMap({}, known)
+        others = []
+        for y in new:
+            ids = self._chunk(y)
+            if ids is None:
+                others.append(y)
+            else:
+                known[y] = ids
+        known.update(zip(others, self._whole(others)))
         return [whole[i] if x is None else b"".join([known[y] for y in x]) for i, x in enumerate(split)]
 
-    @staticmethod
-    def _chunks(text: str) -> list[str] | None:
-        parts = text.split(" ")
-        # white space next to a space shows as a chunk that is empty or has white space at an end
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 
-def encoder(path: str) -> ByteEncoder:
+def encoder(path: str, ranks: str) -> ByteEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path)
+        _ENCODERS[path] = ByteEncoder(path, ranks)
     return _ENCODERS[path]
 
 
@@ -136,9 +171,9 @@ def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]
         at, piece, step = at + step, piece + 1, capacity
 
 
-def _local(path: str, capacity: int, nearly: float, carry: int, chunk: int) -> Callable:
+def _local(path: str, ranks: str, capacity: int, nearly: float, carry: int, chunk: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, items, made, id_type = encoder(path), [], 0, None
+        tokens, items, made, id_type = encoder(path, ranks), [], 0, None
 
         def packed():
             bins = best_fit([x[3] for x in items], capacity)
@@ -185,6 +220,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer: str | None = None,
+    ranks: str | None = None,
     nearly: float = 0.998,
     carry: int = 20_000,
     fan_in: int = 8,
@@ -200,14 +236,15 @@ def pack_documents(
     are packed row by row; texts of any length are cut whole; an empty table gives
     an empty table.
 
-    Every level is a table in the shared folder, so a lost executor costs its
+    ``tokenizer`` and ``ranks`` are the same vocabulary's two files; by default the
+    installed 50k byte-level BPE.  Every level is a table in the shared folder, so a lost executor costs its
     level's tasks only and numbers given to sequences stay.  A task holds at most
     ``chunk`` pieces, or ``fan_in * carry`` bins.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     id_type = slim.schema["__id"].dataType.simpleString()
-    level = stage(slim.mapInArrow(_local(path, capacity, nearly, carry, chunk), _schema(id_type)), "pack")
+    level = stage(slim.mapInArrow(_local(path, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity, nearly, carry, chunk), _schema(id_type)), "pack")
     done = [level.where("NOT __open")]
     groups = (level.agg(F.max("__part")).first()[0] or 0) + 1
     number = 0
