@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.ann import nearest_neighbours
 from kinfold.llm.langid import language_labels
 from kinfold.llm.line_dedup import dedup_lines
+from kinfold.llm.lm import backoff_scores
 from kinfold.llm.media import media_columns
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.packing import pack_documents
@@ -61,6 +62,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_labels(_table(spark, sf_dir, "documents"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff_scores(_table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).drop("digest")
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op5_setsketch_dedup": op5_setsketch_dedup,
     "op6_shard_by_bytes": op6_shard_by_bytes,
     "op7_language_id": op7_language_id,
+    "op8_stupid_backoff": op8_stupid_backoff,
     "op9_media_columns": op9_media_columns,
     "op10_line_dedup": op10_line_dedup,
 }
