@@ -206,12 +206,18 @@ def train_languages(
 
     The bound: of each language the ``per_language`` documents with the smallest id
     hashes, and of each of them ``windows_each`` windows.  The ids are chosen from a
-    table without texts, by partial ranks in every task.
+    table without texts.
     """
-    order = W.partitionBy("__lang").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id")
+    hashed = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 31))
+    order = W.partitionBy("__lang").orderBy("__hash", "__id")
     known = docs.where(F.col("__text").isNotNull() & F.col("__lang").isNotNull() & F.col("__id").isNotNull())
+    # a count first tells below which hash a language's smallest lie, so few rows reach its ranks
+    counts = stage(known.groupBy("__lang").agg(F.count("*").alias("__count")), "languages")
+    below = F.when(F.col("__count") > 4 * per_language + 4000, (2 * per_language + 1000) / F.col("__count")).otherwise(1.0)
     chosen = (
-        known.select("__id", "__lang").withColumn("__rank", F.row_number().over(order))
+        known.select("__id", "__lang", hashed.alias("__hash")).join(counts, "__lang")
+        .where(F.col("__hash") < below * float(1 << 31))
+        .withColumn("__rank", F.row_number().over(order))
         .where(F.col("__rank") <= per_language).select("__id").distinct()
     )
     rows = known.join(stage(chosen, "chosen"), "__id", "left_semi").select(

@@ -72,22 +72,30 @@ def features(batch: pa.RecordBatch, text: str, slots: int = SLOTS) -> tuple[np.n
     return slot, value / norm[docs], np.searchsorted(docs, np.arange(rows + 1))
 
 
-def _bounded_sample(labelled: DataFrame, most: int) -> DataFrame:
-    """The ``most`` rows with the smallest id hashes: the same ones whatever the partitions."""
-    return labelled.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most)
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest id hashes: the same ones whatever the partitions.
+
+    A count first tells below which hash they all lie, so that the tasks' own
+    smallest, which only one task can merge, are few however many tasks there are.
+    """
+    hashed = F.xxhash64(F.col("__id").cast("string"))
+    n = rows.count()
+    if n > 4 * most + 4000:
+        part = (2 * most + 1000) / n  # the chance of fewer than ``most`` is nil
+        rows = rows.where(F.pmod(hashed, F.lit(1 << 31)) < int(part * (1 << 31)))
+        hashed = F.pmod(hashed, F.lit(1 << 31))
+    return rows.orderBy(hashed, "__id").limit(most)
 
 
 def train_quality(
-    labelled: DataFrame, sample: int = 6000, epochs: int = 4, sample_chars: int = 20_000, seed: int = 5
+    labelled: DataFrame, epochs: int = 4, sample_chars: int = 20_000, seed: int = 5
 ) -> np.ndarray:
-    """Weights (SLOTS and the bias) from rows (__id, __text, __label).
+    """Weights (SLOTS and the bias) from rows (__id, __text, __label), a bounded_sample() of all.
 
-    ``sample`` bounds the training rows and ``sample_chars`` what a training text
-    contributes, so the one task that trains has bounded work; scoring reads
-    whole texts.  Rows without a label are left out; without rows all weights are 0.
+    ``sample_chars`` bounds what a training text contributes, so the one task that
+    trains has bounded work; scoring reads whole texts.  Rows without a label are left out; without rows all weights are 0.
     """
-    rows = _bounded_sample(labelled.where(F.col("__label").isin(0, 1)), sample)
-    rows = rows.select(F.substring("__text", 1, sample_chars).alias("__text"), F.col("__label").cast("int"))
+    rows = labelled.where(F.col("__label").isin(0, 1)).select(F.substring("__text", 1, sample_chars).alias("__text"), F.col("__label").cast("int"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, values, labels = [], [], []
@@ -145,11 +153,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, folds
         .groupBy("doc_id").agg(F.min("quality").alias("__label"))
     )
     chosen = known.select(F.col("doc_id").alias("__id"), "__label")
-    chosen = _bounded_sample(chosen, sample)
+    chosen = bounded_sample(chosen, sample)
     train = docs.select("doc_id", F.col("text").alias("__text")).join(
         chosen, F.col("doc_id") == F.col("__id")
     ).select("__id", "__text", "__label")
-    weights = train_quality(train, sample)
+    weights = train_quality(train)
     return score_quality(docs.select("doc_id", "text"), weights).select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False)).alias("held_out"),
