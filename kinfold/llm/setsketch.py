@@ -12,9 +12,10 @@ Large groups are not expanded into all pairs:
 1. documents with the same set are one class, of which one document goes on;
 2. each band's bucket is compared with its most central member only (the one
    with the most company over all bands), and the links are joined to components;
-3. what is left are bucket mates in different components.  Of these only pairs
-   go on that can reach the threshold, seen from their sizes and from how many
-   shingles each has that no other such document holds: an exact bound.
+3. what is left are bucket mates in different components.  In small buckets these
+   are pairs like others; in large ones blocks of members outside the bucket's
+   largest component meet blocks of all members, with full sets, and give back
+   only what joins components.
 
 No bucket, partner or candidate is capped.
 """
@@ -42,6 +43,11 @@ RATE = 20.0
 LIMIT = 65535
 #: An estimate this far below the threshold is over five standard errors away.
 MARGIN = 0.2
+#: Buckets with more members than this are compared block by block.
+FEW = 32
+#: Members of a block, and shingles in it (but 8 members at least).
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 1 << 18
 
 _MULTIPLY = np.random.default_rng(41).integers(1, 2**63, REGISTERS, dtype=np.uint64) | np.uint64(1)
 
@@ -160,8 +166,8 @@ def near_duplicates(
     Defined cases: texts with fewer than five words are one shingle, the whole
     sequence; null texts and texts without words have an empty set and link with
     nothing; a row with a null id links with nothing, has a null component and is
-    kept; rows that repeat an id with the same text are one document; empty
-    tables give empty tables.  The ids must be of an ordered type.
+    kept; rows that repeat an id are one document, so they must have one text;
+    empty tables give empty tables.  The ids must be of an ordered type.
 
     Bands of 4 out of 128 registers miss a pair at 0.85 with probability
     (1 - 0.85^4)^32 < 1e-10.
@@ -182,11 +188,11 @@ def near_duplicates(
     )
     members = _bucket_members(reps)
     sets = stage(
-        texts.join(members.select("__id", "__regs").distinct(), "__id").mapInArrow(
-            _sets, f"__id {id_type}, __set array<long>, __regs binary"
-        ),
+        texts.join(reps.join(members.select("__id").distinct(), "__id").select("__id", "__regs"), "__id")
+        .dropDuplicates(["__id"])
+        .mapInArrow(_sets, f"__id {id_type}, __set array<long>, __regs binary"),
         "sets",
-    ).dropDuplicates(["__id"])
+    )
     pivots = members.groupBy("__key").agg(
         F.max_by(F.struct(F.col("__id").alias("b"), F.col("__n").alias("__bn")), F.struct("__company", F.xxhash64("__id"))).alias("__pivot")
     ).select("__key", "__pivot.*")
@@ -196,8 +202,8 @@ def near_duplicates(
     )
     links = stage(_verified(stars, sets, percent), "links")
     first = connected_components(links)
-    rest = _rest(members, first, sets, percent)
-    more = stage(_verified(rest, sets, percent), "links")
+    mixed = _mixed(members, first)
+    more = stage(_verified(_few(mixed, percent), sets, percent).union(_many(mixed, sets, percent)), "links")
     if more.isEmpty():
         final = first
     else:
@@ -223,61 +229,124 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
 
 
 def _bucket_members(reps: DataFrame) -> DataFrame:
-    """(__id, __n, __regs, __band, __key, __company) for members of buckets of two or more."""
-    banded = reps.select("__id", "__n", "__regs", F.posexplode(F.array(*_band_keys())).alias("__band", "__key"))
+    """(__id, __n, __key, __company) for members of buckets of two or more; a key tells its band, too."""
+    banded = reps.select("__id", "__n", F.explode(F.array(*_band_keys())).alias("__key"))
     shared = stage(
         banded.groupBy("__key").agg(F.count("*").alias("__mates")).where("__mates > 1"), "buckets"
     )
     members = stage(banded.join(shared, "__key"), "members")
     company = members.groupBy("__id").agg(F.sum("__mates").alias("__company"))
-    return stage(members.join(company, "__id").drop("__mates"), "members")
+    return stage(members.join(company, "__id"), "members")
 
 
-def _rest(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket mates in different components that can still reach the threshold.
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of buckets with several components: (__id, __n, __key, __mates, __comp, __main, __block, __blocks).
 
-    A document with ``u`` shingles that no other document of these buckets holds
-    shares at most ``n - u`` with any of them, whatever its partner.
+    ``__main`` is the bucket's largest component, which needs no comparison inside.
     """
     labelled = stage(
         members.join(components, F.col("__id") == F.col("node"), "left").select(
-            "__id", "__n", "__key", "__band", F.coalesce("component", "__id").alias("__comp")
+            "__id", "__n", "__key", "__mates", F.coalesce("component", "__id").alias("__comp")
         ),
         "labelled",
     )
-    mixed = labelled.groupBy("__key").agg(
-        F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi"), F.min("__n").alias("__least"),
-    ).where("__lo <> __hi")
-    mates = stage(labelled.join(mixed.select("__key", "__least"), "__key"), "mates")
-    involved = mates.select("__id").distinct()
-    owned = (
-        sets.join(involved, "__id").select("__id", F.explode("__set").alias("__s"))
-        .groupBy("__s").agg(F.count("*").alias("__docs"), F.min("__id").alias("__id"))
-        .where("__docs = 1").groupBy("__id").agg(F.count("*").alias("__alone"))
-    )
-    shared = F.col("__n") - F.coalesce("__alone", F.lit(0))
-    # with the smallest partner of the bucket, or one inside the document
-    partner = F.greatest("__least", "__shared")
-    able = stage(
-        mates.join(owned, "__id", "left").withColumn("__shared", shared)
-        .where(100 * F.col("__shared") >= percent * (F.col("__n") + partner - F.col("__shared")))
-        .select("__id", "__n", "__key", "__band", "__comp", "__shared"),
-        "able",
-    )
-    # the largest component of a bucket needs no comparison inside, so only the others ask
-    sizes = able.groupBy("__key", "__comp").agg(F.count("*").alias("__k"))
-    largest = sizes.groupBy("__key").agg(F.max_by("__comp", F.struct("__k", "__comp")).alias("__main"))
-    asking = able.join(largest, "__key").where(F.col("__comp") != F.col("__main"))
-    left = asking.select("__key", "__main", *[F.col(f"__{x}").alias(f"a_{x}") for x in ("id", "n", "comp", "shared")])
-    right = able.select("__key", *[F.col(f"__{x}").alias(f"b_{x}") for x in ("id", "n", "comp", "shared")])
-    both = F.least("a_shared", "b_shared")
+    shares = labelled.groupBy("__key", "__comp").agg(F.count("*").alias("__k"), F.max("__n").alias("__most"))
+    mixed = shares.groupBy("__key").agg(
+        F.count("*").alias("__comps"),
+        F.max_by("__comp", F.struct("__k", "__comp")).alias("__main"),
+        F.max("__most").alias("__most"),
+    ).where("__comps > 1")
+    rows = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES / F.col("__most"))))
+    return stage(
+        labelled.join(mixed, "__key")
+        .withColumn("__blocks", F.ceil(F.col("__mates") / rows).cast("int"))
+        .withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
+        .drop("__comps", "__most"),
+        "mixed",
+    )
+
+
+def _few(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components of buckets with few members."""
+    few = mixed.where(F.col("__mates") <= FEW)
+    side = lambda k: few.select("__key", *[F.col(f"__{x}").alias(f"{k}_{x}") for x in ("id", "n", "comp")])
     return (
-        left.join(right, "__key")
-        .where(
-            (F.col("a_comp") != F.col("b_comp"))
-            & ((F.col("b_comp") == F.col("__main")) | (F.col("a_id") < F.col("b_id")))
-            & (100 * both >= percent * (F.col("a_n") + F.col("b_n") - both))
-        )
+        side("a").join(side("b"), "__key")
+        .where((F.col("a_comp") != F.col("b_comp")) & (F.col("a_id") < F.col("b_id")))
+        .where(_sizes_allow("a_n", "b_n", percent))
         .select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         .distinct()
-    )
+    )
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted distinct arrays, by blocks of common values."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    common = np.intersect1d(a, b)
+    at_a, at_b = (np.searchsorted(common, x) for x in (a, b))
+    in_a, in_b = (np.append(common, 0)[at] == x if len(common) else np.zeros(len(x), bool) for at, x in ((at_a, a), (at_b, b)))
+    in_a &= at_a < len(common)
+    in_b &= at_b < len(common)
+    row_a, at_a, row_b, at_b = row_a[in_a], at_a[in_a], row_b[in_b], at_b[in_b]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), width):
+        dense = []
+        for rows, at, n in ((row_a, at_a, len(left)), (row_b, at_b, len(right))):
+            own = (at >= lo) & (at < lo + width)
+            m = np.zeros((n, width), np.float32)
+            m[rows[own], at[own] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _many(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in buckets with many members, compared block by block on full sets.
+
+    Members outside the bucket's largest component meet all others.  A block holds
+    BLOCK_ROWS members or BLOCK_SHINGLES shingles; a pair of blocks gives what its
+    links join, no more rows than it has members.
+    """
+    many = mixed.where(F.col("__mates") > FEW).join(sets.select("__id", "__set"), "__id")
+    many = many.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    asks = many.where(F.col("__comp") != F.col("__main"))
+    key = ["__key", "__i", "__j"]
+    left = asks.withColumn("__i", F.col("__block")).withColumn("__j", F.col("__other"))
+    right = many.withColumn("__i", F.col("__other")).withColumn("__j", F.col("__block"))
+    pick = ["__id", "__comp", "__set"]
+    id_type = mixed.schema["__id"].dataType.simpleString()
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []})
+        if not len(a) or not len(b):
+            return none
+        a = a.rename(columns=lambda c: c[1:])
+        sets_a, sets_b = list(a["__set"]), list(b["__set"])
+        n_a, n_b = (np.array([len(s) for s in x]) for x in (sets_a, sets_b))
+        both = overlaps(sets_a, sets_b)
+        linked = 100 * both >= percent * (n_a[:, None] + n_b[None, :] - both)
+        linked &= a["__comp"].to_numpy()[:, None] != b["__comp"].to_numpy()[None, :]
+        if not linked.any():
+            return none
+        # smallest labels over the links of this pair of blocks: a tree in place of all links
+        id_a, id_b = a["__id"].to_numpy(), b["__id"].to_numpy()
+        rank = {x: k for k, x in enumerate(sorted({*id_a.tolist(), *id_b.tolist()}))}
+        names = list(rank)
+        lab_a, lab_b = (np.array([rank[x] for x in y.tolist()]) for y in (id_a, id_b))
+        own_a, own_b = lab_a.copy(), lab_b.copy()
+        while True:
+            low = np.minimum(lab_a, np.where(linked, lab_b[None, :], len(names)).min(1))
+            low_b = np.minimum(lab_b, np.where(linked, low[:, None], len(names)).min(0))
+            if (low == lab_a).all() and (low_b == lab_b).all():
+                break
+            lab_a, lab_b = low, low_b
+        out = {(names[x], names[y]) for o, l in ((own_a, lab_a), (own_b, lab_b)) for x, y in zip(o, l) if x != y}
+        return pd.DataFrame({"a": [x for x, _ in out], "b": [y for _, y in out]})
+
+    # the two sides come from one table, so the left one gets columns of its own
+    left = left.select(*[F.col(c).alias(f"l{c}") for c in key], *[F.col(c).alias(f"l{c}") for c in pick])
+    return (
+        left.groupBy(*[f"l{c}" for c in key]).cogroup(right.select(*key, *pick).groupBy(*key))
+        .applyInPandas(compare, f"a {id_type}, b {id_type}")
+    )
