@@ -125,7 +125,7 @@ def build_graph(
             extra = np.full((len(target), count.max(initial=0)), -1)
             extra[np.repeat(np.arange(len(target)), count), slot] = source
             every = np.concatenate([graph[target], extra], 1)
-            full = np.array([len(set(r[r >= 0].tolist())) > 2 * degree for r in every])
+            full = np.array([len(set(r[r >= 0].tolist())) > 2 * degree for r in every], bool)
             if full.any():
                 graph[target[full], :degree] = robust_prune(x, target[full], every[full], degree, relaxed)
                 graph[target[full], degree:] = -1
