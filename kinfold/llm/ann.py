@@ -207,7 +207,7 @@ def nearest_neighbours(
         graph, entry = build_graph(np.stack(pdf["__vec"]))
         pdf["__node"] = np.arange(len(pdf))
         pdf["__entry"] = entry
-        pdf["__near"] = [row[row >= 0] for row in graph]
+        pdf["__near"] = [row[row >= 0].tolist() for row in graph]
         return pdf[["__shard", "__dim", "__node", "__entry", "__vec", "__ids", "__near"]]
 
     graphs = stage(
@@ -222,7 +222,7 @@ def nearest_neighbours(
 
     def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(asked):
-            return pd.DataFrame({c: [] for c in ("__q1", "__q2", "score", "__ids")})
+            return pd.DataFrame([], columns=["__q1", "__q2", "score", "__ids"], dtype=object)
         index = index.sort_values("__node", ignore_index=True)
         x, q = np.stack(index["__vec"]), np.stack(asked["__qvec"])
         graph = np.full((len(x), max(1, max(map(len, index["__near"])))), -1)

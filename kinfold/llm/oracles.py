@@ -74,10 +74,10 @@ WITH d AS (
 ), cut AS (
   SELECT k, CASE WHEN hi - lo > 0.01 * total / 8
                  THEN CASE WHEN c - b <= e - c THEN b ELSE e END
-                 ELSE CASE WHEN c - lo <= hi - c THEN lo ELSE hi END END AS at
+                 ELSE CASE WHEN c - lo <= hi - c THEN lo ELSE hi END END AS place
   FROM t JOIN g ON b <= c AND e > c
 ), s AS (
-  SELECT doc_id, size, n, (SELECT CAST(count(*) AS INTEGER) FROM cut WHERE at <= g.b) AS shard FROM g
+  SELECT doc_id, size, n, (SELECT CAST(count(*) AS INTEGER) FROM cut WHERE place <= g.b) AS shard FROM g
 )
 SELECT doc_id, size, shard, 'bytes' AS law, n - min(n) OVER (PARTITION BY shard) AS slot,
        CAST(NULL AS INTEGER) AS grown_shard
