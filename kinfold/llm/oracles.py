@@ -98,7 +98,7 @@ WITH d AS (
                       WHEN b.n >= 2 THEN ln(b.n / c.n) ELSE ln(0.4::DOUBLE) + ln(u.n / (SELECT count(*) FROM t)) END AS v
   FROM p JOIN u USING (word) LEFT JOIN b ON b.prev = p.prev AND b.word = p.word LEFT JOIN c ON c.prev = p.prev
 )
-SELECT doc_id, len(w) AS n_words, round(coalesce(x, 0), 6) AS log_score, round(x / nullif(len(w), 0), 6) AS mean_log_score
+SELECT doc_id, len(w) AS n_words, round(coalesce(x, 0), 4) AS log_score, round(x / nullif(len(w), 0), 6) AS mean_log_score
 FROM d LEFT JOIN (SELECT doc_id, sum(v) AS x FROM s GROUP BY doc_id) USING (doc_id)
 """
 
