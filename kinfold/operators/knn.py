@@ -5,12 +5,20 @@ Data is (id, obj), queries are (qid, qobj).  Results are (qid, rank, id, dist, e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.functions.metrics import Metric, metric_of
-from kinfold.plans.pairs import against_all
+from kinfold.functions.metrics import Metric, l2, metric_of
+from kinfold.plans.pairs import BROADCAST_QUERIES, against_all
+
+#: Numbers in the query vectors that go to every task: 32 MiB.
+BROADCAST_NUMBERS = 4 << 20
 
 
 def top_k(distances: DataFrame, k: int, exact: bool = True) -> DataFrame:
@@ -27,15 +35,68 @@ def top_k(distances: DataFrame, k: int, exact: bool = True) -> DataFrame:
 
 
 def distances(data: DataFrame, queries: DataFrame, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
+    data, queries = data.where("obj IS NOT NULL"), queries.where("qobj IS NOT NULL")
     pairs = against_all(data.select("id", "obj"), queries.select("qid", "qobj"))
     if exclude_self:
         pairs = pairs.where(F.col("id") != F.col("qid"))
     return pairs.select("qid", "id", metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist"))
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    if pc.any(pc.not_equal(pc.list_value_length(column), width)).as_py():
+        raise ValueError("vectors of unequal length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _l2_in_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame | None:
+    """(qid, id, dist): of every batch of rows each query's k nearest, by matrix products.
+
+    The products only choose, with room for rounding; distances are then summed as
+    l2() does.  None if the queries are too many or too long to send to every task.
+    """
+    asked = queries.select("qid", "qobj").where("qobj IS NOT NULL")
+    size = asked.agg(F.count("*"), F.sum(F.size("qobj")), F.max(F.size("qobj"))).first()
+    if not size[0] or size[0] > BROADCAST_QUERIES or size[1] > BROADCAST_NUMBERS or not size[2]:
+        return None
+    found = asked.toArrow()
+    width = size[2]
+    table = _matrix(found.column("qobj").combine_chunks(), width)
+    shared = data.sparkSession.sparkContext.broadcast((found.column("qid").to_numpy(), table))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, every = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, ids = _matrix(batch.column("obj"), width), batch.column("id").to_numpy()
+            norms = (x * x).sum(1)
+            take = min(k + exclude_self, len(x))
+            for lo in range(0, len(every), 256):
+                q = every[lo : lo + 256]
+                d = norms[None, :] - 2 * q @ x.T + (q * q).sum(1)[:, None]
+                worst = np.partition(d, take - 1, 1)[:, take - 1]
+                slack = 1e-9 * (1 + norms.max() + (q * q).sum(1))
+                row, col = np.nonzero(d <= (worst + slack)[:, None])
+                total = np.zeros(len(row))
+                for j in range(width):
+                    total += (x[col, j] - q[row, j]) ** 2
+                use = ids[col] != qids[lo + row] if exclude_self else np.ones(len(row), bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[lo + row][use]), pa.array(ids[col][use]), pa.array(np.sqrt(total)[use])],
+                    names=["qid", "id", "dist"],
+                )
+
+    return data.select("id", "obj").where("obj IS NOT NULL").mapInArrow(near, "qid long, id long, dist double")
+
+
 def knn_exact(data: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """Brute-force top-k.  Queries need not come from the data; k beyond the data gives all rows."""
-    return top_k(distances(data, queries, metric, exclude_self), k)
+    """Brute-force top-k.  Queries need not come from the data; k beyond the data gives all rows.
+
+    Euclidean distance to queries that fit into every task goes by matrix products
+    over batches of rows; any other metric, or more queries, by pairs of rows.
+    """
+    blocks = _l2_in_blocks(data, queries, k, exclude_self) if metric in ("l2", l2) else None
+    return top_k(distances(data, queries, metric, exclude_self) if blocks is None else blocks, k)
 
 
 def range_search(data: DataFrame, queries: DataFrame, radius: float, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
