@@ -16,6 +16,8 @@ from kinfold.plans.staging import stage
 
 #: Pivots are held by the driver and by expressions; no more than this.
 MOST_PIVOTS = 1024
+#: Objects that a sampled traversal holds in one row.
+MOST_SAMPLE = 16_384
 
 
 def _literal(obj) -> Column:
@@ -54,6 +56,39 @@ def pivots_fft(df: DataFrame, m: int, metric: str | Metric = "l2", every: int =
     return df.sparkSession.createDataFrame(found, f"pivot int, id long, obj {kind}")
 
 
+def pivots_sampled(df: DataFrame, m: int, metric: str | Metric = "l2", sample: int = 2048) -> DataFrame:
+    """Farthest-first traversal of the ``sample`` objects with the smallest id hashes, in one job.
+
+    The rounds are a fold over an array that holds the sample, whose size is bounded
+    by the caller.  Cells are assigned to all objects afterwards, so searches stay
+    exact; the pivots are only as spread as the sample.
+    """
+    dist = metric_of(metric)
+    hashed = F.sha2(F.col("id").cast("string"), 256)
+    rows = df.select("id", "obj").where("obj IS NOT NULL").orderBy(hashed, "id").limit(min(sample, MOST_SAMPLE))
+    held = rows.agg(F.array_sort(F.collect_list(F.struct("id", "obj"))).alias("objs")).where(F.size("objs") > 0)
+    objs = F.col("objs")
+    start = F.struct(
+        F.array(F.lit(0)).alias("picked"), F.transform(objs, lambda o: F.lit(float("inf"))).alias("near"), F.lit(0).alias("last")
+    )
+
+    def step(state, _):
+        last = F.element_at(objs, state["last"] + 1)["obj"]
+        near = F.zip_with(state["near"], objs, lambda d, o: F.least(d, dist(o["obj"], last)))
+        # equal distances go to the smaller id, as the array is in order of ids
+        far = (F.array_position(near, F.array_max(near)) - 1).cast("int")
+        more = F.array_max(near) > 0
+        return F.struct(
+            F.when(more, F.concat(state["picked"], F.array(far))).otherwise(state["picked"]).alias("picked"),
+            near.alias("near"), far.alias("last"),
+        )
+
+    fold = F.aggregate(F.sequence(F.lit(1), F.lit(m - 1)) if m > 1 else F.array().cast("array<int>"), start, step)
+    picked = held.select("objs", fold["picked"].alias("picked")).select("objs", F.posexplode("picked").alias("pivot", "at"))
+    one = F.element_at(objs, F.col("at") + 1)
+    return picked.select("pivot", one["id"].alias("id"), one["obj"].alias("obj"))
+
+
 def pivots_hash(df: DataFrame, m: int, seed: str = "0") -> DataFrame:
     """m pivots in the order of a hash of their ids: the baseline to compare with."""
     order = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")), 256)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.metrics import edit, l2, sign_bits, tanimoto_bits, tanimoto_set, tokens, within_capacity
 from kinfold.operators import calibrate, identity, knn, pivots, updates
 from kinfold.plans import pruned
+from kinfold.plans.staging import stage
 
 K = 10
 #: Objects that a cell should hold.
@@ -156,8 +157,9 @@ def knn_external(spark, sf):
 
 def _pruned_points(spark, sf):
     points = _points(spark, sf)
-    _, assigned, ring = _index(points, pivots.choose_m(points.count(), CELL_ROWS))
-    return points, assigned, ring
+    chosen = stage(pivots.pivots_sampled(points, pivots.choose_m(points.count(), CELL_ROWS)), "pivots")
+    assigned = pivots.assign_cells(points, chosen)
+    return points, assigned, pivots.rings(assigned, chosen)
 
 
 def knn_pruned(spark, sf):

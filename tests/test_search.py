@@ -73,6 +73,16 @@ def test_pruned_is_exact(spark, metric, k, m, exclude):
     assert sorted_rows(pruned.knn_pruned(small, cells, ask(data), k, metric, exclude)) == want
 
 
+def test_sampled_pivots_are_farthest_first(spark):
+    for metric in KINDS:
+        data = frame(spark, metric, objects(metric, 40, 2))
+        want = [tuple(r) for r in pivots.pivots_fft(data, 7, metric).collect()]
+        got = sorted(tuple(r) for r in pivots.pivots_sampled(data, 7, metric).collect())
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    assert pivots.pivots_sampled(data.limit(0), 3, metric).count() == 0
+    assert pivots.pivots_sampled(data, 1, metric).count() == 1
+
+
 def test_range_pruned(spark):
     data = frame(spark, "l2", objects("l2", 60, 3))
     chosen = pivots.pivots_fft(data, 4)
