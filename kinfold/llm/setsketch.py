@@ -46,7 +46,7 @@ MARGIN = 0.2
 #: Buckets with more members than this are compared block by block.
 FEW = 32
 #: Members of a block, and shingles in it (but 8 members at least).
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 18
 
 _MULTIPLY = np.random.default_rng(41).integers(1, 2**63, REGISTERS, dtype=np.uint64) | np.uint64(1)
