@@ -53,16 +53,22 @@ def _runs(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    sizes = np.array([len(a) for a in arrays], "<i8")
-    return b"".join([sizes.tobytes(), *[a.tobytes() for a in arrays]])
+    """Arrays in one value, small unsigned numbers in as few bytes as their largest needs."""
+    small = [
+        a.astype(np.min_scalar_type(int(a.max(initial=0)))) if a.dtype.kind == "u" and a.dtype.itemsize < 8 else a
+        for a in arrays
+    ]
+    head = np.array([[ord(a.dtype.char), len(a)] for a in small], "<i8")
+    return b"".join([head.tobytes(), *[a.tobytes() for a in small]])
 
 
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, "<i8", len(kinds))
-    at, out = 8 * len(kinds), []
-    for n, kind in zip(sizes, kinds):
+def _unpack(blob: bytes, count: int) -> list[np.ndarray]:
+    head = np.frombuffer(blob, "<i8", 2 * count).reshape(count, 2)
+    at, out = 16 * count, []
+    for kind, n in head:
+        kind = np.dtype(chr(kind))
         out.append(np.frombuffer(blob, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+        at += int(n) * kind.itemsize
     return out
 
 
@@ -112,7 +118,11 @@ def _explode(parts: int, heavy: np.ndarray):
                 f, s, d = first[own], second[own], doc[own]
                 at = _runs(f, s)
                 n = np.diff(np.append(at, len(f))).astype("<u4")
-                rows.append((int(p), number, _pack(f[at], s[at], n, d, head_word[top], head_doc[top]), None, None))
+                f = f[at]
+                each = _runs(f)
+                followers = np.diff(np.append(each, len(f))).astype("<u4")
+                blob = _pack(f[each], followers, s[at], n, d, head_word[top], head_doc[top])
+                rows.append((int(p), number, blob, None, None))
             cols = list(zip(*rows))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(batch.column("__id").type), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +158,8 @@ def _seen_pairs(parts: int, least: int, heavy: np.ndarray, heavy_ctx: np.ndarray
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["part"].iloc[0] < 0:
             return pdf[_COLUMNS]
-        blobs = [_unpack(b, "<u8", "<u8", "<u4", "<u4", "<u8", "<u4") for b in pdf["blob"]]
+        blobs = [_unpack(b, 7) for b in pdf["blob"]]
+        blobs = [[np.repeat(b[0], b[1]), *b[2:]] for b in blobs]
         first, second, n, doc, head, head_doc = (np.concatenate(x) for x in zip(*blobs))
         names = pdf["batch"].to_numpy()
         each = np.arange(len(blobs))
@@ -199,7 +210,7 @@ def _back_off(parts: int, total: int, backoff: float):
         words, share = words[order], np.log(counts["n"].to_numpy()[order] / total)
         rows: list[tuple] = []
         for blob in pdf["blob"]:
-            word, n, names, batch, doc, weighed = _unpack(blob, "<u8", "<u4", "<i8", "<u4", "<u4", "?")
+            word, n, names, batch, doc, weighed = _unpack(blob, 6)
             value = np.repeat(share[np.searchsorted(words, word)], n) + np.where(weighed, np.log(backoff), 0.0)
             rows += _sums(batch, doc, value, names, parts)
         return pd.DataFrame(rows, columns=_COLUMNS)
@@ -212,7 +223,7 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     head = pdf[pdf["ids"].notna()].iloc[0]
     sums = np.zeros(len(head["ids"]))
     for blob in pdf["blob"].dropna():
-        doc, value = _unpack(blob, "<u4", "<f8")
+        doc, value = _unpack(blob, 2)
         sums[doc] += value
     return pd.DataFrame({"id": head["ids"], "n_words": head["sizes"], "log_score": sums})
 
