@@ -254,7 +254,8 @@ def train_languages(
         )
 
     kinds = "names array<string>, keys array<string>, data array<binary>, shapes array<array<int>>"
-    out = rows.coalesce(1).mapInArrow(train, kinds).collect()
+    # the chosen rows are shuffled to the task that trains, so that all tasks scan for them
+    out = rows.repartition(1).mapInArrow(train, kinds).collect()
     if not out or not out[0]["names"]:
         return [], {}
     r = out[0]

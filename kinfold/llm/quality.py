@@ -87,35 +87,40 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(hashed, "__id").limit(most)
 
 
-def train_quality(
-    labelled: DataFrame, epochs: int = 4, sample_chars: int = 20_000, seed: int = 5
-) -> np.ndarray:
+def train_quality(labelled: DataFrame, epochs: int = 4, seed: int = 5) -> np.ndarray:
     """Weights (SLOTS and the bias) from rows (__id, __text, __label), a bounded_sample() of all.
 
-    ``sample_chars`` bounds what a training text contributes, so the one task that
-    trains has bounded work; scoring reads whole texts.  Rows without a label are left out; without rows all weights are 0.
+    One task trains on their whole texts.  Rows without a label are left out;
+    without rows all weights are 0.
     """
-    rows = labelled.where(F.col("__label").isin(0, 1)).select(F.substring("__text", 1, sample_chars).alias("__text"), F.col("__label").cast("int"))
+    rows = labelled.where(F.col("__label").isin(0, 1)).select(
+        F.xxhash64(F.col("__id").cast("string")).alias("__key"),
+        "__text",
+        F.col("__label").cast("int"),
+    )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, values, labels = [], [], []
+        slots, values, labels, keys = [], [], [], []
         for batch in small_batches(batches, "__text", 2 << 20):
             slot, value, bounds = features(batch, "__text")
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 slots.append(np.append(slot[lo:hi], SLOTS))
                 values.append(np.append(value[lo:hi], 1.0))
             labels += batch.column("__label").to_pylist()
+            keys += batch.column("__key").to_pylist()
+        order = np.argsort(np.array(keys, np.int64), kind="stable")  # whatever the order of arrival
         model = Ftrl()
         share = np.clip(np.mean(labels), 0.02, 0.98) if labels else 0.5
         weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}  # both labels count alike
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
-            for k in rng.permutation(len(labels)):
+            for k in order[rng.permutation(len(labels))]:
                 model.update(slots[k], values[k], labels[k], weight[labels[k]])
         w = model.weights(np.arange(SLOTS + 1)).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    found = rows.coalesce(1).mapInArrow(fit, "w binary").collect()
+    # the chosen rows are shuffled to the task that trains, so that all tasks scan for them
+    found = rows.repartition(1).mapInArrow(fit, "w binary").collect()
     return np.frombuffer(found[0]["w"], "<f4") if found else np.zeros(SLOTS + 1, "<f4")
 
 
