@@ -13,7 +13,6 @@ import base64
 import re
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,18 +34,20 @@ _TOUCHING = re.compile(r"\s\s|[\x1c-\x1f]")
 _CHUNK = re.compile(r" ?\S+|\s")
 
 
-class ByteEncoder:
+class ByteEncoder(dict):
     """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE file.
 
     The byte-level pattern starts a new piece at every space before anything else
-    and keeps a lone line break apart, so a text is the sum of such chunks; their
-    ids are remembered, as most words come again.  A run of letters, with or
-    without a space before it, is one piece whatever the pattern, and goes to the
-    same vocabulary's rank file, which is the faster reader of single words.  Texts
-    in which white space touches white space go through the tokenizer whole.
+    and keeps a lone line break apart, so a text is the sum of such chunks; the
+    encoder is a dictionary of their ids, as most words come again.  A run of
+    letters, with or without a space before it, is one piece whatever the pattern,
+    and goes to the same vocabulary's rank file, which is the faster reader of
+    single words.  Texts in which white space touches white space go through the
+    tokenizer whole.
     """
 
     def __init__(self, path: str, ranks: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(ranks, "rb") as f:
@@ -54,49 +55,35 @@ class ByteEncoder:
         self.words = tiktoken.Encoding(
             "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}
         )
-        self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.encode_ordinary(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of letters, or of letters and then signs; None: ask the tokenizer."""
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of letters, of letters and then signs, or of anything else by the tokenizer."""
         end = len(chunk)
         while end and not chunk[end - 1].isalnum():
             end -= 1
         word = chunk[:end]
         if not (word[1:] if word[:1] == " " else word).isalpha():
-            return None
-        ids = self.known.get(word) or self._word(word)
-        if end < len(chunk):
-            signs = chunk[end:]
-            if signs not in self.known:
-                self.known[signs] = self._whole([signs])[0]
-            ids += self.known[signs]
+            ids = self.whole([chunk])[0]
+        elif end < len(chunk):
+            ids = self[word] + self[chunk[end:]]
+        else:
+            ids = self.words.encode_ordinary(word)
+            ids = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHE:
+            self[chunk] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _TOUCHING.search(x) else _CHUNK.findall(x) for x in texts]
-        plain = [i for i, x in enumerate(split) if x is None]
-        whole = dict(zip(plain, self._whole([texts[i] for i in plain])))
-        known = self.known
-        new = {y for x in split if x for y in x} - known.keys()
-        if len(known) > CACHE:  # rare words come on top for this call only
-            known = ChainMap({}, known)
-        others = []
-        for y in new:
-            ids = self._chunk(y)
-            if ids is None:
-                others.append(y)
-            else:
-                known[y] = ids
-        known.update(zip(others, self._whole(others)))
-        return [whole[i] if x is None else b"".join([known[y] for y in x]) for i, x in enumerate(split)]
+        get = self.__getitem__
+        plain = [i for i, x in enumerate(texts) if _TOUCHING.search(x)]
+        whole = dict(zip(plain, self.whole([texts[i] for i in plain])))
+        return [
+            whole[i] if i in whole else b"".join(map(get, _CHUNK.findall(x))) for i, x in enumerate(texts)
+        ]
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}

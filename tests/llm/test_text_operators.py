@@ -236,7 +236,7 @@ def test_encoder_equals_tokenizer(texts):
     signs = ["a", "B", "é", " ", "\n", "x", "1", ".", "!", "'s", "'", "²", "̈", "ß", "\t", "日", "_", " ", "\x1c", "<|endoftext|>"]
     rows = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + [t or "" for t in texts.values()]
     e = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    assert e.encode(rows) == e._whole(rows)
+    assert e.encode(rows) == e.whole(rows)
 
 
 @pytest.mark.parametrize("capacity,carry", [(2048, 20000), (64, 3)])
