@@ -20,6 +20,9 @@ from kinfold.plans.staging import stage
 #: learned ones; four languages at chance level have 0.25.
 LEAST_SCORE = 0.3
 
+#: Documents are near-duplicates if they share 80 of 100 shingles of five words.
+PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; others, and those without a letter, go."""
@@ -35,7 +38,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates, and all documents like no other."""
-    copies = near_duplicates(docs, percent=85).where("NOT kept").select("doc_id")
+    copies = near_duplicates(docs, percent=PERCENT).where("NOT kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -43,3 +43,22 @@ def test_run(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def test_near_copies_from_80_percent(spark):
+    """Copies with 0.80 <= similarity < 0.85 go, those below 0.80 stay."""
+    rows, gone = [], set()
+    for k, edits in enumerate([1] * 6 + [2] * 6 + [3] * 6):
+        own = [f"d{k}w{i}" for i in range({1: 50, 2: 100, 3: 100}[edits])]
+        other = list(own)
+        for e in range(edits):
+            other[20 * e + 20] = "edit"
+        for i, words in ((2 * k, own), (2 * k + 1, other)):
+            rows.append((i, " ".join(words)))
+        n = len(own) - 4
+        if (n - 5 * edits) / (n + 5 * edits) >= 0.8:
+            gone.add(2 * k + 1)
+    assert len(gone) == 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({i for i, _ in rows} - gone)
