@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.langid import keep_identified, not_held_out, train_languages
 from kinfold.llm.line_dedup import dedup_lines
-from kinfold.llm.mixing import mix_sources, training_order
+from kinfold.llm.mixing import mix_sources, training_order, with_row_key
 from kinfold.llm.packing import pack_documents
 from kinfold.llm.setsketch import near_duplicates
 from kinfold.plans.staging import stage
@@ -36,15 +36,36 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each repeated id, the same in every run; null ids are no repeats."""
+    repeated = stage(
+        docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"
+    )
+    if repeated.isEmpty():
+        return docs
+    # rows are chosen in the tasks first, so a hot id isn't gathered
+    chosen = (
+        docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
+        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__one"))
+        .select("__one.*")
+    )
+    return stage(docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen), "single")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates, and all documents like no other."""
+    """The smallest id of each group of near-duplicates, and all documents like no other.
+
+    Of the rows that repeat an id one stays; rows with a null id all stay.
+    """
+    docs = _one_row_each(docs)
     copies = near_duplicates(docs, percent=PERCENT).where("NOT kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mixture takes them, in training order."""
-    return training_order(docs, mix_sources(docs))
+    keyed = with_row_key(docs)
+    return training_order(keyed, mix_sources(keyed, row_col="__row_key"), row_col="__row_key")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

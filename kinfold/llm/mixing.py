@@ -95,6 +95,7 @@ def mix_sources(
     source_col: str = "source",
     max_repeat: int = 3,
     prefix: str = "mix_",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document with what the mixture takes of it, and its place in training.
 
@@ -105,7 +106,8 @@ def mix_sources(
     document is taken in part), ``{prefix}position`` in [0, 1] of the first copy
     (null when none is taken), ``{prefix}copies``, the words taken rounded to whole
     documents, and ``{prefix}positions``, one for each copy.  Reruns agree: the
-    order is by md5 of the id.
+    order is by md5 of the id.  ``row_col``, a unique key of the rows if there is
+    one, comes back and settles ties.
 
     Defined cases: null text has size 0; a null source is a source of its own,
     the last; documents of size 0 are taken 0 words; rows that repeat an id count
@@ -124,6 +126,7 @@ def mix_sources(
             F.col(source_col).cast("string").alias("__src"),
             word_count(F.col(text_col)).alias("__size"),
             digest.alias("__order"),
+            *([F.col(row_col).alias("__row")] if row_col else []),
         ),
         "sizes",
     )
@@ -149,7 +152,7 @@ def mix_sources(
         F.col("__bucket").alias("__bno"),
         (F.sum("__bsize").over(by_source) - F.col("__bsize")).alias("__bstart"),
     )
-    within = W.partitionBy("__tsrc", "__bucket").orderBy("__order", "__id", "__size")
+    within = W.partitionBy("__tsrc", "__bucket").orderBy("__order", "__id", "__size", *(["__row"] if row_col else []))
     before = F.col("__bstart") + F.col("__run") - F.col("__size")
     passes = F.least(F.floor(F.col("__target") / F.col("__ssize")), F.lit(max_repeat)).cast("long")
     rest = F.round(F.col("__target") - F.col("__passes") * F.col("__ssize")).cast("long")
@@ -177,17 +180,29 @@ def mix_sources(
                 copies > 0,
                 F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda c: _position(F.col("__before") + c * F.col("__ssize"))),
             ).otherwise(F.array().cast("array<double>")).alias(f"{prefix}positions"),
+            *([F.col("__row").alias(row_col)] if row_col else []),
         )
     )
 
 
-def training_order(docs: DataFrame, mixed: DataFrame, prefix: str = "mix_", id_col: str = "doc_id") -> DataFrame:
+def with_row_key(docs: DataFrame, row_col: str = "__row_key") -> DataFrame:
+    """``docs`` with a unique key of the rows, staged because the key differs when it is computed again."""
+    return stage(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows")
+
+
+def training_order(
+    docs: DataFrame, mixed: DataFrame, prefix: str = "mix_", id_col: str = "doc_id", row_col: str | None = None
+) -> DataFrame:
     """The rows of ``docs``, as many copies as the mixture takes, range-sorted by training position.
 
-    Ids have to be unique here: the copies are joined to the documents by id.
+    The copies are joined to the documents by ``row_col``, a unique key in both,
+    which stays out of the result.  Without it they are joined by id, and ids have to
+    be unique and not null.
     """
+    key = row_col or id_col
     taken = mixed.where(F.col(f"{prefix}copies") > 0).select(
-        F.col(id_col).alias("__taken"), F.explode(f"{prefix}positions").alias("__at")
+        F.col(key).alias("__taken"), F.explode(f"{prefix}positions").alias("__at")
     )
-    own = [docs[c] for c in docs.columns]
-    return docs.join(taken, docs[id_col] == F.col("__taken")).orderBy("__at", "__taken").select(*own)
+    own = [docs[c] for c in docs.columns if c != row_col]
+    order = ["__at", docs[id_col], "__taken"] if row_col else ["__at", "__taken"]
+    return docs.join(taken, docs[key] == F.col("__taken")).orderBy(*order).select(*own)

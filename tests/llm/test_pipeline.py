@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -62,3 +63,37 @@ def test_near_copies_from_80_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept) == sorted({i for i, _ in rows} - gone)
+
+
+def test_null_and_repeated_ids(spark, docs, tmp_path):
+    """Rows with null ids pass all stages, rows that repeat an id are one document after the third."""
+    # texts that are like no other
+    rows = [(i, " ".join(f"wort{i}x{k} gegen" for k in range(40)), "en", "hot" if i % 2 else None, 0) for i in range(1000, 1040)]
+    many = [*rows, *rows[:3] * 6, *[(None, t.replace("wort", "noid"), g, s, n) for _, t, g, s, n in rows[:12]], (None, None, None, None, None)]
+    spark.createDataFrame(many, docs.schema).unionByName(docs).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        seen.append(now)
+        now = stage(f(spark, now, str(tmp_path)), "t")
+    ids = lambda df: Counter(r["doc_id"] for r in df.collect())
+    first, lined, whole, single = map(ids, seen)
+    assert first[None] == 13 and lined[None] == whole[None] == single[None] == 12
+    assert lined[1000] == whole[1000] == 7 and set(single) <= set(whole) and {1000, 1001, 1002} <= set(single)
+    assert all(n == 1 for i, n in single.items() if i is not None)
+    row = lambda r: (r["doc_id"], r["text"])
+    mixed = mixing.mix_sources(seen[3]).collect()
+    assert ids(now) == +Counter({i: sum(r["mix_copies"] for r in mixed if r["doc_id"] == i) for i in single})
+    assert {row(r) for r in now.collect()} <= {row(r) for r in seen[3].collect()}
+    assert ids(now)[None] > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+    assert {r["doc_id"] for r in packed} == set(ids(now))
+
+
+def test_mixing_of_repeated_rows(spark, docs):
+    """Repeated rows are taken as often as the mixture says, not each with each."""
+    twice = docs.where("doc_id < 20").unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id < 3"))
+    copies = Counter()
+    for r in mixing.mix_sources(twice).collect():
+        copies[r["doc_id"]] += r["mix_copies"]
+    got = Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, twice, "").collect())
+    assert got == +copies and sum(got.values()) > 0
