@@ -10,6 +10,11 @@ The n-grams travel as arrays: one row holds those of a few thousand documents th
 belong to one partition.  Pairs are dealt by their first word, so that their
 counts and their context's meet; first words with more than one in HEAVY of all
 words, at most HEAVY of them, are dealt by both words, with their counts known.
+
+What is hot is not dealt at all: pairs with more than one in HEAVY of all words are
+counted before, so the task that reads a text scores them, and what backs off to a
+heavy word is scored where that is found out.  No group holds more than one in HEAVY
+of all words for a pair or a word.
 """
 
 from __future__ import annotations
@@ -72,8 +77,22 @@ def _unpack(blob: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in the sorted array ``known``, and their places there."""
+    at = np.searchsorted(known, values)
+    hit = at < len(known)
+    hit[hit] = known[at[hit]] == values[hit]
+    return hit, at[hit]
+
+
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n, ctx): occurrences of each word's hash, and those with a word after them."""
+    """(word, second, n, ctx): occurrences of each word's hash, and those with a word after them.
+
+    Rows with a ``second`` are pairs that may be hot, which need more than one in
+    HEAVY of the words of some batch, as both of their words do; their n is of such
+    batches only.
+    """
+    share = HEAVY
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text, 16 << 20):
@@ -81,17 +100,74 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
             last = starts[1:][np.diff(starts) > 0] - 1
             found, at, n = np.unique(words, return_inverse=True, return_counts=True)
             ctx = n - np.bincount(at[last], minlength=len(n))
+            often = (n > len(words) / share)[at]
+            both = often[:-1] & often[1:]
+            both[last[last < len(both)]] = False
+            both = np.flatnonzero(both)
+            pair, times = np.unique(at[both] * len(found) + at[both + 1], return_counts=True)
+            pair, times = (x[times > len(words) / share] for x in (pair, times))
+            first, second = np.divmod(pair, max(len(found), 1))
+            none = np.zeros(len(found), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ctx.astype(np.int64))],
-                names=["word", "n", "ctx"],
+                [
+                    pa.array(np.concatenate([found, found[first]]).view(np.int64)),
+                    pa.array(
+                        np.concatenate([none, found[second].view(np.int64)]),
+                        mask=np.arange(len(found) + len(pair)) < len(found),
+                    ),
+                    pa.array(np.concatenate([n, times]).astype(np.int64)),
+                    pa.array(np.concatenate([ctx, np.zeros(len(pair))]).astype(np.int64)),
+                ],
+                names=["word", "second", "n", "ctx"],
             )
 
-    counted = docs.select(text).mapInArrow(count, "word long, n long, ctx long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx"))
+    counted = docs.select(text).mapInArrow(count, "word long, second long, n long, ctx long")
+    return counted.groupBy("word", "second").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx"))
 
 
-def _explode(parts: int, heavy: np.ndarray):
-    """Rows (part, batch, blob, ids, sizes): pairs and first words by partition, and each batch's ids."""
+def pair_counts(docs: DataFrame, text: str, pairs: np.ndarray) -> DataFrame:
+    """(pair, n): occurrences in all documents of the pairs with these hashes, which are sorted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text):
+            words, starts = text_words(batch.column(text))
+            inner = np.ones(len(words), bool)
+            inner[starts[1:][np.diff(starts) > 0] - 1] = False
+            at = np.flatnonzero(inner)
+            n = np.bincount(_among(pair_hash(words[at], words[at + 1]), pairs)[1], minlength=len(pairs))
+            own = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[own].view(np.int64)), pa.array(n[own].astype(np.int64))], names=["pair", "n"]
+            )
+
+    return docs.select(text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def hot_pairs(
+    docs: DataFrame, text: str, maybe: DataFrame, heavy: np.ndarray, heavy_ctx: np.ndarray, least: int, bound: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the pairs that occur ``least`` times and more often than ``bound``, and their scores.
+
+    ``maybe``: the pairs (word, second) of heavy words that come into question.
+    """
+    rows = maybe.select("word", "second").collect()
+    first, second = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in ("word", "second"))
+    pairs, own = np.unique(pair_hash(first, second), return_index=True)
+    ctx = heavy_ctx[np.searchsorted(heavy, first[own])]
+    if not len(pairs):
+        return pairs, ctx
+    n = np.zeros(len(pairs))
+    for r in pair_counts(docs, text, pairs).where(F.col("n") > bound).collect():  # fewer than HEAVY rows
+        n[np.searchsorted(pairs, np.uint64(r["pair"] & (2**64 - 1)))] = r["n"]
+    hot = (n > bound) & (n >= least)
+    return pairs[hot], np.log(n[hot] / ctx[hot])
+
+
+def _explode(parts: int, heavy: np.ndarray, heavy_share: np.ndarray, hot: np.ndarray, hot_score: np.ndarray):
+    """Rows (part, batch, blob, ids, sizes): pairs and first words by partition, and each batch's ids.
+
+    With the ids go the sums of what is known here: hot pairs and heavy first words.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -101,17 +177,26 @@ def _explode(parts: int, heavy: np.ndarray):
             owner = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint32)
             pair = owner[1:] == owner[:-1]
             first, second, doc = words[:-1][pair], words[1:][pair], owner[1:][pair]
+            both = pair_hash(first, second)
+            known, at = _among(both, hot)
+            direct = np.bincount(doc[known], hot_score[at], len(sizes)).astype(float)
+            first, second, doc, both = (x[~known] for x in (first, second, doc, both))
             is_heavy = np.isin(first, heavy)
-            part = np.where(is_heavy, part_of(pair_hash(first, second), parts), part_of(first, parts))
+            part = np.where(is_heavy, part_of(both, parts), part_of(first, parts))
             order = np.lexsort((second, first, part))
             first, second, doc, part = first[order], second[order], doc[order], part[order]
             # a text's first word has no context
             head = starts[:-1][sizes > 0]
             head_word, head_doc = words[head], np.flatnonzero(sizes > 0).astype(np.uint32)
+            known, at = _among(head_word, heavy)
+            direct[head_doc[known]] += heavy_share[at]  # a document has one first word
+            head_word, head_doc = head_word[~known], head_doc[~known]
             head_part = part_of(head_word, parts)
             order = np.argsort(head_part, kind="stable")
             head_word, head_doc, head_part = head_word[order], head_doc[order], head_part[order]
-            rows: list[tuple] = [(-1 - number % parts, number, None, batch.column("__id").to_pylist(), sizes.tolist())]
+            some = np.flatnonzero(direct)
+            sums = _pack(some.astype("<u4"), direct[some])
+            rows: list[tuple] = [(-1 - number % parts, number, sums, batch.column("__id").to_pylist(), sizes.tolist())]
             for p in np.union1d(part, head_part):
                 own = slice(*np.searchsorted(part, [p, p + 1]))
                 top = slice(*np.searchsorted(head_part, [p, p + 1]))
@@ -152,8 +237,11 @@ def _sums(batch: np.ndarray, doc: np.ndarray, score: np.ndarray, names: np.ndarr
 _COLUMNS = ["part", "batch", "blob", "ids", "sizes"]
 
 
-def _seen_pairs(parts: int, least: int, heavy: np.ndarray, heavy_ctx: np.ndarray):
-    """Scores the pairs of a partition that are frequent enough; the others go to their second word's partition."""
+def _seen_pairs(parts: int, least: int, backoff: float, heavy: np.ndarray, heavy_ctx: np.ndarray, heavy_share: np.ndarray):
+    """Scores the pairs of a partition that are frequent enough and those that back off to heavy words.
+
+    The others go to their second word's partition.
+    """
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["part"].iloc[0] < 0:
@@ -169,14 +257,14 @@ def _seen_pairs(parts: int, least: int, heavy: np.ndarray, heavy_ctx: np.ndarray
         pairs = np.bincount(at, n)[at]
         words, at = np.unique(first, return_inverse=True)
         ctx = np.bincount(at, n)
-        known = np.searchsorted(heavy, words)
-        hit = known < len(heavy)
-        hit[hit] = heavy[known[hit]] == words[hit]
-        ctx[hit] = heavy_ctx[known[hit]]
+        hit, known = _among(words, heavy)
+        ctx[hit] = heavy_ctx[known]
         seen = pairs >= least
         value = np.log(pairs / ctx[at])
         run = np.repeat(np.arange(len(n)), n)
-        use = seen[run]
+        to_heavy = _among(second, heavy)[0] & ~seen
+        value[to_heavy] = heavy_share[np.searchsorted(heavy, second[to_heavy])] + np.log(backoff)
+        use = (seen | to_heavy)[run]
         rows = _sums(run_batch[run[use]], doc[use], value[run[use]], names, parts)
         back_word = np.concatenate([second[run[~use]], head])
         back_batch = np.concatenate([run_batch[run[~use]], head_batch])
@@ -239,21 +327,29 @@ def backoff_scores(
     log_score 0 and a null mean; repeated rows count each and are scored each; null
     ids are scored; an empty table gives an empty table.
 
-    Counts cover all documents and nothing is pruned before it is counted.  One
-    shuffle deals the n-grams by first word, one those that back off, by the word,
+    Counts cover all documents and nothing is pruned before it is counted.  Pairs
+    that may be hot are counted by a scan of their own.  One shuffle deals the n-grams by first word, one those that back off, by the word,
     and two pass on sums per document and partition.
     """
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     id_type = texts.schema["__id"].dataType.simpleString()
-    counts = stage(word_counts(texts, "__text"), "words")
+    counted = stage(word_counts(texts, "__text"), "words")
+    counts = counted.where("second IS NULL").select("word", "n", "ctx")
     total = counts.agg(F.sum("n")).first()[0] or 0
     parts = max(FEWEST, -(-total // PART_WORDS))
-    top = counts.where(F.col("n") > total / HEAVY).select("word", "ctx").collect()  # fewer than HEAVY rows
-    top = sorted((r["word"] & (2**64 - 1), r["ctx"]) for r in top)
-    heavy, heavy_ctx = np.array([w for w, _ in top], np.uint64), np.array([c for _, c in top], float)
+    top = counts.where(F.col("n") > total / HEAVY).collect()  # fewer than HEAVY rows
+    top = sorted((r["word"] & (2**64 - 1), r["n"], r["ctx"]) for r in top)
+    heavy, heavy_ctx = np.array([w for w, *_ in top], np.uint64), np.array([c for *_, c in top], float)
+    heavy_share = np.log(np.array([n for _, n, _ in top], float) / max(total, 1))
+    often = counts.where(F.col("n") > total / HEAVY).select("word")
+    maybe = counted.where("second IS NOT NULL").join(often, "word", "left_semi")
+    maybe = maybe.join(often.withColumnRenamed("word", "second"), "second", "left_semi")
+    hot, hot_score = hot_pairs(texts, "__text", maybe, heavy, heavy_ctx, least, total / HEAVY)
     kinds = f"part long, batch long, blob binary, ids array<{id_type}>, sizes array<long>"
-    dealt = texts.mapInArrow(_explode(parts, heavy), kinds)
-    second = dealt.groupBy("part").applyInPandas(_seen_pairs(parts, least, heavy, heavy_ctx), kinds)
+    dealt = texts.mapInArrow(_explode(parts, heavy, heavy_share, hot, hot_score), kinds)
+    second = dealt.groupBy("part").applyInPandas(
+        _seen_pairs(parts, least, backoff, heavy, heavy_ctx, heavy_share), kinds
+    )
     # a word's hash is unsigned in numpy
     unsigned = F.pmod(F.pmod("word", F.lit(parts)) + F.when(F.col("word") < 0, F.lit(2**64 % parts)).otherwise(0), F.lit(parts))
     table = counts.select("word", "n", unsigned.cast("long").alias("key"))

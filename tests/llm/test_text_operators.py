@@ -407,5 +407,34 @@ def test_backoff(monkeypatch, docs, texts, heavy):
         assert r["mean_log_score"] is None if n == 0 else abs(r["mean_log_score"] - s / n) < 1e-6
 
 
+def test_backoff_gathers_nothing_hot(monkeypatch, spark):
+    """A hot pair, and a word after many distinct words, are in no group more than a HEAVYth of all words."""
+    texts = {i: f"a a a a a a x{i} token y{i}" for i in range(200)}
+    monkeypatch.setattr(lm, "HEAVY", 40)
+    seen, back, unpack = lm._seen_pairs, lm._back_off, lm._unpack
+
+    def bounded(pdf, count):
+        if len(pdf) and pdf["part"].iloc[0] >= 0:
+            assert sum(len(unpack(b, count)[4]) for b in pdf["blob"]) <= 200 * 9 / 40
+        return pdf
+
+    def seen_bounded(*args):
+        score = seen(*args)
+        return lambda pdf: score(bounded(pdf, 7))
+
+    def back_bounded(*args):
+        score = back(*args)
+        return lambda counts, pdf: score(counts, bounded(pdf, 6))
+
+    monkeypatch.setattr(lm, "_seen_pairs", seen_bounded)
+    monkeypatch.setattr(lm, "_back_off", back_bounded)
+    want = brute_backoff(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = lm.backoff_scores(df).collect()
+    assert len(rows) == 200
+    for r in rows:
+        assert abs(r["log_score"] - want[r["doc_id"]][1]) < 1e-6
+
+
 def test_backoff_empty(empty):
     assert lm.backoff_scores(empty).count() == 0
