@@ -301,13 +301,16 @@ def identify_languages(
 def keep_identified(
     docs: DataFrame, names: list[str], params: Params, least: float, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a letter and a language with a score of ``least`` or more."""
+    """The rows of ``docs``, unchanged, whose text has a letter and a language with a score of ``least`` or more.
+
+    When nothing was learned, all texts with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((names, params))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, params = shared.value
         for batch in small_batches(batches, text_col, 4 << 20):
-            best = pooled(params, batch.column(text_col)).max(1) if names else np.zeros(batch.num_rows)
+            best = pooled(params, batch.column(text_col)).max(1) if names else np.full(batch.num_rows, np.inf)
             yield batch.filter(pa.array(best >= least))
 
     return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(keep, docs.schema)

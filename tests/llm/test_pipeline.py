@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_text_operators import brute_components
 from tokenizers import Tokenizer
 
@@ -97,3 +98,10 @@ def test_mixing_of_repeated_rows(spark, docs):
         copies[r["doc_id"]] += r["mix_copies"]
     got = Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, twice, "").collect())
     assert got == +copies and sum(got.values()) > 0
+
+
+def test_no_language_learned(spark, docs):
+    """Without a labelled row the first stage keeps all texts with a letter."""
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, bare, "").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
