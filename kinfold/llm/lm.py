@@ -48,6 +48,11 @@ def part_of(words: np.ndarray, parts: int) -> np.ndarray:
     return (words % np.uint64(parts)).astype(np.int64)
 
 
+def _home(number: int, parts: int) -> int:
+    """The partition that passes on a batch's sums; a number's upper half tells its task, its lower one the batch."""
+    return -1 - (number + (number >> 32)) % parts
+
+
 def _runs(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     """Where runs of equal values begin."""
     new = np.ones(len(x), bool)
@@ -196,7 +201,7 @@ def _explode(parts: int, heavy: np.ndarray, heavy_share: np.ndarray, hot: np.nda
             head_word, head_doc, head_part = head_word[order], head_doc[order], head_part[order]
             some = np.flatnonzero(direct)
             sums = _pack(some.astype("<u4"), direct[some])
-            rows: list[tuple] = [(-1 - number % parts, number, sums, batch.column("__id").to_pylist(), sizes.tolist())]
+            rows: list[tuple] = [(_home(number, parts), number, sums, batch.column("__id").to_pylist(), sizes.tolist())]
             for p in np.union1d(part, head_part):
                 own = slice(*np.searchsorted(part, [p, p + 1]))
                 top = slice(*np.searchsorted(head_part, [p, p + 1]))
@@ -229,7 +234,7 @@ def _sums(batch: np.ndarray, doc: np.ndarray, score: np.ndarray, names: np.ndarr
     batch, doc = batch[at], doc[at]
     edges = [*_runs(batch), len(batch)]
     return [
-        (-1 - int(names[batch[lo]]) % parts, int(names[batch[lo]]), _pack(doc[lo:hi].astype("<u4"), total[lo:hi]), None, None)
+        (_home(int(names[batch[lo]]), parts), int(names[batch[lo]]), _pack(doc[lo:hi].astype("<u4"), total[lo:hi]), None, None)
         for lo, hi in zip(edges[:-1], edges[1:])
     ]
 

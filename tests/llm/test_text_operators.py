@@ -436,5 +436,10 @@ def test_backoff_gathers_nothing_hot(monkeypatch, spark):
         assert abs(r["log_score"] - want[r["doc_id"]][1]) < 1e-6
 
 
+def test_batches_of_tasks_are_spread():
+    homes = Counter(lm._home((task << 32) + batch, 64) for task in range(64) for batch in range(4))
+    assert max(homes.values()) == 4 and max(homes) < 0
+
+
 def test_backoff_empty(empty):
     assert lm.backoff_scores(empty).count() == 0
