@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 Metric = Callable[[Column, Column], Column]
 
@@ -24,6 +25,21 @@ def l2(a: Column, b: Column) -> Column:
     )
 
 
+def l2_of(width: int) -> Metric:
+    """l2() for vectors of ``width`` numbers, as one sum that Spark compiles; other lengths raise."""
+
+    def dist(a: Column, b: Column) -> Column:
+        total = F.lit(0.0)
+        for j in range(width):
+            d = a[j].cast("double") - b[j].cast("double")
+            total = total + d * d
+        return F.when((F.size(a) == width) & (F.size(b) == width), F.sqrt(total)).otherwise(
+            F.raise_error(F.lit("vectors of unequal length")).cast("double")
+        )
+
+    return dist
+
+
 def edit(a: Column, b: Column, most: int | None = None) -> Column:
     """Edit distance in characters; with ``most``, null beyond it."""
     if most is None:
@@ -54,6 +70,14 @@ def metric_of(metric: str | Metric) -> Metric:
     return METRICS[metric] if isinstance(metric, str) else metric
 
 
+def usable(df: DataFrame, id_col: str, obj_col: str) -> DataFrame:
+    """The rows that take part in searches: neither id nor object is null, nor anything in an array."""
+    df = df.where(F.col(id_col).isNotNull() & F.col(obj_col).isNotNull())
+    if isinstance(df.schema[obj_col].dataType, ArrayType):
+        df = df.where(F.forall(obj_col, lambda x: x.isNotNull()))
+    return df
+
+
 def within_capacity(df: DataFrame, col: str, capacity: int) -> tuple[DataFrame, DataFrame]:
     """(rows whose string fits, one row with the numbers kept and dropped); nulls are dropped."""
     fits = F.coalesce(F.length(col) <= capacity, F.lit(False))

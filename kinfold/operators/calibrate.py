@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.metrics import Metric
 from kinfold.operators.knn import knn_exact
 from kinfold.operators.pivots import pivot_table
-from kinfold.plans.pruned import query_cells, ring_holds
+from kinfold.plans.pruned import knn_approx, query_cells, ring_holds
 
 
 def nearest_pivot(queries: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
@@ -84,6 +84,21 @@ def tune_radius(calib: DataFrame, model: DataFrame, grid: list[float], cells: Da
     )
 
 
+def recall_by_scale(
+    assigned: DataFrame, cells: DataFrame, queries: DataFrame, nearest: DataFrame, model: DataFrame, grid: list[float],
+    exact: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False,
+) -> DataFrame:
+    """(scales, queries, recall): the mean recall of the search with the radius of each number of scales in ``grid``."""
+    out = None
+    for scales in grid:
+        approx = knn_approx(assigned, cells, queries, predict_radius(nearest, model, scales), k, metric, exclude_self)
+        part = recall_at_k(approx, exact).agg(
+            F.lit(float(scales)).alias("scales"), F.count("*").alias("queries"), F.avg("recall").alias("recall")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """(qid, wanted, found, recall) against the brute-force result only."""
     hit = approx.select("qid", "id", F.lit(1).alias("hit"))

@@ -115,15 +115,26 @@ def redact(df: DataFrame, col: str, pattern: str, replacement: str) -> DataFrame
     )
 
 
-def publishable(df: DataFrame, col: str, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that no rule matches, (rule, n) for every rule).  Rules are regular expressions; null matches none."""
-    flags = {name: F.coalesce(F.col(col).rlike(p), F.lit(False)) for name, p in rules.items()}
-    counts = df.agg(*[F.count_if(f).alias(n) for n, f in flags.items()])
-    report = counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in flags])))
-    barred = F.lit(False)
-    for f in flags.values():
-        barred = barred | f
-    return df.where(~barred), report
+def matched_rules(df: DataFrame, col: str, rules: dict[str, str]) -> DataFrame:
+    """``df`` with ``matched``: the names of the rules, regular expressions, that match; null matches none.
+
+    Every rule is tried once a row; keep and count from this one column.
+    """
+    names = F.array(*[F.when(F.col(col).rlike(p), F.lit(name)) for name, p in rules.items()])
+    return df.withColumn("matched", F.array_compact(names))
+
+
+def publishable(df: DataFrame, col: str, rules: dict[str, str]) -> DataFrame:
+    """The rows that no rule matches."""
+    return matched_rules(df, col, rules).where(F.size("matched") == 0).drop("matched")
+
+
+def rule_report(df: DataFrame, col: str, rules: dict[str, str]) -> DataFrame:
+    """(rule, n): rows that each rule matches, and as rule 'publishable' those that none does; one pass over ``df``."""
+    counts = {name: F.count_if(F.array_contains("matched", name)) for name in rules}
+    counts["publishable"] = F.count_if(F.size("matched") == 0)
+    row = matched_rules(df.select(col), col, rules).agg(*[c.alias(n) for n, c in counts.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in counts])))
 
 
 def by_collection(df: DataFrame, collection: Column, *measures: Column) -> DataFrame:

@@ -1,6 +1,8 @@
 """Exact top-k and range search, and the audit of their results.
 
 Data is (id, obj), queries are (qid, qobj).  Results are (qid, rank, id, dist, exact).
+Rows with a null id, a null object or a null number in it take no part.  A NaN or
+an infinity in a vector is an ordinary number: distances that are NaN come last.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.functions.metrics import Metric, l2, metric_of
+from kinfold.functions.metrics import Metric, l2, metric_of, usable
 from kinfold.plans.pairs import BROADCAST_QUERIES, against_all
 
-#: Numbers in the query vectors that go to every task: 32 MiB.
+#: Most numbers in the vectors that go to every task (32 MiB), and most pairs that a task keeps.
 BROADCAST_NUMBERS = 4 << 20
+#: Queries that meet a batch of rows at once.
+TOGETHER = 256
 
 
 def top_k(distances: DataFrame, k: int, exact: bool = True) -> DataFrame:
@@ -35,58 +39,128 @@ def top_k(distances: DataFrame, k: int, exact: bool = True) -> DataFrame:
 
 
 def distances(data: DataFrame, queries: DataFrame, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    data, queries = data.where("obj IS NOT NULL"), queries.where("qobj IS NOT NULL")
+    """(qid, id, dist) of all pairs; those without a distance (null) are left out."""
+    data, queries = usable(data, "id", "obj"), usable(queries, "qid", "qobj")
     pairs = against_all(data.select("id", "obj"), queries.select("qid", "qobj"))
     if exclude_self:
         pairs = pairs.where(F.col("id") != F.col("qid"))
-    return pairs.select("qid", "id", metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist"))
+    return pairs.select("qid", "id", metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist")).where("dist IS NOT NULL")
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors of a list column as rows in double precision; other lengths than ``width`` raise."""
     if pc.any(pc.not_equal(pc.list_value_length(column), width)).as_py():
         raise ValueError("vectors of unequal length")
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-def _l2_in_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame | None:
-    """(qid, id, dist): of every batch of rows each query's k nearest, by matrix products.
+def chosen(x: np.ndarray, q: np.ndarray, take: int | None, limit: np.ndarray, out: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, distance) of the pairs that can be among the ``take`` nearest of a row of q.
 
-    The products only choose, with room for rounding; distances are then summed as
-    l2() does.  None if the queries are too many or too long to send to every task.
+    Matrix products only choose, with room for their rounding; distances are summed
+    in the order of the components, as l2() does.  ``limit`` (squared) bounds each
+    row's distance, the pairs ``out`` don't count.  Vectors whose squares aren't
+    finite go through no product.
     """
-    asked = queries.select("qid", "qobj").where("qobj IS NOT NULL")
+    with np.errstate(over="ignore", invalid="ignore"):
+        nx, nq = (x * x).sum(1), (q * q).sum(1)
+        plain = np.isfinite(nx)[None, :] & np.isfinite(nq)[:, None]
+        d = nx[None, :] - 2 * (q @ x.T) + nq[:, None]
+        slack = 1e-9 * (nx[None, :] + nq[:, None])
+        least = np.where(plain, d - slack, -np.inf)
+        most = np.where(plain, d + slack, np.inf)
+    bound = np.nextafter(limit, np.inf)
+    if out is not None:
+        least[out], most[out] = np.inf, np.inf
+    if take is not None and take < x.shape[0]:
+        bound = np.minimum(bound, np.partition(most, take - 1, 1)[:, take - 1])
+    use = least <= bound[:, None]
+    if out is not None:
+        use[out] = False
+    row, col = np.nonzero(use)
+    total = np.zeros(len(row))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(x.shape[1]):
+            total += (x[col, j] - q[row, j]) ** 2
+    return row, col, np.sqrt(total)
+
+
+def _ranked(table: pa.Table, k: int) -> pa.Table:
+    """The first k rows per query in order of (dist, id); NaN is the largest distance."""
+    table = table.sort_by([("q", "ascending"), ("dist", "ascending"), ("id", "ascending")])
+    q = table.column("q").to_numpy()
+    first = np.searchsorted(q, q)
+    return table.filter(pa.array(np.arange(len(q)) - first < k))
+
+
+def l2_in_blocks(
+    data: DataFrame, queries: DataFrame, k: int | None = None, radius: float = np.inf, exclude_self: bool = False
+) -> DataFrame | None:
+    """(qid, id, dist): each query's k nearest rows of every task, or all rows within ``radius``, by matrix products.
+
+    None if the queries are too many or too long to send to every task.
+    """
+    asked = usable(queries, "qid", "qobj").select("qid", "qobj")
     size = asked.agg(F.count("*"), F.sum(F.size("qobj")), F.max(F.size("qobj"))).first()
     if not size[0] or size[0] > BROADCAST_QUERIES or size[1] > BROADCAST_NUMBERS or not size[2]:
         return None
+    if k is not None and k * size[0] > BROADCAST_NUMBERS:
+        return None
     found = asked.toArrow()
     width = size[2]
-    table = _matrix(found.column("qobj").combine_chunks(), width)
-    shared = data.sparkSession.sparkContext.broadcast((found.column("qid").to_numpy(), table))
+    table = matrix(found.column("qobj").combine_chunks(), width)
+    shared = data.sparkSession.sparkContext.broadcast((found.column("qid").combine_chunks(), table))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, every = shared.value
+        names = pc.unique(qids)
+        code = pc.index_in(qids, names).to_numpy(zero_copy_only=False)
+        limit = np.full(len(every), radius * radius)
+        held, kept = [], 0
+
+        def result(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            cols = [qids.take(t.column("q").combine_chunks()), *[t.column(c).combine_chunks() for c in ("id", "dist")]]
+            return pa.RecordBatch.from_arrays(cols, names=["qid", "id", "dist"])
+
+        def best() -> pa.Table:
+            t = _ranked(pa.concat_tables(held), k)
+            q, dist = t.column("q").to_numpy(), t.column("dist").to_numpy()
+            last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.zeros(0, int)
+            full = last - np.searchsorted(q, q[last]) == k - 1
+            worst = dist[last[full]] ** 2
+            limit[q[last[full]]] = np.where(np.isnan(worst), np.inf, worst * (1 + 1e-12))
+            return t
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, ids = _matrix(batch.column("obj"), width), batch.column("id").to_numpy()
-            norms = (x * x).sum(1)
-            take = min(k + exclude_self, len(x))
-            for lo in range(0, len(every), 256):
-                q = every[lo : lo + 256]
-                d = norms[None, :] - 2 * q @ x.T + (q * q).sum(1)[:, None]
-                worst = np.partition(d, take - 1, 1)[:, take - 1]
-                slack = 1e-9 * (1 + norms.max() + (q * q).sum(1))
-                row, col = np.nonzero(d <= (worst + slack)[:, None])
-                total = np.zeros(len(row))
-                for j in range(width):
-                    total += (x[col, j] - q[row, j]) ** 2
-                use = ids[col] != qids[lo + row] if exclude_self else np.ones(len(row), bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[lo + row][use]), pa.array(ids[col][use]), pa.array(np.sqrt(total)[use])],
-                    names=["qid", "id", "dist"],
-                )
-
-    return data.select("id", "obj").where("obj IS NOT NULL").mapInArrow(near, "qid long, id long, dist double")
+            x, ids = matrix(batch.column("obj"), width), batch.column("id")
+            own = pc.index_in(ids.cast(names.type), names).fill_null(-1).to_numpy(zero_copy_only=False) if exclude_self else None
+            for lo in range(0, len(every), TOGETHER):
+                part = slice(lo, lo + TOGETHER)
+                out = None
+                if own is not None and (hit := np.flatnonzero(own >= 0)).size:
+                    row, at = np.nonzero(code[part][:, None] == own[hit][None, :])
+                    out = (row, hit[at])
+                row, col, dist = chosen(x, every[part], k, limit[part], out)
+                if k is None:
+                    row, col, dist = (v[dist <= radius] for v in (row, col, dist))
+                if len(row):
+                    held.append(pa.table({"q": row + lo, "id": ids.take(pa.array(col)), "dist": dist}))
+                    kept += len(row)
+                if k is None:
+                    for t in held:
+                        yield result(t)
+                    held.clear()
+            if k is not None and kept > 2 * k * len(every) + 4096:
+                held[:] = [best()]
+                kept = held[0].num_rows
+        if held:
+            yield result(best())
+
+    kinds = [f.dataType.simpleString() for f in (asked.schema["qid"], data.schema["id"])]
+    return usable(data, "id", "obj").select("id", "obj").mapInArrow(near, f"qid {kinds[0]}, id {kinds[1]}, dist double")
 
 
 def knn_exact(data: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
@@ -95,13 +169,15 @@ def knn_exact(data: DataFrame, queries: DataFrame, k: int, metric: str | Metric
     Euclidean distance to queries that fit into every task goes by matrix products
     over batches of rows; any other metric, or more queries, by pairs of rows.
     """
-    blocks = _l2_in_blocks(data, queries, k, exclude_self) if metric in ("l2", l2) else None
+    blocks = l2_in_blocks(data, queries, k, exclude_self=exclude_self) if metric in ("l2", l2) else None
     return top_k(distances(data, queries, metric, exclude_self) if blocks is None else blocks, k)
 
 
 def range_search(data: DataFrame, queries: DataFrame, radius: float, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """(qid, id, dist) within ``radius``, its border included."""
-    return distances(data, queries, metric, exclude_self).where(F.col("dist") <= radius)
+    blocks = l2_in_blocks(data, queries, None, radius, exclude_self) if metric in ("l2", l2) else None
+    found = distances(data, queries, metric, exclude_self) if blocks is None else blocks
+    return found.where((F.col("dist") <= radius) & ~F.isnan("dist"))
 
 
 def check_topk(result: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:

@@ -3,21 +3,32 @@
 Pivots are (pivot, id, obj), numbered from 0; their number is bounded by what the
 caller asks for.  Assigned objects are (id, obj, cell, pdist); cells are (cell,
 pobj, lo, hi, cnt) with the ring [lo, hi] of the distances of their objects.
+
+Cells form a tree: those of the pivots have their numbers, and the parts of cell c
+are numbered from (c + 1) * MOST_PIVOTS on, so no two cells of any level share a
+number and root_cell() leads back to the pivot.  A cell's own pivot is ``pobj``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.functions.metrics import Metric, metric_of
-from kinfold.plans.staging import stage
+from kinfold.functions.metrics import Metric, l2, metric_of, usable
+from kinfold.operators.knn import chosen, matrix
+from kinfold.plans.staging import stage, unstage
 
-#: Pivots are held by the driver and by expressions; no more than this.
+#: Pivots are held by the driver and by expressions; no more than this (2^10).
 MOST_PIVOTS = 1024
 #: Objects that a sampled traversal holds in one row.
 MOST_SAMPLE = 16_384
+#: Parts that a cell is split into at once.
+MOST_PARTS = 64
 
 
 def _literal(obj) -> Column:
@@ -36,7 +47,7 @@ def pivots_fft(df: DataFrame, m: int, metric: str | Metric = "l2", every: int =
     if m > MOST_PIVOTS:
         raise ValueError(f"at most {MOST_PIVOTS} pivots")
     dist = metric_of(metric)
-    rest = df.select("id", "obj").where(F.col("obj").isNotNull())
+    rest = usable(df, "id", "obj").select("id", "obj")
     rest = rest.withColumn("__near", F.lit(float("inf")))
     found: list = []
     fresh: list[Column] = []
@@ -56,35 +67,64 @@ def pivots_fft(df: DataFrame, m: int, metric: str | Metric = "l2", every: int =
     return df.sparkSession.createDataFrame(found, f"pivot int, id long, obj {kind}")
 
 
-def pivots_sampled(df: DataFrame, m: int, metric: str | Metric = "l2", sample: int = 2048) -> DataFrame:
-    """Farthest-first traversal of the ``sample`` objects with the smallest id hashes, in one job.
+def _fold(objs: Column, near: Column, picked: Column, last: Column, rounds: Column, dist: Metric) -> Column:
+    """Places (from 0) of farthest-first picks in an array of structs with ``obj``, after those in ``picked``.
 
-    The rounds are a fold over an array that holds the sample, whose size is bounded
-    by the caller.  Cells are assigned to all objects afterwards, so searches stay
-    exact; the pivots are only as spread as the sample.
+    ``near`` holds each one's distance to what was picked before; ``last`` is the
+    place of a pick that isn't in ``near`` yet, or -1.
     """
-    dist = metric_of(metric)
-    hashed = F.sha2(F.col("id").cast("string"), 256)
-    rows = df.select("id", "obj").where("obj IS NOT NULL").orderBy(hashed, "id").limit(min(sample, MOST_SAMPLE))
-    held = rows.agg(F.array_sort(F.collect_list(F.struct("id", "obj"))).alias("objs")).where(F.size("objs") > 0)
-    objs = F.col("objs")
-    start = F.struct(
-        F.array(F.lit(0)).alias("picked"), F.transform(objs, lambda o: F.lit(float("inf"))).alias("near"), F.lit(0).alias("last")
-    )
 
     def step(state, _):
-        last = F.element_at(objs, state["last"] + 1)["obj"]
-        near = F.zip_with(state["near"], objs, lambda d, o: F.least(d, dist(o["obj"], last)))
+        seen = F.when(state["last"] < 0, state["near"]).otherwise(
+            F.zip_with(state["near"], objs, lambda d, o: F.least(d, dist(o["obj"], F.element_at(objs, F.greatest(state["last"], F.lit(0)) + 1)["obj"])))
+        )
         # equal distances go to the smaller id, as the array is in order of ids
-        far = (F.array_position(near, F.array_max(near)) - 1).cast("int")
-        more = F.array_max(near) > 0
+        far = (F.array_position(seen, F.array_max(seen)) - 1).cast("int")
+        more = F.array_max(seen) > 0
         return F.struct(
             F.when(more, F.concat(state["picked"], F.array(far))).otherwise(state["picked"]).alias("picked"),
-            near.alias("near"), far.alias("last"),
+            seen.alias("near"), far.alias("last"),
         )
 
-    fold = F.aggregate(F.sequence(F.lit(1), F.lit(m - 1)) if m > 1 else F.array().cast("array<int>"), start, step)
-    picked = held.select("objs", fold["picked"].alias("picked")).select("objs", F.posexplode("picked").alias("pivot", "at"))
+    start = F.struct(picked.alias("picked"), near.alias("near"), last.alias("last"))
+    return F.aggregate(F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>")), start, step)["picked"]
+
+
+def _farthest(x: np.ndarray, m: int) -> list[int]:
+    """The same picks as _fold() from the first row on, for Euclidean distances."""
+    picked, near = [0], np.full(len(x), np.inf)
+    while len(picked) < m:
+        with np.errstate(invalid="ignore", over="ignore"):
+            total = np.zeros(len(x))
+            for j in range(x.shape[1]):
+                total += (x[:, j] - x[picked[-1], j]) ** 2
+        near = np.fmin(near, np.sqrt(total))
+        far = int(near.argmax())
+        if not near[far] > 0:
+            break
+        picked.append(far)
+    return picked
+
+
+def pivots_sampled(df: DataFrame, m: int, metric: str | Metric = "l2", sample: int = 2048) -> DataFrame:
+    """Farthest-first traversal of the ``sample`` objects with the smallest id hashes, in one job.
+
+    The rounds run over the sample alone, whose size is bounded by the caller: in
+    numpy for Euclidean distances, else as a fold over an array.  Cells are assigned
+    to all objects afterwards, so searches stay exact; the pivots are only as spread
+    as the sample.
+    """
+    hashed = F.sha2(F.col("id").cast("string"), 256)
+    rows = usable(df, "id", "obj").select("id", "obj").orderBy(hashed, "id").limit(min(sample, MOST_SAMPLE))
+    if metric in ("l2", l2):
+        found = sorted((r["id"], r["obj"]) for r in rows.collect())
+        picks = _farthest(np.array([o for _, o in found], float), m) if found else []
+        kinds = [df.schema[c].dataType.simpleString() for c in ("id", "obj")]
+        return df.sparkSession.createDataFrame([(k, *found[at]) for k, at in enumerate(picks)], f"pivot int, id {kinds[0]}, obj {kinds[1]}")
+    held = rows.agg(F.array_sort(F.collect_list(F.struct("id", "obj"))).alias("objs")).where(F.size("objs") > 0)
+    objs = F.col("objs")
+    picks = _fold(objs, F.transform(objs, lambda o: F.lit(float("inf"))), F.array(F.lit(0)), F.lit(0), F.lit(m - 1), metric_of(metric))
+    picked = held.select("objs", picks.alias("picked")).select("objs", F.posexplode("picked").alias("pivot", "at"))
     one = F.element_at(objs, F.col("at") + 1)
     return picked.select("pivot", one["id"].alias("id"), one["obj"].alias("obj"))
 
@@ -92,18 +132,22 @@ def pivots_sampled(df: DataFrame, m: int, metric: str | Metric = "l2", sample: i
 def pivots_hash(df: DataFrame, m: int, seed: str = "0") -> DataFrame:
     """m pivots in the order of a hash of their ids: the baseline to compare with."""
     order = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")), 256)
-    chosen = df.where(F.col("obj").isNotNull()).select("id", "obj", order.alias("__h")).orderBy("__h").limit(m)
-    return chosen.select(
+    first = usable(df, "id", "obj").select("id", "obj", order.alias("__h")).orderBy("__h").limit(m)
+    return first.select(
         (F.row_number().over(W.orderBy("__h")) - 1).alias("pivot"), "id", "obj"
     )
 
 
-def _objects(pivots: DataFrame) -> list[Column]:
+def _rows(pivots: DataFrame) -> list:
     rows = pivots.orderBy("pivot").limit(MOST_PIVOTS + 1).collect()
     if len(rows) > MOST_PIVOTS:
         raise ValueError(f"at most {MOST_PIVOTS} pivots")
+    return rows
+
+
+def _objects(pivots: DataFrame) -> list[Column]:
     kind = pivots.schema["obj"].dataType
-    return [_literal(r["obj"]).cast(kind) for r in rows]
+    return [_literal(r["obj"]).cast(kind) for r in _rows(pivots)]
 
 
 def pivot_table(df: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
@@ -113,10 +157,39 @@ def pivot_table(df: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -
 
 
 def assign_cells(df: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
-    """(id, obj, cell, pdist): every object in the cell of its nearest pivot, ties to the lower number."""
-    table = pivot_table(df.select("id", "obj"), pivots, metric)
+    """(id, obj, cell, pdist): every object in the cell of its nearest pivot, ties to the lower number.
+
+    Euclidean distances go by matrix products over batches of rows, others by one
+    expression over all pivots.  No shuffle, no join.
+    """
+    df = usable(df, "id", "obj").select("id", "obj")
+    if metric in ("l2", l2) and (rows := _rows(pivots)):
+        return _assign_l2(df, rows)
+    table = pivot_table(df, pivots, metric)
     low = F.array_min("pdists")
-    return table.select("id", "obj", (F.array_position("pdists", low) - 1).cast("int").alias("cell"), low.alias("pdist"))
+    return table.select("id", "obj", (F.array_position("pdists", low) - 1).cast("long").alias("cell"), low.alias("pdist"))
+
+
+def _assign_l2(df: DataFrame, rows: list) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(np.array([r["obj"] for r in rows], float))
+    numbers = np.array([r["pivot"] for r in rows], np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                x = matrix(part.column("obj"), table.shape[1])
+                row, at, dist = chosen(table, x, 1, np.full(len(x), np.inf))
+                order = np.lexsort((at, dist, row))
+                first = order[np.searchsorted(row[order], np.arange(len(x)))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("obj"), pa.array(numbers[at[first]]), pa.array(dist[first])],
+                    names=["id", "obj", "cell", "pdist"],
+                )
+
+    kinds = [df.schema[c].dataType.simpleString() for c in ("id", "obj")]
+    return df.mapInArrow(place, f"id {kinds[0]}, obj {kinds[1]}, cell long, pdist double")
 
 
 def rings(assigned: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -124,48 +197,85 @@ def rings(assigned: DataFrame, pivots: DataFrame) -> DataFrame:
     ring = assigned.groupBy("cell").agg(
         F.min("pdist").alias("lo"), F.max("pdist").alias("hi"), F.count("*").alias("cnt")
     )
-    at = pivots.select(F.col("pivot").alias("cell"), F.col("obj").alias("pobj"))
+    at = pivots.select(F.col("pivot").cast("long").alias("cell"), F.col("obj").alias("pobj"))
     return ring.join(F.broadcast(at), "cell").select("cell", "pobj", "lo", "hi", "cnt")  # MOST_PIVOTS rows
 
 
 def choose_m(n: int, target_rows: int) -> int:
-    """Cells for about ``target_rows`` objects each, as many as pivots may be."""
+    """Cells for about ``target_rows`` objects each, as many as pivots may be; build_index() splits on from there."""
     return max(1, min(MOST_PIVOTS, -(-n // target_rows)))
 
 
-def split_cells(assigned: DataFrame, cells: DataFrame, target_rows: int, metric: str | Metric = "l2") -> tuple[DataFrame, DataFrame]:
-    """(assigned, cells) with cells over ``target_rows`` split by farthest-first traversal inside.
+def root_cell(cell: Column, depth: int = 6) -> Column:
+    """The pivot's number of a cell at any level down to ``depth``."""
+    up = lambda c, _: F.when(c >= MOST_PIVOTS, F.shiftright(c, 10) - 1).otherwise(c)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), cell.cast("long"), up)
+
 
-    All large cells are split at once: a round takes each one's farthest object as a
-    new pivot.  Objects go to the nearest pivot of their own cell only, so afterwards
-    only the ring test is sound, not the half-distance bound.  New cells are numbered
-    cell * MOST_PIVOTS + sub, and small cells keep sub 0.
+def split_cells(
+    assigned: DataFrame, cells: DataFrame, target_rows: int, metric: str | Metric = "l2", most: int = MOST_PARTS, sample: int = 2048
+) -> tuple[DataFrame, DataFrame]:
+    """(assigned, cells) with cells over ``target_rows`` split into up to ``most`` parts, all in one pass.
+
+    A large cell's parts have pivots of their own: the cell's, and others by
+    farthest-first traversal of the ``sample`` of its objects with the smallest id
+    hashes.  Objects go to the nearest pivot of their own cell only, so afterwards
+    only the ring test is sound, not the half-distance bound.  Cells that are small
+    keep their number and pivot; a cell of equal objects stays whole.
     """
     dist = metric_of(metric)
-    parts = cells.select("cell", "pobj", F.least(F.ceil(F.col("cnt") / target_rows), F.lit(MOST_PIVOTS)).cast("int").alias("parts"))
-    state = assigned.join(parts, "cell").withColumn("sub", F.lit(0)).withColumn("spot", F.col("pobj")).drop("pobj")
-    rounds = parts.agg(F.max("parts")).first()[0] or 1
-    for sub in range(1, rounds):
-        far = (
-            state.where((F.col("parts") > sub) & (F.col("pdist") > 0)).groupBy("cell")
-            .agg(F.max_by("obj", F.struct("pdist", -F.col("id"))).alias("far"))
-        )
-        moved = state.join(far, "cell", "left").withColumn("d", F.when(F.col("far").isNotNull(), dist(F.col("obj"), F.col("far"))))
-        closer = F.coalesce(F.col("d") < F.col("pdist"), F.lit(False))
-        state = stage(
-            moved.select(
-                "id", "obj", "cell", "parts",
-                F.when(closer, F.col("d")).otherwise(F.col("pdist")).alias("pdist"),
-                F.when(closer, F.lit(sub)).otherwise(F.col("sub")).alias("sub"),
-                F.when(closer, F.col("far")).otherwise(F.col("spot")).alias("spot"),
-            ),
-            "split",
-        )
-    numbered = state.withColumn("cell", (F.col("cell") * MOST_PIVOTS + F.col("sub")).cast("int"))
-    new_cells = numbered.groupBy("cell").agg(
-        F.first("spot").alias("pobj"), F.min("pdist").alias("lo"), F.max("pdist").alias("hi"), F.count("*").alias("cnt")
-    )
-    return numbered.select("id", "obj", "cell", "pdist"), new_cells
+    parts = F.least(F.ceil(F.col("cnt") / target_rows), F.lit(min(most, MOST_PIVOTS))).cast("int")
+    large = cells.where(F.col("cnt") > target_rows).select("cell", "pobj", parts.alias("parts"))
+    order = W.partitionBy("cell").orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
+    few = (
+        assigned.join(large.select("cell"), "cell", "left_semi").withColumn("__n", F.row_number().over(order))
+        .where(F.col("__n") <= min(sample, MOST_SAMPLE))
+    )
+    held = few.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", "obj", "pdist"))).alias("objs")).join(large, "cell")
+    objs = F.col("objs")
+    picks = _fold(objs, objs["pdist"], F.array().cast("array<int>"), F.lit(-1), F.col("parts") - 1, dist)
+    others = F.transform(picks, lambda at, i: F.struct((i + 1).alias("sub"), F.element_at(objs, at + 1)["obj"].alias("obj")))
+    own = F.array(F.struct(F.lit(0).alias("sub"), F.col("pobj").alias("obj")))
+    subs = stage(held.select("cell", F.concat(own, others).alias("subs")).where(F.size("subs") > 1), "parts")
+    near = F.array_min(F.transform("subs", lambda s: F.struct(dist(F.col("obj"), s["obj"]).alias("d"), s["sub"].alias("sub"))))
+    number = lambda sub: (F.col("cell") + 1) * MOST_PIVOTS + sub
+    moved = (
+        assigned.join(subs, "cell", "left")
+        .withColumn("__near", F.when(F.col("subs").isNotNull(), near))
+        .select(
+            "id", "obj",
+            F.when(F.col("__near").isNull(), F.col("cell")).otherwise(number(F.col("__near.sub"))).cast("long").alias("cell"),
+            F.coalesce("__near.d", "pdist").alias("pdist"),
+        )
+    )
+    moved = stage(moved, "split")
+    spots = subs.select("cell", F.inline("subs").alias("sub", "pobj")).select(number(F.col("sub")).cast("long").alias("cell"), "pobj")
+    ring = moved.groupBy("cell").agg(F.min("pdist").alias("lo"), F.max("pdist").alias("hi"), F.count("*").alias("cnt"))
+    new = ring.join(cells.select("cell", "pobj").unionByName(spots), "cell").select("cell", "pobj", "lo", "hi", "cnt")
+    return moved, new
+
+
+def build_index(
+    df: DataFrame, target_rows: int, metric: str | Metric = "l2", sample: int = 2048
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pivots, assigned, cells), staged, with cells of about ``target_rows`` objects whatever the size of ``df``.
+
+    Cells with over four times as many are split, level by level, until none is left
+    but cells of equal objects; a level multiplies the cells by up to MOST_PARTS.
+    """
+    pivots = stage(pivots_sampled(df, choose_m(df.count(), target_rows), metric, sample), "pivots")
+    assigned = stage(assign_cells(df, pivots, metric), "assigned")
+    cells = stage(rings(assigned, pivots), "cells")
+    while True:
+        n, most = cells.agg(F.count("*"), F.max("cnt")).first()
+        if (most or 0) <= 4 * target_rows:
+            return pivots, assigned, cells
+        finer, new = split_cells(assigned, cells, target_rows, metric, sample=sample)
+        new = stage(new, "cells")
+        if new.count() == n:
+            return pivots, assigned, cells
+        unstage(assigned, cells)
+        assigned, cells = finer, new
 
 
 def pivot_ablation(df: DataFrame, queries: DataFrame, radii: DataFrame, choices: dict[str, DataFrame], metric: str | Metric = "l2", eps: float = 1e-9) -> DataFrame:

@@ -11,16 +11,45 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import Metric, metric_of
 from kinfold.operators.knn import distances, knn_exact, top_k
-from kinfold.operators.pivots import assign_cells, choose_m, pivots_fft, rings
+from kinfold.operators.pivots import MOST_PIVOTS, assign_cells, build_index, root_cell
 from kinfold.plans.pruned import knn_pruned
+from kinfold.plans.staging import exists
 from kinfold.sources.objects import write_cells
 
 POINTER = "_current"
 
 
-def widened(cells: DataFrame, placed: DataFrame, pivots: DataFrame) -> DataFrame:
-    """The cells after ``placed`` objects came in: rings only ever widen."""
-    new = rings(placed, pivots)
+def place(arrivals: DataFrame, cells: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
+    """(id, obj, cell, pdist, pobj): arrivals in the cells as they are now, split ones too.
+
+    An arrival goes to its nearest pivot and, if that pivot's cell was split, to the
+    nearest of the parts that descend from it, measured from the part's own pivot.
+    ``pobj`` is the cell's pivot.  Rows that repeat an id and an object are one.
+    """
+    kind = pivots.schema["obj"].dataType
+    placed = assign_cells(arrivals, pivots, metric)
+    top = pivots.select(F.col("pivot").cast("long").alias("cell"), F.col("obj").alias("pobj"))
+    if cells.where(F.col("cell") >= MOST_PIVOTS).isEmpty():
+        return placed.join(top, "cell").select("id", "obj", "cell", "pdist", "pobj")
+    parts = cells.select(root_cell(F.col("cell")).alias("root"), F.col("cell").alias("part"), F.col("pobj").cast(kind))
+    # a pivot whose cell holds nothing yet stands for itself
+    parts = parts.unionByName(
+        top.join(parts.select(F.col("root").alias("cell")).distinct(), "cell", "left_anti")
+        .select(F.col("cell").alias("root"), F.col("cell").alias("part"), "pobj")
+    )
+    met = placed.select("id", "obj", F.col("cell").alias("root")).join(parts, "root")
+    dist = metric_of(metric)(F.col("obj"), F.col("pobj"))
+    best = met.groupBy("id", "obj").agg(
+        F.min_by(F.struct("part", "pobj", dist.alias("d")), F.struct(dist.alias("d"), "part")).alias("at")
+    )
+    return best.select("id", "obj", F.col("at.part").alias("cell"), F.col("at.d").alias("pdist"), F.col("at.pobj").alias("pobj"))
+
+
+def widened(cells: DataFrame, placed: DataFrame) -> DataFrame:
+    """The cells after ``placed`` objects came in: rings only ever widen, pivots stay."""
+    new = placed.groupBy("cell").agg(
+        F.first("pobj").alias("pobj"), F.min("pdist").alias("lo"), F.max("pdist").alias("hi"), F.count("*").alias("cnt")
+    )
     both = cells.unionByName(new)
     return both.groupBy("cell").agg(
         F.first("pobj").alias("pobj"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("cnt").alias("cnt")
@@ -28,9 +57,12 @@ def widened(cells: DataFrame, placed: DataFrame, pivots: DataFrame) -> DataFrame
 
 
 def insert_direct(assigned: DataFrame, cells: DataFrame, pivots: DataFrame, arrivals: DataFrame, metric: str | Metric = "l2") -> tuple[DataFrame, DataFrame]:
-    """(assigned, cells) with the arrivals in place and the rings widened in the same step, so search stays exact."""
-    placed = assign_cells(arrivals, pivots, metric)
-    return assigned.unionByName(placed), widened(cells, placed, pivots)
+    """(assigned, cells) with the arrivals in place and the rings widened in the same step, so search stays exact.
+
+    Cells may have been split; ``pivots`` are those that the index was built with.
+    """
+    placed = place(arrivals, cells, pivots, metric)
+    return assigned.unionByName(placed.drop("pobj")), widened(cells, placed)
 
 
 def delete(assigned: DataFrame, ids: DataFrame) -> DataFrame:
@@ -55,34 +87,38 @@ def knn_buffered(assigned: DataFrame, cells: DataFrame, buffer: DataFrame, queri
 
 def rebuilt(assigned: DataFrame, buffer: DataFrame, target_rows: int, metric: str | Metric = "l2") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pivots, assigned, cells) over index and buffer together, with pivots chosen anew."""
-    every = assigned.select("id", "obj").unionByName(buffer.select("id", "obj"))
-    pivots = pivots_fft(every, choose_m(every.count(), target_rows), metric)
-    placed = assign_cells(every, pivots, metric)
-    return pivots, placed, rings(placed, pivots)
+    return build_index(assigned.select("id", "obj").unionByName(buffer.select("id", "obj")), target_rows, metric)
 
 
 def compact(assigned: DataFrame, buffer: DataFrame, threshold: int, target_rows: int, path: str, version: int, metric: str | Metric = "l2") -> bool:
     """Rebuilds into a new version folder once the buffer has more than ``threshold`` rows.
 
     The new version is written whole; the pointer to it is written last, so readers
-    see the old or the new one.  Returns whether it did.
+    see the old or the new one.  A version whose pointer was not written is of no
+    reader's, and a run that starts again overwrites it; one that was published
+    raises.  Returns whether it did.
     """
+    spark = assigned.sparkSession
     if buffer.limit(threshold + 1).count() <= threshold:
         return False
-    spark = assigned.sparkSession
+    if (current_version(spark, path) or 0) >= version:
+        raise ValueError(f"version {version} is published already")
     pivots, placed, cells = rebuilt(assigned, buffer, target_rows, metric)
-    write_cells(placed, f"{path}/v{version}/objects")
-    cells.write.parquet(f"{path}/v{version}/cells")
-    pivots.write.parquet(f"{path}/v{version}/pivots")
+    write_cells(placed, f"{path}/v{version}/objects", mode="overwrite")
+    cells.write.mode("overwrite").parquet(f"{path}/v{version}/cells")
+    pivots.write.mode("overwrite").parquet(f"{path}/v{version}/pivots")
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("since")).coalesce(1).write.mode(
         "append"
     ).parquet(f"{path}/{POINTER}")
     return True
 
 
-def current_version(spark, path: str) -> int:
-    """The newest version whose write ended."""
-    return spark.read.parquet(f"{path}/{POINTER}").agg(F.max("version")).first()[0]
+def current_version(spark, path: str) -> int | None:
+    """The newest version whose write ended; None before the first."""
+    published = f"{path}/{POINTER}"
+    if not exists(spark, published):
+        return None
+    return spark.read.parquet(published).agg(F.max("version")).first()[0]
 
 
 def latest(base: DataFrame, changes: DataFrame, as_of) -> DataFrame:
@@ -104,12 +140,13 @@ def knn_dynamic(base: DataFrame, changes: DataFrame, as_of, queries: DataFrame,
 
 
 def admit_safe(arrivals: DataFrame, cells: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
-    """(id, obj, cell, pdist, admitted): admitted if the distance lies inside the ring of the nearest pivot's cell.
+    """(id, obj, cell, pdist, admitted): admitted if the distance lies inside the ring of the arrival's cell.
 
-    Admitted arrivals leave every ring as it is; the others belong in the buffer.
+    The cell is that of the nearest pivot, or of the nearest part where that was
+    split.  Admitted arrivals leave every ring as it is; the others belong in the buffer.
     """
     ring = cells.select("cell", "lo", "hi")
-    placed = assign_cells(arrivals, pivots, metric).join(ring, "cell", "left")
+    placed = place(arrivals, cells, pivots, metric).join(ring, "cell", "left")
     return placed.select(
         "id", "obj", "cell", "pdist", F.coalesce(F.col("pdist").between(F.col("lo"), F.col("hi")), F.lit(False)).alias("admitted")
     )

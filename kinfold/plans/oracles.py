@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.plans.queries import CELL_ROWS, EMAIL, FAMILIES, RULES, K  # noqa: F401
+from kinfold.plans.queries import EMAIL, FAMILIES, FILE_PAGES, PARTS, RULES, K
 
 
 def _l2(a: str, b: str) -> str:
@@ -105,7 +105,7 @@ _ID = """ident AS (
 _family = " ".join(
     f"WHEN p_name LIKE '{p}' THEN '{f}'" for p, f in sorted(FAMILIES, key=lambda r: (-len(r[0]), r[0], r[1]))
 )
-_rule = {n: f"coalesce(regexp_matches(text, '{p}'), false)" for n, p in RULES.items()}
+_rule = {n: f"coalesce(regexp_matches(text, '{p}'), false)" for n, p in (RULES | {"mail": EMAIL}).items()}
 _tokens = "list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')))"
 _hash_order = "sha256(concat(CAST(id AS VARCHAR), ':7'))"
 _grid = "(VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) g(scales)"
@@ -127,7 +127,73 @@ def _ablation() -> str:
     return _knn("points", extra=f", {_fft('points')}, {pick}") + " " + " UNION ALL ".join(parts)
 
 
+_ADMITTED = f"""
+  WITH {POINTS}, {_cells('points', where='id % 10 < 8')}
+  SELECT id, CAST(a.cell AS BIGINT) AS cell, round(pdist, 6) AS pdist, coalesce(pdist BETWEEN lo AND hi, false) AS admitted
+  FROM assigned a LEFT JOIN rings USING (cell) WHERE id % 10 >= 8"""
+
+
+def _split() -> str:
+    """Every cell of over 500 points in up to PARTS parts, whose pivots are its own and farthest-first ones inside."""
+    near, ctes, spots = "pdist", [], []
+    for k in range(1, PARTS):
+        ctes.append(
+            f"s{k} AS (SELECT cell, arg_max(obj, (n, -id)) AS obj FROM (SELECT id, obj, cell, parts, {near} AS n FROM t0 {' '.join(spots)}) "
+            f"WHERE parts > {k} AND n > 0 GROUP BY cell)"
+        )
+        spots.append(f"LEFT JOIN (SELECT cell AS c{k}, obj AS o{k} FROM s{k}) ON c{k} = cell")
+        dists = ", ".join(f"CASE WHEN o{j} IS NOT NULL THEN {_l2('obj', f'o{j}')} END" for j in range(1, k + 1))
+        near = f"least(pdist, {dists})"
+    subs = " ".join(f"WHEN {_l2('obj', f'o{k}')} = d THEN {k}" for k in range(1, PARTS))
+    return f"""WITH {POINTS}, {_cells('points')}, t0 AS (
+      SELECT id, obj, cell, pdist, CASE WHEN cnt > 500 THEN least(ceil(cnt / 500), {PARTS}) ELSE 1 END AS parts
+      FROM assigned JOIN rings USING (cell)
+    ), {', '.join(ctes)}, near AS (
+      SELECT *, {near} AS d FROM t0 {' '.join(spots)}
+    ), parted AS (
+      SELECT cell AS root, d, CASE WHEN c1 IS NULL THEN cell ELSE (cell + 1) * 1024 + CASE WHEN pdist = d THEN 0 {subs} END END AS cell FROM near
+    )
+    SELECT CAST(root AS BIGINT) AS root, CAST(cell AS BIGINT) AS cell, round(min(d), 6) AS lo, round(max(d), 6) AS hi, count(*) AS cnt
+    FROM parted GROUP BY ALL"""
+
+
+def _recall_tuning() -> str:
+    """Neighbours within the radius of each number of scales, over those wanted."""
+    return f"""WITH {POINTS}, {_CALIB}, near AS (
+        SELECT qid, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM kdist) WHERE rank <= {K}
+      ), r AS (
+        SELECT id AS qid, scales, greatest(intercept + slope * pdist + scales * scale, 0.0) AS radius FROM assigned, model, {_grid} WHERE id % 20 = 10
+      ), q AS (SELECT scales, qid, count(*) FILTER (dist <= radius) / count(*) AS recall FROM near JOIN r USING (qid) GROUP BY ALL)
+      SELECT scales, count(*) AS queries, round(avg(recall), 6) AS recall FROM q GROUP BY scales"""
+
+
 ORACLES = {
+    "vectors_text": """
+      SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS n, round(embedding[1]::DOUBLE, 6) AS first,
+             round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings""",
+    "objects_dtype": """
+      SELECT vec_id AS id, 'array<double>' AS kind, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm
+      FROM embeddings""",
+    "manifest_binaries": """
+      WITH d AS (
+        SELECT CAST(doc_id AS VARCHAR) AS item_id, lang, source,
+               sha256(concat_ws(chr(31), coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''))) AS payload_sha256 FROM documents
+      ), e AS (
+        SELECT item_id, payload_sha256, 'lang' AS binary, sha256(lang) AS binary_sha256 FROM d WHERE lang IS NOT NULL
+        UNION ALL SELECT item_id, payload_sha256, 'source', sha256(source) FROM d WHERE source IS NOT NULL
+        UNION ALL SELECT item_id, payload_sha256, NULL, NULL FROM d WHERE lang IS NULL AND source IS NULL
+      ) SELECT * FROM e""",
+    "file_hashes": f"""
+      SELECT page_id // {FILE_PAGES} AS file, CAST(sum(strlen(coalesce(html, '')) + 1) AS BIGINT) AS bytes,
+             sha256(string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id)) AS sha256 FROM pages GROUP BY 1""",
+    "index_table": f"""
+      WITH {POINTS}, {_cells('points')} SELECT CAST(cell AS BIGINT) AS cell, count(*) AS cnt, min(id) AS first_id, max(id) AS last_id,
+             round(max(pdist), 6) AS hi FROM assigned GROUP BY cell""",
+    "recall_tuning": _recall_tuning(),
+    "upd_insert_split": _result(_knn("points")),
+    "upd_safe_admit_split": _result(_knn("points")),
+    "stream_search": _result(_knn("points")),
+    "stream_nearest": _result(_knn("points", self_out="true")),
     "dist_l2": _next("vectors"),
     "dist_edit": _next("urls"),
     "dist_tanimoto_bits": _next("bits"),
@@ -142,8 +208,8 @@ ORACLES = {
     "pivots_fft": f"WITH {POINTS}, {_fft('points')} " + " UNION ALL ".join(f"SELECT {k} AS pivot, id FROM p{k}" for k in range(4)),
     "pivots_hash": f"WITH {POINTS} SELECT CAST(row_number() OVER (ORDER BY {_hash_order}) - 1 AS INTEGER) AS pivot, id FROM points ORDER BY {_hash_order} LIMIT 4",
     "pivot_table": f"WITH {POINTS}, {_cells('points')} SELECT id, round(d0, 6) AS d0, round(d1, 6) AS d1, round(d2, 6) AS d2, round(d3, 6) AS d3 FROM table_",
-    "cells": f"WITH {POINTS}, {_cells('points')} SELECT cell, round(lo, 6) AS lo, round(hi, 6) AS hi, cnt FROM rings",
-    "cell_split": f"WITH {POINTS}, {_cells('points')} SELECT cell, cnt FROM rings",
+    "cells": f"WITH {POINTS}, {_cells('points')} SELECT CAST(cell AS BIGINT) AS cell, round(lo, 6) AS lo, round(hi, 6) AS hi, cnt FROM rings",
+    "cell_split": _split(),
     "pivot_ablation": _ablation(),
     "knn_l2": _result(_knn("vectors")),
     "knn_edit": _result(_knn("urls")),
@@ -177,10 +243,8 @@ ORACLES = {
     "knn_buffer": _result(_knn("points")),
     "upd_rebuild": _result(_knn("points")),
     "knn_dynamic": _result(_DYNAMIC),
-    "upd_safe_admit": f"""
-      WITH {POINTS}, {_cells('points', where='id % 10 < 8')}
-      SELECT id, a.cell, round(pdist, 6) AS pdist, coalesce(pdist BETWEEN lo AND hi, false) AS admitted
-      FROM assigned a LEFT JOIN rings USING (cell) WHERE id % 10 >= 8""",
+    "upd_safe_admit": _ADMITTED,
+    "stream_arrivals": _ADMITTED,
     "upd_visibility": f"""{_DYNAMIC}, stale AS (
         SELECT qid, id FROM (SELECT q.id AS qid, d.id, row_number() OVER (PARTITION BY q.id ORDER BY {_l2('d.obj', 'q.obj')}, d.id) AS rank
           FROM vectors d, vectors q WHERE q.id % 20 = 0 AND d.id <> q.id AND d.id % 10 < 8) WHERE rank <= {K})

@@ -1,8 +1,10 @@
-"""Exact top-k and range search that read only the cells a query can need.
+"""Exact top-k and range search that read only the cells and rows a query can need.
 
 For a metric, an object x in a cell with pivot p and ring [lo, hi] is within r of
-q only if d(q, p) - r <= hi and d(q, p) + r >= lo.  The cells nearest to a query
-that hold k objects between them give a radius that the k-th neighbour can't exceed.
+q only if d(q, p) - r <= hi and d(q, p) + r >= lo, and only if d(q, p) and the
+stored d(x, p) differ by r at most.  The first test leaves out cells, the second
+rows before any distance is computed.  The cells nearest to a query that hold k
+objects between them give a radius that the k-th neighbour can't exceed.
 """
 
 from __future__ import annotations
@@ -11,32 +13,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.functions.metrics import Metric, metric_of
+from kinfold.functions.metrics import Metric, l2, l2_of, metric_of, usable
 from kinfold.operators.knn import top_k
 from kinfold.plans.pairs import against_all
 
-#: Guards comparisons of bounds against rounding.
+#: Guards comparisons of bounds against rounding, relative to the numbers compared.
 EPS = 1e-9
 
 
+#: Euclidean distances of vectors up to this width are written out, number by number.
+NARROW = 16
+
+
+def _compiled(cells: DataFrame, metric: str | Metric) -> Metric:
+    """The metric; for short vectors the form of l2() that Spark compiles."""
+    if metric in ("l2", l2):
+        width = cells.agg(F.max(F.size("pobj"))).first()[0]
+        if width and width <= NARROW:
+            return l2_of(width)
+    return metric_of(metric)
+
+
 def query_cells(cells: DataFrame, queries: DataFrame, metric: str | Metric = "l2") -> DataFrame:
     """(qid, qobj, cell, dq, lo, hi, cnt): every query with every cell."""
-    pairs = against_all(cells.withColumnRenamed("cell", "id"), queries.select("qid", "qobj"))
+    asked = usable(queries, "qid", "qobj").select("qid", "qobj")
+    pairs = against_all(cells.withColumnRenamed("cell", "id"), asked)
     return pairs.select(
         "qid", "qobj", F.col("id").alias("cell"), metric_of(metric)(F.col("pobj"), F.col("qobj")).alias("dq"), "lo", "hi", "cnt"
     )
 
 
+def _boundless(radius: Column) -> Column:
+    """Whether a radius excludes nothing: infinite or NaN."""
+    return F.isnan(radius) | (radius == float("inf"))
+
+
 def ring_holds(radius: Column) -> Column:
-    """Whether the ring of a query's cell can hold objects within ``radius``, borders included."""
-    return (F.col("dq") - radius <= F.col("hi") + EPS) & (F.col("dq") + radius >= F.col("lo") - EPS)
+    """Whether the ring of a query's cell can hold objects within ``radius``, borders included.
+
+    A distance that is NaN or infinite proves nothing, so such a query reads the cell.
+    """
+    dq, lo, hi = F.col("dq"), F.col("lo"), F.col("hi")
+    room = EPS * (1 + dq)
+    return _boundless(radius) | _boundless(dq) | ((dq - radius <= hi + room) & (dq + radius >= lo - room))
 
 
-def _in_cells(assigned: DataFrame, chosen: DataFrame, metric: str | Metric, exclude_self: bool) -> DataFrame:
-    found = assigned.select("cell", "id", "obj").join(chosen, "cell")
+def _in_cells(
+    assigned: DataFrame, wanted: DataFrame, metric: str | Metric, exclude_self: bool, radius: str | None = None
+) -> DataFrame:
+    """(qid, id, dist, radius) of the objects of the cells in ``wanted`` (qid, qobj, cell, dq) that the radius may reach."""
+    columns = ["cell", "id", "obj", *([] if radius is None else ["pdist"])]
+    found = assigned.select(*columns).join(wanted, "cell")
     if exclude_self:
         found = found.where(F.col("id") != F.col("qid"))
-    return found.withColumn("dist", metric_of(metric)(F.col("obj"), F.col("qobj"))).drop("obj", "qobj")
+    if radius is not None:
+        r = F.col(radius)
+        gap, room = F.abs(F.col("dq") - F.col("pdist")), EPS * (1 + F.col("dq"))
+        found = found.where(_boundless(r) | _boundless(F.col("dq")) | (gap <= r + room))
+    kept = ["qid", "id", *([] if radius is None else [radius])]
+    return found.select(*kept, metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist")).where("dist IS NOT NULL")
 
 
 def radius_bounds(assigned: DataFrame, by_cell: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
@@ -49,27 +84,37 @@ def radius_bounds(assigned: DataFrame, by_cell: DataFrame, k: int, metric: str |
     return top_k(seen, k).where(F.col("rank") == k).select("qid", F.col("dist").alias("radius"))
 
 
+def _within(found: DataFrame) -> DataFrame:
+    """Pairs whose distance is within their radius, and all of those whose radius excludes nothing."""
+    return found.where(_boundless(F.col("radius")) | (F.col("dist") <= F.col("radius")))
+
+
 def knn_pruned(assigned: DataFrame, cells: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """The same result as knn_exact() for a metric, from the cells that can hold neighbours.
+    """The same result as knn_exact() for a metric, from the cells and rows that can hold neighbours.
 
     Works with split cells, as it uses rings alone.  Joins on cell are equi-joins
     that Spark may broadcast or split by size.
     """
+    metric = _compiled(cells, metric)
     by_cell = query_cells(cells, queries, metric)
     bounds = radius_bounds(assigned, by_cell, k, metric, exclude_self)
     near = by_cell.join(bounds, "qid", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    chosen = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "radius")
-    return top_k(_in_cells(assigned, chosen, metric, exclude_self).where(F.col("dist") <= F.col("radius")), k)
+    wanted = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "dq", "radius")
+    return top_k(_within(_in_cells(assigned, wanted, metric, exclude_self, "radius")), k)
 
 
 def range_pruned(assigned: DataFrame, cells: DataFrame, queries: DataFrame, radius: float, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """The same result as range_search() for a metric, from the cells that can hold it."""
-    chosen = query_cells(cells, queries, metric).where(ring_holds(F.lit(radius))).select("qid", "qobj", "cell")
-    return _in_cells(assigned, chosen, metric, exclude_self).where(F.col("dist") <= radius).select("qid", "id", "dist")
+    """The same result as range_search() for a metric, from the cells and rows that can hold it."""
+    metric = _compiled(cells, metric)
+    near = query_cells(cells, queries, metric).withColumn("radius", F.lit(float(radius)))
+    wanted = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "dq", "radius")
+    found = _in_cells(assigned, wanted, metric, exclude_self, "radius")
+    return found.where((F.col("dist") <= radius) & ~F.isnan("dist")).select("qid", "id", "dist")
 
 
 def knn_approx(assigned: DataFrame, cells: DataFrame, queries: DataFrame, radii: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """Top-k within a predicted radius (qid, radius), with ``exact`` false: neighbours beyond it are missed."""
+    metric = _compiled(cells, metric)
     near = query_cells(cells, queries, metric).join(radii, "qid")
-    chosen = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "radius")
-    return top_k(_in_cells(assigned, chosen, metric, exclude_self).where(F.col("dist") <= F.col("radius")), k, exact=False)
+    wanted = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "dq", "radius")
+    return top_k(_within(_in_cells(assigned, wanted, metric, exclude_self, "radius")), k, exact=False)

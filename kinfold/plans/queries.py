@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from kinfold.functions.metrics import edit, l2, sign_bits, tanimoto_bits, tanimoto_set, tokens, within_capacity
 from kinfold.operators import calibrate, identity, knn, pivots, updates
 from kinfold.plans import pruned
-from kinfold.plans.staging import stage
+from kinfold.plans.staging import stage, stage_path
+from kinfold.sources import manifest, objects
+from kinfold.streaming import arrivals, topk
 
 K = 10
 #: Objects that a cell should hold.
@@ -83,6 +85,60 @@ def dist_tanimoto_set(spark, sf):
     return _six(_neighbours(docs, tanimoto_set), "dist")
 
 
+# --- A: sources and sinks, which read back what Spark has written of a table -----------
+
+
+def vectors_text(spark, sf):
+    path = stage_path(spark, "text")
+    line = F.concat_ws(" ", F.col("id").cast("string"), F.transform("obj", lambda x: x.cast("string")))
+    _vectors(spark, sf).where("obj IS NOT NULL").select(line.alias("value")).write.text(path)
+    back = objects.read_vectors_text(spark, path)
+    total = F.aggregate("obj", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _six(back.select("id", F.size("obj").alias("n"), F.col("obj")[0].cast("double").alias("first"), total.alias("total")), "first", "total")
+
+
+def objects_dtype(spark, sf):
+    loaded = objects.load_objects(_table(spark, sf, "embeddings"), "vec_id", "embedding", "double")
+    norm = F.aggregate("obj", F.lit(0.0), lambda s, x: s + x * x)
+    return _six(loaded.select("id", F.typeof("obj").alias("kind"), norm.alias("norm")), "norm")
+
+
+def manifest_binaries(spark, sf):
+    """Documents as manifest items, with their language and source as entries of the map."""
+    docs = _identified(spark, sf)
+    entries = F.map_filter(
+        F.create_map(F.lit("lang"), F.sha2("lang", 256), F.lit("source"), F.sha2("source", 256)), lambda k, v: v.isNotNull()
+    )
+    item = F.struct(F.col("doc_id").cast("string").alias("item_id"), "source_sha256", "payload_sha256", entries.alias("binaries"))
+    none = F.array().cast("array<struct<item_id:string,reason:string>>")
+    path = stage_path(spark, "manifest")
+    docs.select(F.lit("2024-02-29").alias("snapshot_date"), F.array(item).alias("items"), none.alias("excluded")).write.json(path)
+    return manifest.binaries(manifest.read_manifest(spark, path, lines=True))
+
+
+#: Pages in a file of file_hashes.
+FILE_PAGES = 100
+
+
+def file_hashes(spark, sf):
+    """Pages in files of a hundred, hashed as exact bytes."""
+    pages = _table(spark, sf, "pages").select(F.floor(F.col("page_id") / FILE_PAGES).alias("file"), "page_id", "html")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = stage_path(spark, "files")
+    dealt = pages.repartition(n, "file").sortWithinPartitions("file", "page_id").select("file", F.coalesce("html", F.lit("")).alias("value"))
+    dealt.write.partitionBy("file").text(path)
+    hashed = manifest.hash_files(spark, f"{path}/*/*.txt")
+    return hashed.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "bytes", "sha256")
+
+
+def index_table(spark, sf):
+    """The index as one folder a cell, read back cell by cell."""
+    path = stage_path(spark, "index")
+    objects.write_cells(_index(_points(spark, sf))[1], path)
+    back = objects.read_cells(spark, path).groupBy(F.col("cell").cast("long").alias("cell"))
+    return _six(back.agg(F.count("*").alias("cnt"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("pdist").alias("hi")), "hi")
+
+
 # --- C: pivots and cells ---------------------------------------------------------
 
 
@@ -110,12 +166,20 @@ def cells(spark, sf):
     return _six(_index(_points(spark, sf))[2].select("cell", "lo", "hi", "cnt"), "lo", "hi")
 
 
+#: What cells are split into at most in the query, so that SQL can unroll the rounds.
+PARTS = 4
+
+
+def _split(points: DataFrame):
+    """Cells of 500 objects aimed at, in up to PARTS parts with pivots from up to MOST_SAMPLE of their objects."""
+    chosen, assigned, ring = _index(points)
+    return chosen, *pivots.split_cells(assigned, ring, 500, most=PARTS, sample=pivots.MOST_SAMPLE)
+
+
 def cell_split(spark, sf):
-    """Cells of 500 objects at most aimed at: rings and counts, split cells told by cell and sub."""
-    _, assigned, ring = _index(_points(spark, sf))
-    _, split = pivots.split_cells(assigned, ring, 500)
-    back = split.groupBy(F.floor(F.col("cell") / pivots.MOST_PIVOTS).cast("int").alias("cell"))
-    return back.agg(F.sum("cnt").alias("cnt"))
+    """Rings and counts of the split cells, by the pivot they come from and their number."""
+    _, _, split = _split(_points(spark, sf))
+    return _six(split.select(pivots.root_cell(F.col("cell")).alias("root"), "cell", "lo", "hi", "cnt"), "lo", "hi")
 
 
 def pivot_ablation(spark, sf):
@@ -157,9 +221,7 @@ def knn_external(spark, sf):
 
 def _pruned_points(spark, sf):
     points = _points(spark, sf)
-    chosen = stage(pivots.pivots_sampled(points, pivots.choose_m(points.count(), CELL_ROWS)), "pivots")
-    assigned = pivots.assign_cells(points, chosen)
-    return points, assigned, pivots.rings(assigned, chosen)
+    return points, *pivots.build_index(points, CELL_ROWS)[1:]
 
 
 def knn_pruned(spark, sf):
@@ -200,9 +262,16 @@ def radius_fit(spark, sf):
 
 
 def radius_ml(spark, sf):
+    """Recall over all queries of a search with radii by boosted trees, widened by half and floored: no query goes unanswered."""
     points, chosen, _, _, _, calib = _calibrated(spark, sf)
-    nearest = calibrate.nearest_pivot(_queries(points), chosen)
-    return calibrate.predict_radius_ml(nearest, calibrate.fit_radius_ml(calib))
+    asked = _queries(points)
+    radii = calibrate.predict_radius_ml(calibrate.nearest_pivot(asked, chosen), calibrate.fit_radius_ml(calib), 1.5)
+    approx = pruned.knn_approx(*pivots.build_index(points, CELL_ROWS)[1:], asked, radii, K, exclude_self=True)
+    audit = calibrate.recall_at_k(approx, knn.knn_exact(points, asked, K, exclude_self=True))
+    return audit.agg(
+        F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.avg("recall") >= 0.7).alias("recall_reached"),
+        (F.min("recall") < 1).alias("some_missed"),
+    )
 
 
 def radius_tuning(spark, sf):
@@ -211,8 +280,19 @@ def radius_tuning(spark, sf):
     return _six(tuned, "coverage", "mean_candidates")
 
 
+def recall_tuning(spark, sf):
+    """Recall of the search itself for every number of scales, on the calibration's queries."""
+    points, chosen, _, _, held, calib = _calibrated(spark, sf)
+    _, assigned, ring = pivots.build_index(points, CELL_ROWS)
+    nearest, model = calibrate.nearest_pivot(held, chosen), calibrate.fit_radius(calib)
+    exact = knn.knn_exact(points, held, K, exclude_self=True)
+    grid = [0.0, 1.0, 2.0, 4.0]
+    return _six(calibrate.recall_by_scale(assigned, ring, held, nearest, model, grid, exact, K, exclude_self=True), "recall")
+
+
 def _approx(spark, sf):
-    points, chosen, assigned, ring, _, calib = _calibrated(spark, sf)
+    points, chosen, _, _, _, calib = _calibrated(spark, sf)
+    _, assigned, ring = pivots.build_index(points, CELL_ROWS)
     asked = _queries(points)
     radii = calibrate.predict_radius(calibrate.nearest_pivot(asked, chosen), calibrate.fit_radius(calib), 1.0)
     return points, asked, ring, radii, pruned.knn_approx(assigned, ring, asked, radii, K, exclude_self=True)
@@ -246,28 +326,36 @@ def _arrivals(points: DataFrame) -> DataFrame:
 
 def upd_insert(spark, sf):
     points = _points(spark, sf)
-    chosen, assigned, ring = _index(_base(points))
+    chosen, assigned, ring = pivots.build_index(_base(points), CELL_ROWS)
+    after, wide = updates.insert_direct(assigned, ring, chosen, _arrivals(points))
+    return _six(pruned.knn_pruned(stage(after, "after"), wide, _queries(points), K, exclude_self=True), "dist")
+
+
+def upd_insert_split(spark, sf):
+    """Arrivals placed among the parts of split cells."""
+    points = _points(spark, sf)
+    chosen, assigned, ring = _split(_base(points))
     after, wide = updates.insert_direct(assigned, ring, chosen, _arrivals(points))
-    return _six(pruned.knn_pruned(after, wide, _queries(points), K, exclude_self=True), "dist")
+    return _six(pruned.knn_pruned(stage(after, "after"), stage(wide, "wide"), _queries(points), K, exclude_self=True), "dist")
 
 
 def upd_delete(spark, sf):
     points = _points(spark, sf)
-    _, assigned, ring = _index(points)
-    after = updates.delete(assigned, points.where(F.col("id") % 10 == 3).select("id"))
+    _, assigned, ring = pivots.build_index(points, CELL_ROWS)
+    after = stage(updates.delete(assigned, points.where(F.col("id") % 10 == 3).select("id")), "after")
     return _six(pruned.knn_pruned(after, updates.recount(after, ring), _queries(points), K, exclude_self=True), "dist")
 
 
 def knn_buffer(spark, sf):
     points = _points(spark, sf)
-    _, assigned, ring = _index(_base(points))
+    _, assigned, ring = pivots.build_index(_base(points), CELL_ROWS)
     return _six(updates.knn_buffered(assigned, ring, _arrivals(points), _queries(points), K, exclude_self=True), "dist")
 
 
 def upd_rebuild(spark, sf):
     points = _points(spark, sf)
-    _, assigned, _ = _index(_base(points))
-    _, placed, ring = updates.rebuilt(assigned, _arrivals(points), CELL_ROWS * 8)
+    _, assigned, _ = pivots.build_index(_base(points), CELL_ROWS)
+    _, placed, ring = updates.rebuilt(assigned, _arrivals(points), CELL_ROWS)
     return _six(pruned.knn_pruned(placed, ring, _queries(points), K, exclude_self=True), "dist")
 
 
@@ -300,6 +388,17 @@ def upd_safe_admit(spark, sf):
     return _six(updates.admit_safe(_arrivals(points), ring, chosen).select("id", "cell", "pdist", "admitted"), "pdist")
 
 
+def upd_safe_admit_split(spark, sf):
+    """Top-k over split cells with the arrivals that they admit, and a buffer of the others."""
+    points = _points(spark, sf)
+    chosen, assigned, ring = _split(_base(points))
+    dealt = stage(updates.admit_safe(_arrivals(points), ring, chosen), "dealt")
+    after = stage(assigned.unionByName(dealt.where("admitted").drop("admitted")), "after")
+    waiting = dealt.where("NOT admitted").select("id", "obj")
+    found = updates.knn_buffered(after, updates.recount(after, ring), waiting, _queries(points), K, exclude_self=True)
+    return _six(found, "dist")
+
+
 def upd_visibility(spark, sf):
     """The faults of a result that knows no changes: what it still shows and what it can't see yet."""
     vectors, base, changes = _changes(spark, sf)
@@ -308,6 +407,45 @@ def upd_visibility(spark, sf):
     return updates.visibility(stale, base, changes, _as_of(spark, sf), asked, K, exclude_self=True)
 
 
+# --- F8, F9: streams, whose arrivals are a table that Spark has written ---------------------
+
+
+def _streamed(spark, sf):
+    """(points, assigned, ring, the folder of a stream that has dealt all arrivals)."""
+    points = _points(spark, sf)
+    chosen, assigned, ring = _index(_base(points))
+    path = stage_path(spark, "stream")
+    _arrivals(points).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(points.schema).parquet(f"{path}/in")
+    arrivals.stream_updates(stream, stage(ring, "ring"), chosen, f"{path}/out", f"{path}/check").awaitTermination()
+    return points, assigned, ring, f"{path}/out"
+
+
+def stream_arrivals(spark, sf):
+    """What a stream admits and what it leaves in the buffer."""
+    _, _, _, path = _streamed(spark, sf)
+    parts = [
+        arrivals.arrived(spark, path, name).select("id", "cell", "pdist", F.lit(name == "admitted").alias("admitted"))
+        for name in ("admitted", "buffer")
+    ]
+    return _six(parts[0].unionByName(parts[1]), "pdist")
+
+
+def stream_search(spark, sf):
+    """Top-k over the index, the arrivals that the stream has admitted and those that wait."""
+    points, assigned, ring, path = _streamed(spark, sf)
+    return _six(arrivals.knn_arrived(assigned, ring, path, _queries(points), K, exclude_self=True), "dist")
+
+
+def stream_nearest(spark, sf):
+    """Top-k of standing queries over a stream of points, whose last lists are a batch's over all of them."""
+    points = _points(spark, sf)
+    path = stage_path(spark, "stream")
+    points.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(points.schema).parquet(f"{path}/in")
+    return _six(topk.settled_topk(stream, _queries(points), K, f"{path}/lists", f"{path}/check"), "dist")
+
+
 # --- G: content identity ----------------------------------------------------------------
 
 
@@ -381,16 +519,16 @@ def redact_dual_hash(spark, sf):
     return identity.redact(docs, "text", EMAIL, "[mail]").select("doc_id", "original_sha256", "published_sha256", "changed")
 
 
+#: A match needs one sign on either side of the @ only, which no long run of letters slows down.
 RULES = {
-    "mail": EMAIL,
+    "mail": r"[A-Za-z0-9._]@[A-Za-z0-9.]",
     "credential": r"(password|token|secret|api_key) *[=:]",
     "path": r"/(home|Users)/[a-z]+",
 }
 
 
 def publication_filter(spark, sf):
-    kept, report = identity.publishable(_table(spark, sf, "documents").select("doc_id", "text"), "text", RULES)
-    return report.unionByName(kept.agg(F.lit("publishable").alias("rule"), F.count("*").alias("n")))
+    return identity.rule_report(_table(spark, sf, "documents"), "text", RULES)
 
 
 def collection_rollup(spark, sf):
@@ -405,9 +543,11 @@ QUERIES = {
     for f in (
         dist_l2, dist_edit, str_capacity, dist_tanimoto_bits, dist_tanimoto_set,
         pivots_fft, pivots_hash, pivot_table, cells, cell_split, pivot_ablation,
+        vectors_text, objects_dtype, manifest_binaries, file_hashes, index_table,
         knn_l2, knn_edit, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, topk_validity,
-        radius_fit, radius_ml, radius_tuning, knn_approx, recall_audit, prune_soundness,
-        upd_insert, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, upd_safe_admit, upd_visibility,
+        radius_fit, radius_ml, radius_tuning, recall_tuning, knn_approx, recall_audit, prune_soundness,
+        upd_insert, upd_insert_split, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, upd_safe_admit,
+        upd_safe_admit_split, upd_visibility, stream_arrivals, stream_search, stream_nearest,
         identity_two_level, alias_groups, identity_counts, context_drift, canonical_rows, reconcile_prefix,
         exclusions, provenance_fanout, family_lookup, check_coverage, redact_dual_hash, publication_filter,
         collection_rollup,

@@ -13,20 +13,23 @@ MANIFEST = (
 )
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path, multiLine=True).withColumn(
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(path, multiLine=not lines).withColumn(
         "snapshot_date", F.to_date("snapshot_date")
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(snapshot_date, item_id, source_sha256, payload_sha256, binaries): one row an item."""
-    return _documents(spark, path).select("snapshot_date", F.inline("items"))
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(snapshot_date, item_id, source_sha256, payload_sha256, binaries): one row an item.
 
+    A file is one document, or with ``lines`` one document a line, which Spark can split.
+    """
+    return _documents(spark, path, lines).select("snapshot_date", F.inline("items"))
 
-def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
+
+def read_exclusions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(snapshot_date, item_id, reason): one row an item left out."""
-    return _documents(spark, path).select("snapshot_date", F.inline("excluded"))
+    return _documents(spark, path, lines).select("snapshot_date", F.inline("excluded"))
 
 
 def binaries(items: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ def dropped_objects(df: DataFrame, obj_col: str) -> DataFrame:
     return df.agg(F.count("*").alias("objects"), F.count_if(F.col(obj_col).isNull()).alias("dropped"))
 
 
-def write_cells(assigned: DataFrame, path: str) -> None:
+def write_cells(assigned: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The index table, one folder a cell, so that a search of few cells prunes the rest."""
-    assigned.repartition("cell").write.partitionBy("cell").parquet(path)
+    assigned.repartition("cell").write.mode(mode).partitionBy("cell").parquet(path)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

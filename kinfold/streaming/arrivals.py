@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinfold.functions.metrics import Metric
-from kinfold.operators.updates import admit_safe
+from kinfold.operators.updates import admit_safe, knn_buffered, recount
+from kinfold.plans.staging import stage
 
 
 def stream_updates(stream: DataFrame, cells: DataFrame, pivots: DataFrame, path: str, checkpoint: str, metric: str | Metric = "l2") -> StreamingQuery:
@@ -35,3 +36,15 @@ def stream_updates(stream: DataFrame, cells: DataFrame, pivots: DataFrame, path:
 def arrived(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(id, obj, cell, pdist) of what a stream has put into 'admitted' or 'buffer'."""
     return spark.read.parquet(f"{path}/{name}").drop("batch")
+
+
+def knn_arrived(assigned: DataFrame, cells: DataFrame, path: str, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
+    """Top-k over the index, the arrivals that a stream has admitted to it so far, and those in its buffer.
+
+    Admitted arrivals lie inside the rings, so only the counts are taken anew; the
+    buffer is scanned whole.
+    """
+    spark = assigned.sparkSession
+    grown = stage(assigned.unionByName(arrived(spark, path, "admitted").select(*assigned.columns)), "grown")
+    waiting = arrived(spark, path, "buffer").select("id", "obj")
+    return knn_buffered(grown, recount(grown, cells), waiting, queries, k, metric, exclude_self)

@@ -57,3 +57,29 @@ def stream_topk(stream: DataFrame, queries: DataFrame, k: int, metric: str | Met
         outputMode="Update",
         timeMode="None",
     )
+
+
+def settled_topk(stream: DataFrame, queries: DataFrame, k: int, path: str, checkpoint: str, metric: str | Metric = "l2") -> DataFrame:
+    """The last list of each query once all arrivals that are there were taken.
+
+    Batches are written under ``path`` by their number, so one that is run again
+    adds nothing.  The state store has to be RocksDB; it is set while the stream starts.
+    """
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark.conf.set(key, ROCKSDB)
+    try:
+        (
+            stream_topk(stream, queries, k, metric).writeStream.foreachBatch(write).outputMode("update")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        )
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    lists = spark.read.parquet(path)
+    last = lists.groupBy("qid").agg(F.max("batch").alias("batch"))
+    return lists.join(last, ["qid", "batch"]).drop("batch")

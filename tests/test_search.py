@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import metrics
 from kinfold.operators import calibrate, knn, pivots, updates
 from kinfold.plans import pairs, pruned
+from kinfold.plans.staging import stage
 
 KINDS = {"l2": "array<double>", "edit": "string", "tanimoto_bits": "array<bigint>"}
 
@@ -190,3 +191,132 @@ def test_learned_radius_is_audited(spark):
         assert not approx.where("exact").count()
     ml = calibrate.predict_radius_ml(nearest, calibrate.fit_radius_ml(calib))
     assert ml.count() == 40 and ml.where("radius <= 0").count() == 0
+
+
+def vectors(seed, n, odd=()):
+    """Vectors of three numbers with ties, and odd ones: NaN, infinities, -0.0, numbers whose squares overflow."""
+    rng = random.Random(seed)
+    rows = [(i, [float(rng.randint(0, 4)) for _ in range(3)]) for i in range(n)]
+    for i, v in enumerate(odd):
+        rows[rng.randrange(n)] = (n + i, v)
+    return rows
+
+
+ODD = [[float("nan"), 1.0, 2.0], [float("inf"), 0.0, 0.0], [float("-inf"), 1.0, 1.0], [-0.0, -0.0, 1.0], [1e200, 0.0, 0.0], [1e200, 1.0, 0.0]]
+
+
+def by_pairs(spark, data, asked, k, exclude):
+    return knn.top_k(knn.distances(data, asked, "l2", exclude), k)
+
+
+def exact_rows(df):
+    return sorted((r["qid"], r["rank"], r["id"], repr(r["dist"])) for r in df.collect())
+
+
+@pytest.mark.parametrize("k,exclude,batch", [(2, True, 3), (7, False, 10000), (90, True, 7)])
+def test_blocks_equal_pairs_with_odd_numbers(spark, k, exclude, batch):
+    rows = vectors(k, 60, ODD) + [(500, None), (501, [1.0, None, 2.0]), (None, [1.0, 1.0, 1.0])]
+    data = spark.createDataFrame(rows, "id long, obj array<double>").repartition(2)
+    asked = data.where("id % 3 = 0 OR id >= 60").select(F.col("id").alias("qid"), F.col("obj").alias("qobj"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = exact_rows(knn.knn_exact(data, asked, k, exclude_self=exclude))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == exact_rows(by_pairs(spark, data, asked, k, exclude)) and len(got) > 40
+    want = knn.distances(data, asked, "l2", exclude).where("dist <= 2 AND NOT isnan(dist)")
+    assert sorted(knn.range_search(data, asked, 2.0, exclude_self=exclude).collect()) == sorted(want.select("qid", "id", "dist").collect())
+
+
+def test_one_nan_loses_no_neighbour(spark):
+    data = spark.createDataFrame([(0, [float("nan"), 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 0.0])], "id long, obj array<double>").coalesce(1)
+    asked = spark.createDataFrame([(9, [0.2, 0.0])], "qid long, qobj array<double>")
+    assert [r["id"] for r in knn.knn_exact(data, asked, 2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_string_ids(spark):
+    rows = [(f"v{i}", v) for i, v in vectors(5, 30)]
+    data = spark.createDataFrame(rows, "id string, obj array<double>")
+    asked = data.where("id LIKE '%1'").select(F.col("id").alias("qid"), F.col("obj").alias("qobj"))
+    assert exact_rows(knn.knn_exact(data, asked, 4, exclude_self=True)) == exact_rows(by_pairs(spark, data, asked, 4, True))
+
+
+def test_pruned_with_odd_numbers(spark):
+    data = spark.createDataFrame(vectors(8, 80, ODD), "id long, obj array<double>")
+    asked = data.where("id % 3 = 0 OR id >= 80").select(F.col("id").alias("qid"), F.col("obj").alias("qobj"))
+    for _, assigned, cells in (pivots.build_index(data, 10), pivots.build_index(data, 4)):
+        for k in (3, 100):
+            want = exact_rows(knn.knn_exact(data, asked, k, exclude_self=True))
+            assert exact_rows(pruned.knn_pruned(assigned, cells, asked, k, exclude_self=True)) == want
+
+
+@pytest.mark.parametrize("metric,seed", [("l2", 1)])
+def test_changes_after_splits_stay_exact(spark, metric, seed):
+    """Inserts, admissions, deletes and a rebuild over cells split twice."""
+    rows = objects(metric, 90, 20 + seed)
+    data = frame(spark, metric, rows)
+    base, late = data.where("id < 55"), data.where("id >= 55")
+    chosen = pivots.pivots_fft(base, 3, metric)
+    assigned = pivots.assign_cells(base, chosen, metric)
+    cells = pivots.rings(assigned, chosen)
+    for target in (12, 4):
+        assigned, cells = pivots.split_cells(assigned, cells, target, metric, most=3)
+    numbers = [r["cell"] for r in cells.collect()]
+    assert len(numbers) == len(set(numbers)) > 5 and max(numbers) >= 1024
+    asked = [r for r in rows if r[0] % 5 == 0]
+    want = brute(metric, rows, asked, 4, True)
+    cells = stage(cells, "cells")
+    grown, wide = (stage(t, "t") for t in updates.insert_direct(assigned, cells, chosen, late, metric))
+    assert grown.count() == 90 and wide.agg(F.sum("cnt")).first()[0] == 90
+    assert sorted_rows(pruned.knn_pruned(grown, wide, ask(data), 4, metric, True)) == want
+    spots = {r["cell"]: r["pobj"] for r in wide.collect()}
+    for r in grown.collect():
+        assert abs(plain(metric, r["obj"], spots[r["cell"]]) - r["pdist"]) < 1e-12
+    safe = stage(updates.admit_safe(late, cells, chosen, metric), "t")
+    assert 0 < safe.where("admitted").count() and safe.count() == 35
+    both = assigned.unionByName(safe.where("admitted").drop("admitted"))
+    found = updates.knn_buffered(both, updates.recount(both, cells), safe.where("NOT admitted").select("id", "obj"), ask(data), 4, metric, True)
+    assert sorted_rows(found) == want
+    less = stage(updates.delete(grown, data.where("id % 3 = 1").select("id")), "t")
+    rest = [r for r in rows if r[0] % 3 != 1]
+    assert sorted_rows(pruned.knn_pruned(less, updates.recount(less, wide), ask(data), 4, metric, True)) == brute(metric, rest, asked, 4, True)
+    _, new, ring = updates.rebuilt(less, late.where("id % 3 = 1"), 5, metric)
+    every = [r for r in rows if r[0] % 3 != 1 or r[0] >= 55]
+    assert sorted_rows(pruned.knn_pruned(new, ring, ask(data), 4, metric, True)) == brute(metric, every, asked, 4, True)
+
+
+def test_index_adapts(spark):
+    """Cells stay small whatever the number of pivots, but for those of equal objects."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(900)] + [(i, [9.0, 9.0]) for i in range(900, 1000)]
+    data = frame(spark, "l2", rows)
+    pivots_most, pivots.MOST_PARTS = pivots.choose_m, 4
+    try:
+        pivots.choose_m = lambda n, target: 3
+        _, assigned, cells = pivots.build_index(data, 5)
+    finally:
+        pivots.choose_m, pivots.MOST_PARTS = pivots_most, 64
+    assert assigned.count() == 1000 and cells.where("cnt > 20").select("cnt").collect() == [(100,)]
+    roots = {r[0] for r in cells.select(pivots.root_cell(F.col("cell"))).collect()}
+    assert roots <= {0, 1, 2} and cells.where("cell >= 1048576").count() > 0
+    assert sorted_rows(pruned.knn_pruned(assigned, cells, ask(data), 6)) == sorted_rows(knn.knn_exact(data, ask(data), 6))
+
+
+def test_long_queries_are_not_broadcast(spark):
+    data = spark.createDataFrame([(i, "x" * i) for i in range(20)], "id long, obj string")
+    few = pairs.against_all(data, data.select(F.col("id").alias("qid"), F.col("obj").alias("qobj")), most_bytes=300)
+    assert "NestedLoop" not in few._jdf.queryExecution().toString() and few.count() == 400
+
+
+def test_compact_after_a_crash(spark, tmp_path):
+    data = frame(spark, "l2", objects("l2", 30, 7))
+    chosen = pivots.pivots_fft(data, 2)
+    assigned = pivots.assign_cells(data.where("id < 20"), chosen)
+    path = f"file://{tmp_path}/index"
+    data.write.parquet(f"{path}/v1/objects")  # left by a run that ended before its pointer
+    assert updates.current_version(spark, path) is None
+    assert updates.compact(assigned, data.where("id >= 20"), 5, 10, path, 1) and updates.current_version(spark, path) == 1
+    found, cells = spark.read.parquet(f"{path}/v1/objects"), spark.read.parquet(f"{path}/v1/cells")
+    assert sorted_rows(pruned.knn_pruned(found, cells, ask(data), 3)) == sorted_rows(knn.knn_exact(data, ask(data), 3))
+    with pytest.raises(ValueError, match="published"):
+        updates.compact(assigned, data, 5, 10, path, 1)

@@ -30,3 +30,20 @@ def test_staged_tables_keep_rows_and_types(spark):
     back = stage(df, "t")
     assert back.dtypes == df.dtypes and sorted(back.collect(), key=repr) == sorted(df.collect(), key=repr)
     assert stage(df.limit(0), "t").count() == 0
+
+
+def test_staged_tables_are_deleted(spark):
+    import os
+
+    from kinfold.plans import staging
+
+    where = lambda df: df.staged_path.removeprefix("file:")
+    with staging.scratch(spark):
+        one = staging.stage(spark.range(5), "one")
+        with staging.scratch(spark):
+            two = staging.stage(one, "two")
+            assert two.count() == 5
+        assert os.path.isdir(where(one)) and not os.path.isdir(where(two))
+        staging.unstage(one)
+        assert not os.path.isdir(where(one))
+    assert not staging.exists(spark, one.staged_path)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from test_search import ask, frame, objects, sorted_rows
 
 from kinfold.operators import knn, pivots, updates
-from kinfold.streaming.arrivals import arrived, stream_updates
+from kinfold.streaming.arrivals import arrived, knn_arrived, stream_updates
 from kinfold.streaming.topk import stream_topk
 
 
@@ -49,3 +49,16 @@ def test_topk(spark, tmp_path):
         last = max(n for n, _ in found)
         got += [(q, rank, r["id"], round(r["dist"], 9)) for (n, rank), r in found.items() if n == last]
     assert sorted(got) == sorted_rows(knn.knn_exact(data, ask(data), 4))
+
+
+def test_search_over_index_admitted_and_waiting(spark, tmp_path):
+    data = frame(spark, "l2", objects("l2", 60, 8))
+    chosen = pivots.pivots_fft(data.where("id < 30"), 3)
+    assigned = pivots.assign_cells(data.where("id < 30"), chosen)
+    assigned, ring = pivots.split_cells(assigned, pivots.rings(assigned, chosen), 6)
+    _arrive(spark, tmp_path, data, "in", 30, 60)
+    stream = spark.readStream.schema(data.schema).parquet(f"{tmp_path}/in")
+    stream_updates(stream, ring, chosen, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    for k in (4, 80):
+        found = knn_arrived(assigned, ring, f"{tmp_path}/out", ask(data), k)
+        assert sorted_rows(found) == sorted_rows(knn.knn_exact(data, ask(data), k))
