@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,20 +201,20 @@ def pooled(params: Params, column: pa.Array) -> np.ndarray:
 
 
 def train_languages(
-    docs: DataFrame, per_language: int = 700, windows_each: int = 8, epochs: int = 6, seed: int = 1
+    docs: DataFrame, per_language: int = 150, longest: int = 1 << 16, epochs: int = 4, seed: int = 1
 ) -> tuple[list[str], Params]:
     """(languages, parameters) from rows (__id, __text, __lang).
 
-    The bound: of each language the ``per_language`` documents with the smallest id
-    hashes, and of each of them ``windows_each`` windows.  The ids are chosen from a
-    table without texts.
+    The bound is on rows: of each language the ``per_language`` documents with the
+    smallest id hashes among those of ``longest`` bytes at most.  They are learned
+    from whole.  The ids are chosen from a table without texts.
     """
     hashed = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 31))
     order = W.partitionBy("__lang").orderBy("__hash", "__id")
-    known = docs.where(F.col("__text").isNotNull() & F.col("__lang").isNotNull() & F.col("__id").isNotNull())
+    known = docs.where(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & (F.octet_length("__text") <= longest))
     # a count first tells below which hash a language's smallest lie, so few rows reach its ranks
     counts = stage(known.groupBy("__lang").agg(F.count("*").alias("__count")), "languages")
-    below = F.when(F.col("__count") > 4 * per_language + 4000, (2 * per_language + 1000) / F.col("__count")).otherwise(1.0)
+    below = F.when(F.col("__count") > 4 * per_language + 1200, (2 * per_language + 300) / F.col("__count")).otherwise(1.0)
     chosen = (
         known.select("__id", "__lang", hashed.alias("__hash")).join(counts, "__lang")
         .where(F.col("__hash") < below * float(1 << 31))
@@ -231,8 +232,6 @@ def train_languages(
             key, lang = batch.column("__key").to_pylist(), batch.column("__lang").to_pylist()
             for i in range(batch.num_rows):
                 own = windows[owner == i]
-                rng = np.random.default_rng([seed, key[i] & 0xFFFFFFFF])
-                own = own[rng.permutation(len(own))[:windows_each]]
                 found.append(own)
                 langs += [lang[i]] * len(own)
                 keys += [(key[i], k) for k in range(len(own))]
@@ -298,20 +297,42 @@ def identify_languages(
     return slim.mapInArrow(label, f"__id {id_type}, lang_pred string, score double").withColumnRenamed("__id", id_col)
 
 
+#: Letters under which a text is too short to be told from chance.
+FEW_LETTERS = 20
+
+
+def least_score(languages: int) -> float:
+    """The mean probability of the best language that tells a text from chance: a seventh of the way from 1/n to 1."""
+    return 1 / languages + (1 - 1 / languages) / 7 - 1e-3
+
+
 def keep_identified(
-    docs: DataFrame, names: list[str], params: Params, least: float, text_col: str = "text"
+    docs: DataFrame, names: list[str], params: Params, least: float | None = None, text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a letter and a language with a score of ``least`` or more.
+    """The rows of ``docs`` whose text has a letter and is in one of the languages, with ``lang_col`` filled where it is null.
 
-    When nothing was learned, all texts with a letter stay.
+    A text goes if it has FEW_LETTERS or more bytes of letters and its best language
+    stays under ``least`` (least_score() by default).  All else stays as it is; when
+    nothing was learned, all texts with a letter stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast((names, params))
+    fills = lang_col in docs.columns and docs.schema[lang_col].dataType.simpleString() == "string"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, params = shared.value
         for batch in small_batches(batches, text_col, 4 << 20):
-            best = pooled(params, batch.column(text_col)).max(1) if names else np.full(batch.num_rows, np.inf)
-            yield batch.filter(pa.array(best >= least))
+            if names:
+                p = pooled(params, batch.column(text_col))
+                letters = pc.count_substring_regex(batch.column(text_col).cast(pa.large_string()), r"\pL")
+                short = pc.less(letters, FEW_LETTERS).to_numpy(zero_copy_only=False)
+                if fills:
+                    told = pa.array([names[k] for k in p.argmax(1)], pa.string())
+                    at = batch.schema.get_field_index(lang_col)
+                    known = pc.coalesce(batch.column(lang_col), told.cast(batch.schema.field(at).type))
+                    batch = batch.set_column(at, batch.schema.field(at), known)
+                bound = least_score(len(names)) if least is None else least
+                batch = batch.filter(pa.array(short | (p.max(1) >= bound)))
+            yield batch
 
     return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(keep, docs.schema)
 

@@ -31,10 +31,12 @@ def source_targets(sizes: DataFrame, ramps: DataFrame, max_repeat: int) -> DataF
     ``sizes``: (__src, __ssize, __sdocs), one row per source; ``ramps``: (__src,
     __w0, __w1).  Capped sources are a prefix in the order of size over weight,
     so one running sum finds the level at which all is given out: that of the first
-    source which stays under its cap, the largest such level.
+    source which stays under its cap, the largest such level.  A source of weight 0
+    gets nothing, whatever the others can't take.  All sources meet in one task, as a
+    few names do; a table of millions of sources would have to be grouped first.
     """
     every = W.partitionBy()
-    order = every.orderBy(F.col("__ssize") / F.col("__w"), "__w", F.col("__src").asc_nulls_last())
+    order = every.orderBy((F.col("__ssize") / F.nullif(F.col("__w"), F.lit(0.0))).asc_nulls_last(), "__w", F.col("__src").asc_nulls_last())
     after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     level = (
@@ -46,14 +48,15 @@ def source_targets(sizes: DataFrame, ramps: DataFrame, max_repeat: int) -> DataF
         .withColumn(
             "__level",
             (F.col("__total") - max_repeat * F.coalesce(F.sum("__ssize").over(before), F.lit(0)))
-            / F.sum("__w").over(after),
+            / F.nullif(F.sum("__w").over(after), F.lit(0.0)),
         )
-        .withColumn("__free", max_repeat * F.col("__ssize") >= F.col("__level") * F.col("__w"))
+        .withColumn("__free", (F.col("__w") > 0) & (max_repeat * F.col("__ssize") >= F.col("__level") * F.col("__w")))
         .withColumn("__at", F.max(F.when(F.col("__free"), F.col("__level"))).over(every))
     )
     return level.withColumn(
         "__target",
-        F.when(F.col("__at").isNull(), (max_repeat * F.col("__ssize")).cast("double")).otherwise(
+        F.when(F.col("__w") == 0, F.lit(0.0))
+        .when(F.col("__at").isNull(), (max_repeat * F.col("__ssize")).cast("double")).otherwise(
             F.least((max_repeat * F.col("__ssize")).cast("double"), F.col("__at") * F.col("__w"))
         ),
     )
@@ -81,10 +84,11 @@ def _position(before: Column) -> Column:
 
     It grows as w0 t + (w1 - w0) t^2 / 2, up to the target at t = 1; solved for t.
     """
-    filled = F.least(before / F.col("__target"), F.lit(1.0)) * (F.col("__w0") + F.col("__w1")) / 2
+    filled = F.least(before / F.nullif(F.col("__target"), F.lit(0.0)), F.lit(1.0)) * (F.col("__w0") + F.col("__w1")) / 2
     slope = F.col("__w1") - F.col("__w0")
     root = F.sqrt(F.greatest(F.col("__w0") * F.col("__w0") + 2 * slope * filled, F.lit(0.0)))
-    return F.round(F.when(slope == 0, filled / F.col("__w0")).otherwise((root - F.col("__w0")) / slope), 9) + F.lit(0.0)
+    level = filled / F.nullif(F.col("__w0"), F.lit(0.0))
+    return F.round(F.when(slope == 0, level).otherwise((root - F.col("__w0")) / F.nullif(slope, F.lit(0.0))), 9) + F.lit(0.0)
 
 
 def mix_sources(

@@ -2,23 +2,21 @@
 
 Tasks tokenise their documents and pack the pieces best-fit, longest first.  Bins
 that are nearly full are done; the others go up a tree as items of their fill,
-several tasks' into one, where they are packed best-fit again, until one task has
-seen what is left.  A task passes up ``carry`` bins at most, the emptiest, so the
-tree's root stays bounded; all others are done too.  No piece is ever lost.
+several tasks' into one, where they are packed best-fit again.  The tree ends where
+a task holds ``most_bins`` open bins, or all of them: so many pieces pack as well as
+any number, and a task's memory stays bounded.  No bin is passed over at any level.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,64 +32,64 @@ _TOUCHING = re.compile(r"\s\s|[\x1c-\x1f]")
 _CHUNK = re.compile(r" ?\S+|\s")
 
 
-class ByteEncoder(dict):
+class ByteEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE file.
 
     The byte-level pattern starts a new piece at every space before anything else
-    and keeps a lone line break apart, so a text is the sum of such chunks; the
-    encoder is a dictionary of their ids, as most words come again.  A run of
-    letters, with or without a space before it, is one piece whatever the pattern,
-    and goes to the same vocabulary's rank file, which is the faster reader of
-    single words.  Texts in which white space touches white space go through the
-    tokenizer whole.
+    and keeps a lone line break apart, so a text is the sum of such chunks, and a
+    run of letters with a space before it or none is one piece whatever follows; the
+    encoder remembers their ids, as most words come again.  Texts in which white space
+    touches white space, or which hold one of the file's special tokens, go through
+    the tokenizer whole.
     """
 
-    def __init__(self, path: str, ranks: str):
-        super().__init__()
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(ranks, "rb") as f:
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.words = tiktoken.Encoding(
-            "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}
-        )
+        with open(path, encoding="utf-8") as f:
+            special = [re.escape(x["content"]) for x in json.load(f).get("added_tokens", [])]
+        self.apart = re.compile("|".join([_TOUCHING.pattern, *special]))
+        self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def __missing__(self, chunk: str) -> bytes:
-        """Ids of letters, of letters and then signs, or of anything else by the tokenizer."""
-        end = len(chunk)
-        while end and not chunk[end - 1].isalnum():
-            end -= 1
-        word = chunk[:end]
-        if not (word[1:] if word[:1] == " " else word).isalpha():
-            ids = self.whole([chunk])[0]
-        elif end < len(chunk):
-            ids = self[word] + self[chunk[end:]]
-        else:
-            ids = self.words.encode_ordinary(word)
-            ids = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHE:
-            self[chunk] = ids
-        return ids
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks: letters, and the signs after them, apart; anything else as it is."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        parts = {}
+        for chunk in chunks:
+            end = len(chunk)
+            while end and not chunk[end - 1].isalnum():
+                end -= 1
+            word = chunk[:end]
+            letters = (word[1:] if word[:1] == " " else word).isalpha()
+            parts[chunk] = (word, chunk[end:]) if letters and end < len(chunk) else (chunk,)
+        new = list({p for own in parts.values() for p in own} - self.known.keys())
+        self.known.update(zip(new, self.whole(new)))
+        for chunk, own in parts.items():
+            if len(own) > 1:
+                self.known[chunk] = self.known[own[0]] + self.known[own[1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.__getitem__
-        plain = [i for i, x in enumerate(texts) if _TOUCHING.search(x)]
-        whole = dict(zip(plain, self.whole([texts[i] for i in plain])))
-        return [
-            whole[i] if i in whole else b"".join(map(get, _CHUNK.findall(x))) for i, x in enumerate(texts)
-        ]
+        apart = [i for i, x in enumerate(texts) if self.apart.search(x)]
+        whole = dict(zip(apart, self.whole([texts[i] for i in apart])))
+        chunks = [() if i in whole else _CHUNK.findall(x) for i, x in enumerate(texts)]
+        new = {c for own in chunks for c in own if c not in self.known}
+        if new:
+            held = {c for own in chunks for c in own} if len(self.known) > CACHE else new
+            self._learn(held)
+        get = self.known.__getitem__
+        return [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 
-def encoder(path: str, ranks: str) -> ByteEncoder:
+def encoder(path: str) -> ByteEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path, ranks)
+        _ENCODERS[path] = ByteEncoder(path)
     return _ENCODERS[path]
 
 
@@ -122,13 +120,11 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 MEMBERS = ["__ids", "__pieces", "__starts", "__lengths", "__crcs"]
 
 
-def _emit(members: list[list[tuple]], fills: list[int], level: int, capacity: int, nearly: float, carry: int,
+def _emit(members: list[list[tuple]], fills: list[int], level: int, capacity: int, nearly: float,
           id_type: pa.DataType, first: int = 0) -> pa.RecordBatch:
-    """Bins with numbers of their own; the emptiest ``carry`` that aren't nearly full stay open."""
+    """Bins with numbers of their own; those that aren't nearly full stay open."""
     part = TaskContext.get().partitionId()
-    low = sorted((i for i, f in enumerate(fills) if f < nearly * capacity), key=lambda i: fills[i])[:carry]
-    still = np.zeros(len(fills), bool)
-    still[low] = True
+    still = np.array(fills) < nearly * capacity
     kinds = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays(
         [
@@ -158,9 +154,9 @@ def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]
         at, piece, step = at + step, piece + 1, capacity
 
 
-def _local(path: str, ranks: str, capacity: int, nearly: float, carry: int, chunk: int) -> Callable:
+def _local(path: str, capacity: int, nearly: float, chunk: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, items, made, id_type = encoder(path, ranks), [], 0, None
+        tokens, items, made, id_type = encoder(path), [], 0, None
 
         def packed():
             bins = best_fit([x[3] for x in items], capacity)
@@ -175,16 +171,16 @@ def _local(path: str, ranks: str, capacity: int, nearly: float, carry: int, chun
                     items += [(doc, *x) for x in cut_pieces(ids + b"\0\0\0\0", capacity)]
                 if len(items) >= chunk:
                     bins = packed()
-                    yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, carry, id_type, made)
+                    yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, id_type, made)
                     made, items = made + len(bins), []
         if items:
             bins = packed()
-            yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, carry, id_type, made)
+            yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, id_type, made)
 
     return pack
 
 
-def _merge(level: int, capacity: int, nearly: float, carry: int) -> Callable:
+def _merge(level: int, capacity: int, nearly: float) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, fills, id_type = [], [], None
         for batch in batches:
@@ -195,7 +191,7 @@ def _merge(level: int, capacity: int, nearly: float, carry: int) -> Callable:
             bins = best_fit(fills, capacity)
             yield _emit(
                 [[m for i in b for m in members[i]] for b in bins], [sum(fills[i] for i in b) for b in bins],
-                level, capacity, nearly, carry, id_type,
+                level, capacity, nearly, id_type,
             )
 
     return pack
@@ -207,9 +203,8 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer: str | None = None,
-    ranks: str | None = None,
     nearly: float = 0.998,
-    carry: int = 20_000,
+    most_bins: int = 100_000,
     fan_in: int = 8,
     chunk: int = 200_000,
 ) -> DataFrame:
@@ -223,25 +218,25 @@ def pack_documents(
     are packed row by row; texts of any length are cut whole; an empty table gives
     an empty table.
 
-    ``tokenizer`` and ``ranks`` are the same vocabulary's two files; by default the
-    installed 50k byte-level BPE.  Every level is a table in the shared folder, so a lost executor costs its
-    level's tasks only and numbers given to sequences stay.  A task holds at most
-    ``chunk`` pieces, or ``fan_in * carry`` bins.
+    Ids are those of ``tokenizer``, a file for the tokenizers library (by default the
+    installed 50k byte-level BPE), without added special tokens.  Every level is a
+    table in the shared folder, so a lost executor costs its level's tasks only and
+    numbers given to sequences stay.  A task holds about ``chunk`` pieces, or as many
+    open bins as ``fan_in`` tasks leave, or ``most_bins`` once that is less.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     id_type = slim.schema["__id"].dataType.simpleString()
-    level = stage(slim.mapInArrow(_local(path, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity, nearly, carry, chunk), _schema(id_type)), "pack")
+    level = stage(slim.mapInArrow(_local(path, capacity, nearly, chunk), _schema(id_type)), "pack")
     done = [level.where("NOT __open")]
     groups = (level.agg(F.max("__part")).first()[0] or 0) + 1
     number = 0
     while True:
-        groups, number = -(-groups // fan_in), number + 1
-        merged = level.where("__open").repartition(groups).mapInArrow(
-            _merge(number, capacity, nearly, carry), _schema(id_type)
-        )
+        least = max(1, -(-level.where("__open").count() // most_bins))
+        groups, number = max(-(-groups // fan_in), least), number + 1
+        merged = level.where("__open").repartition(groups).mapInArrow(_merge(number, capacity, nearly), _schema(id_type))
         level = stage(merged, "pack")
-        if groups == 1:
+        if groups <= least:
             done.append(level)
             break
         done.append(level.where("NOT __open"))

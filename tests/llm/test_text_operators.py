@@ -130,6 +130,27 @@ def test_mix_laws(docs, texts, empty):
     assert copies.columns == docs.columns and copies.count() == sum(r["mix_copies"] for r in rows)
 
 
+def test_mix_weights_of_zero(spark, docs, texts):
+    """A source without weight is left out; with no weight at all nothing is taken."""
+    some = lambda d: d.select(F.col("__src").alias("__rsrc"), F.when(F.col("__src") == "hot", 0.0).otherwise(1.0).alias("__w0"), F.when(F.col("__src") == "hot", 0.0).otherwise(2.0).alias("__w1"))
+    rows = mixing.mix_sources(docs, some).collect()
+    assert len(rows) == len(texts) and all(r["mix_taken"] == 0 for r in rows if r["source"] == "hot")
+    assert sum(r["mix_taken"] for r in rows) > 0 and all(r["mix_taken"] <= 3 * r["mix_size"] for r in rows)
+    none = lambda d: d.select(F.col("__src").alias("__rsrc"), F.lit(0.0).alias("__w0"), F.lit(0.0).alias("__w1"))
+    assert all(r["mix_taken"] == 0 and r["mix_positions"] == [] for r in mixing.mix_sources(docs, none).collect())
+
+
+def test_mix_null_and_repeated_ids(docs):
+    many = docs.unionByName(docs.where("doc_id < 30")).unionByName(docs.where("doc_id < 9").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = mixing.mix_sources(many).collect()
+    assert len(rows) == many.count() and sum(r["doc_id"] is None for r in rows) == 9
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert abs(sum(r["mix_taken"] for r in own) - own[0]["mix_target"]) <= 1
+
+
 # --- sharding ---------------------------------------------------------------------------
 
 
@@ -229,20 +250,26 @@ def test_overlaps():
 # --- packing -----------------------------------------------------------------------------
 
 
-def test_encoder_equals_tokenizer(texts):
+def test_encoder_equals_tokenizer(monkeypatch, texts):
     import random
 
     rng = random.Random(3)
     signs = ["a", "B", "é", " ", "\n", "x", "1", ".", "!", "'s", "'", "²", "̈", "ß", "\t", "日", "_", " ", "\x1c", "<|endoftext|>"]
     rows = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + [t or "" for t in texts.values()]
-    e = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    assert e.encode(rows) == e.whole(rows)
-
-
-@pytest.mark.parametrize("capacity,carry", [(2048, 20000), (64, 3)])
-def test_packing(docs, texts, capacity, carry):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows += ["a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|>", "word <|endoftext|><|endoftext|>\n"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+    e = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.encode(rows) == want
+    monkeypatch.setattr(packing, "CACHE", 50)
+    e = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [x for i in range(0, len(rows), 256) for x in e.encode(rows[i : i + 256])] == want
+
+
+@pytest.mark.parametrize("capacity,most", [(2048, 100_000), (64, 40)])
+def test_packing(docs, texts, capacity, most):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = packing.pack_documents(clashing(docs), capacity=capacity, carry=carry, fan_in=2).collect()
+    rows = packing.pack_documents(clashing(docs), capacity=capacity, most_bins=most, fan_in=2).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -328,6 +355,51 @@ def test_gradients_are_right():
         assert abs((up - down) / 2e-6 - grad[k][i]) < 1e-7
 
 
+def test_forward_pass_by_loops(texts):
+    """Every position's probabilities and the pooled ones, step by step in plain Python."""
+    params = {k: v.astype(float) for k, v in langid.new_params(3, 4, seed=5).items()}
+    params["nf"], params["c"] = np.arange(4) / 5, np.array([0.1, -0.2, 0.3])
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(window, side):
+        w, u, bias, h, out = params[f"W{side}"], params[f"U{side}"], params[f"n{side}"], [0.0] * 4, {}
+        for t in range(len(window)) if side == "f" else reversed(range(len(window))):
+            hu = [sum(h[i] * u[i][j] for i in range(4)) for j in range(12)]
+            x = w[window[t]]
+            new = []
+            for j in range(4):
+                z, r = sigmoid(x[j] + hu[j]), sigmoid(x[4 + j] + hu[4 + j])
+                n = math.tanh(x[8 + j] + r * (hu[8 + j] + bias[j]))
+                new.append(z * h[j] + (1 - z) * n)
+            h = new
+            out[t] = h
+        return [out[t] for t in range(len(window))]
+
+    some = [t for i, t in texts.items() if i in (0, 1, 5, 200, 201, 207, 208)]
+    got = langid.pooled(params, pa.array(some))
+    for text, row in zip(some, got):
+        raw, sums, n = (text or "").encode(), np.zeros(3), 0
+        for lo in range(0, len(raw), langid.WINDOW):
+            window = raw[lo : lo + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            for t, (f, b) in enumerate(zip(states(window, "f"), states(window, "b"))):
+                if not (window[t] >= 128 or chr(window[t]).isalpha()):
+                    continue
+                e = [math.exp(sum(s * params["V"][i][k] for i, s in enumerate([*f, *b])) + params["c"][k]) for k in range(3)]
+                sums, n = sums + np.array(e) / sum(e), n + 1
+        assert np.allclose(row, sums / max(n, 1), atol=1e-6)
+
+
+def test_language_repeated_rows_and_null_ids(spark, docs):
+    many = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    rows = langid.language_labels(many).collect()
+    assert len(rows) == 3 * docs.count() and sum(r["doc_id"] is None for r in rows) == docs.count()
+    by = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] is not None:
+            by[r["doc_id"]].add((r["lang_pred"], r["score"]))
+    assert all(len(x) == 1 for x in by.values())
+
+
 def test_windows_hold_every_byte(texts):
     rows = list(texts.values())
     windows, owner = langid.text_windows(pa.array(rows).slice(3, 100))
@@ -355,6 +427,16 @@ def test_language_cases(docs, empty):
     assert langid.language_labels(empty).count() == 0
     kept = langid.keep_identified(docs, names, params, 0.0)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 5
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for r in kept.collect():
+        old = before[r["doc_id"]]
+        assert r["lang"] == (old["lang"] or rows[r["doc_id"]]["lang_pred"]) and r["text"] == old["text"]
+    # a text near chance goes unless it is short
+    flat = {k: v * 0 for k, v in params.items()}
+    left = {r["doc_id"] for r in langid.keep_identified(docs, names, flat).collect()}
+    letters = {i: sum(c.isalpha() for c in r["text"] or "") for i, r in before.items()}
+    assert left == {i for i, n in letters.items() if 0 < n < langid.FEW_LETTERS}
+    assert langid.least_score(1) < 1 and abs(langid.least_score(4) - 0.356) < 1e-3
 
 
 # --- quality ---------------------------------------------------------------------------------
@@ -377,6 +459,62 @@ def test_quality_cases(spark, docs, empty):
     assert quality.quality_scores(docs, labels.limit(0)).where("score = 0.5").count() == docs.count()
 
 
+def _brute_features(text, slots):
+    """Slot to value by loops: words, pairs, and pairs of one word, to unit length."""
+    hashes, _ = words.text_words(pa.array([text]))
+    count = Counter(int(h) % slots for h in hashes)
+    pairs, _ = words.grams(*words.text_words(pa.array([text])), 2)
+    count.update(int(h) % slots for h in words.mix64(pairs.copy()))
+    own = split(text)
+    count.update(0 for a, b in zip(own, own[1:]) if a == b)
+    norm = math.sqrt(sum(count.values()))
+    return {k: math.sqrt(n) / norm for k, n in count.items()}
+
+
+def test_features_by_loops(texts):
+    rows = [t for i, t in texts.items() if i < 12 or 199 < i < 209] + ["a a a b a a", "one"]
+    slot, value, bounds = quality.features(pa.record_batch([pa.array(rows)], names=["t"]), "t")
+    for k, t in enumerate(rows):
+        got = dict(zip(slot[bounds[k] : bounds[k + 1]].tolist(), value[bounds[k] : bounds[k + 1]]))
+        want = _brute_features(t, quality.SLOTS)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-12 for s in want)
+
+
+def test_ftrl_by_loops():
+    """Weights after many updates as the published per-coordinate rule gives them, one number at a time."""
+    rng = np.random.default_rng(3)
+    model = quality.Ftrl(alpha=0.7, beta=0.9, l1=0.03, l2=0.2, slots=12)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        l1, l2 = (0.03, 0.2) if i < 12 else (0.0, 0.0)
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((0.9 + math.sqrt(n[i])) / 0.7 + l2)
+
+    for _ in range(300):
+        at = np.append(np.sort(rng.choice(12, 4, replace=False)), 12)
+        values, label, importance = np.append(rng.random(4), 1.0), int(rng.integers(2)), float(rng.random() + 0.5)
+        model.update(at, values, label, importance)
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at, values))))
+        steps = [(i, (p - label) * importance * v, weight(i)) for i, v in zip(at, values)]
+        for i, g, w in steps:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7 * w
+            n[i] += g * g
+    assert np.allclose(model.weights(np.arange(13)), [weight(i) for i in range(13)], atol=1e-12)
+
+
+def test_scores_by_loops(spark, docs, texts):
+    w = np.random.default_rng(4).normal(size=quality.SLOTS + 1).astype("<f4")
+    many = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = quality.score_quality(many, w).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter([*texts, *range(5), None])
+    for r in rows:
+        t = texts[8 if r["doc_id"] is None else r["doc_id"]] or ""
+        dot = float(w[-1]) + sum(float(w[s]) * v for s, v in (_brute_features(t, quality.SLOTS) if split(t) else {}).items())
+        assert abs(r["score"] - 1 / (1 + math.exp(-dot))) < 1e-9
+
+
 # --- language model ----------------------------------------------------------------------------
 
 
