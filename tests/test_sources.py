@@ -74,9 +74,10 @@ def test_redact_and_publish(spark):
     df = spark.createDataFrame([(1, "at /home/me/x"), (2, "fine"), (3, None)], "id long, t string")
     got = identity.redact(df, "t", r"/home/\w+", "~").orderBy("id").collect()
     assert [(r["t"], r["changed"]) for r in got] == [("at ~/x", True), ("fine", False), (None, False)]
-    kept, report = identity.publishable(df, "t", {"path": "/home/", "word": "fine"})
-    assert [r["id"] for r in kept.collect()] == [3]
-    assert {(r["rule"], r["n"]) for r in report.collect()} == {("path", 1), ("word", 1)}
+    rules = {"path": "/home/", "word": "fine"}
+    assert [r["id"] for r in identity.publishable(df, "t", rules).collect()] == [3]
+    report = identity.rule_report(df, "t", rules)
+    assert {(r["rule"], r["n"]) for r in report.collect()} == {("path", 1), ("word", 1), ("publishable", 1)}
 
 
 def test_aliases(spark):
