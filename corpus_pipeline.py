@@ -16,18 +16,17 @@ from kinfold.llm.packing import pack_documents
 from kinfold.llm.setsketch import near_duplicates
 from kinfold.plans.staging import stage
 
-#: Mean probability of the best language under which a text counts as none of the
-#: learned ones; four languages at chance level have 0.25.
-LEAST_SCORE = 0.3
-
 #: Documents are near-duplicates if they share 80 of 100 shingles of five words.
 PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; others, and those without a letter, go."""
+    """Documents in a language that the labelled ones teach; others, and those without a letter, go.
+
+    Where ``lang`` is null it becomes the language found.
+    """
     names, params = train_languages(not_held_out(docs))
-    return keep_identified(docs, names, params, LEAST_SCORE)
+    return keep_identified(docs, names, params)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
