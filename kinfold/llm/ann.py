@@ -166,9 +166,9 @@ def nearest_neighbours(
     k: int = 10,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = 2048,
+    shard_rows: int = 16_384,
     block: int = 1024,
-    beam: int = 96,
+    beam: int = 192,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of each row for which ``is_query`` holds.
 
@@ -182,7 +182,9 @@ def nearest_neighbours(
 
     Every row is indexed.  A shard holds about ``shard_rows`` distinct vectors and
     meets ``block`` queries at a time, so a task's memory is bounded, and a vector
-    that a third of all rows share is one node.
+    that a third of all rows share is one node.  A beam search reads a part of a shard
+    that grows as its logarithm, so larger shards cost a query less in all; a task
+    then builds for longer and the beam has to widen for the same recall.
     """
     classes = stage(_classes(vectors, id_col, vector_col, k + 1), "classes")
     asked = stage(

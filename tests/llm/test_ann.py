@@ -59,6 +59,28 @@ def test_recall(spark):
     assert share >= 0.95
 
 
+def test_recall_over_large_shards(spark):
+    """20,000 clustered vectors in three shards, against brute force."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(200, 32))[rng.integers(0, 200, 20_000)] + 0.7 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = found(ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0, shard_rows=8192))
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 20_000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        near = got[q]
+        assert len(near) == 10 and all(abs(s - d[i]) < 1e-12 for s, i in near)
+        hits += len({i for _, i in near} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 2000
+
+
+def test_null_ids_take_no_part(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (None, [1.0, 2.0]), (1, [1.0, 4.0]), (1, [1.0, 4.0])], "vec_id long, embedding array<double>")
+    assert found(ann.nearest_neighbours(df, F.lit(True), k=3)) == {0: [(2.0, 1)], 1: [(2.0, 0)]}
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0])], "vec_id long, embedding array<float>")
     assert found(ann.nearest_neighbours(df, F.col("vec_id") == 0)) == {0: [(1.0, 1)]}
