@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.plans.staging import stage
+from kinfold.plans.staging import stage, unstage
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,17 +21,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links"
     )
     both = links.union(links.select("b", "a"))
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
-    labels = labels.withColumnRenamed("a", "node")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    stale = [labels]
     while True:
         # links between what are now different components
         left = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         right = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        former = links
         links = stage(
-            links.join(left, "a").join(right, "b").where("ca <> cb")
+            former.join(left, "a").join(right, "b").where("ca <> cb")
             .select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(),
             "links",
         )
+        unstage(former)
         hooks = links.groupBy("a").agg(F.min("b").alias("to"))
         parent = labels.select(F.col("node").alias("p"), F.col("component").alias("grand"))
         hooked = labels.join(hooks, labels["component"] == hooks["a"], "left").select(
@@ -44,6 +46,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             "labels",
         )
         moving = new.where("moved").limit(1).count()
-        labels = new.drop("moved")
+        unstage(*stale)
+        labels, stale = new.drop("moved"), [new]
         if not moving and links.isEmpty():
             return labels

@@ -1,368 +1,200 @@
 """Stupid-backoff scores of whole documents under counts of the whole corpus.
 
-A word's score after another is count(pair) / count(first as a context) where the
-pair occurs ``least`` times or more, else ``backoff`` times the word's share of all
-words.  Count tables are partitioned by hash and joined, partition by partition,
-to the documents' exploded n-grams; what a partition adds to a document is summed
-per document in the end.
-
-The n-grams travel as arrays: one row holds those of a few thousand documents that
-belong to one partition.  Pairs are dealt by their first word, so that their
-counts and their context's meet; first words with more than one in HEAVY of all
-words, at most HEAVY of them, are dealt by both words, with their counts known.
-
-What is hot is not dealt at all: pairs with more than one in HEAVY of all words are
-counted before, so the task that reads a text scores them, and what backs off to a
-heavy word is scored where that is found out.  No group holds more than one in HEAVY
-of all words for a pair or a word.
+A word's score after its context is count(n-gram) / count(context) where the n-gram
+occurs ``least`` times or more, else ``backoff`` times its score after a shorter
+context, and in the end its share of all words.
+
+It is computed by joins.  For every order there is a count table, one row per
+n-gram, made by a grouped sum that is combined in the tasks first; joined to the
+table of the order below it gives what the n-gram adds to the score that its last
+word would have without it.  The documents' exploded n-grams, one row per document
+and distinct n-gram, are joined to that table by hash and summed per document.  As
+scores are logarithms, the sum over orders is the backed-off score: an n-gram that
+is not frequent enough has no row and adds nothing.
+
+All joins are equi-joins of a table of distinct n-grams with rows of documents, so a
+hot n-gram is one row on one side and rows that adaptive execution can split on the
+other.  Orders above 1 go through in ``passes`` ranges of hashes, so that only a
+part of the n-grams lies in shuffle files at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.words import mix64, small_batches, text_words
-from kinfold.plans.staging import stage
+from kinfold.llm.words import grams, mix64, small_batches, text_words
+from kinfold.plans.staging import stage, unstage
 
-#: Words whose share is above 1 / HEAVY are dealt with their followers.
-HEAVY = 4096
-#: Words that a partition should hold, and the fewest partitions.
-PART_WORDS = 2_500_000
-FEWEST = 64
+#: Bytes of text whose n-grams are combined before they leave a task's Python worker.
+BATCH = 16 << 20
 
-_PAIR = np.random.default_rng(7).integers(1, 2**63, 2, dtype=np.uint64) | np.uint64(1)
 
+def _hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the n-grams, the text of each); those of single words are the words' own."""
+    if n > 1:
+        return grams(words, starts, n)
+    return words, np.repeat(np.arange(len(starts) - 1), np.diff(starts))
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(first * _PAIR[0] + second * _PAIR[1])
 
+def _chosen(hashes: np.ndarray, part: int, passes: int) -> np.ndarray:
+    """Places of the hashes in one of ``passes`` ranges, told by bits that no partition is chosen by."""
+    if passes == 1:
+        return np.arange(len(hashes))
+    return np.flatnonzero((hashes >> np.uint64(40)) % np.uint64(passes) == np.uint64(part))
 
-def part_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return (words % np.uint64(parts)).astype(np.int64)
 
+def gram_counts(docs: DataFrame, text: str, n: int, part: int = 0, passes: int = 1) -> DataFrame:
+    """(gram, prefix, suffix, n, ctx): occurrences of every n-gram, and those with a word after them.
 
-def _home(number: int, parts: int) -> int:
-    """The partition that passes on a batch's sums; a number's upper half tells its task, its lower one the batch."""
-    return -1 - (number + (number >> 32)) % parts
-
-
-def _runs(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
-    """Where runs of equal values begin."""
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
-    if y is not None:
-        new[1:] |= y[1:] != y[:-1]
-    return np.flatnonzero(new)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one value, small unsigned numbers in as few bytes as their largest needs."""
-    small = [
-        a.astype(np.min_scalar_type(int(a.max(initial=0)))) if a.dtype.kind == "u" and a.dtype.itemsize < 8 else a
-        for a in arrays
-    ]
-    head = np.array([[ord(a.dtype.char), len(a)] for a in small], "<i8")
-    return b"".join([head.tobytes(), *[a.tobytes() for a in small]])
-
-
-def _unpack(blob: bytes, count: int) -> list[np.ndarray]:
-    head = np.frombuffer(blob, "<i8", 2 * count).reshape(count, 2)
-    at, out = 16 * count, []
-    for kind, n in head:
-        kind = np.dtype(chr(kind))
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += int(n) * kind.itemsize
-    return out
-
-
-def _among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are in the sorted array ``known``, and their places there."""
-    at = np.searchsorted(known, values)
-    hit = at < len(known)
-    hit[hit] = known[at[hit]] == values[hit]
-    return hit, at[hit]
-
-
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, second, n, ctx): occurrences of each word's hash, and those with a word after them.
-
-    Rows with a ``second`` are pairs that may be hot, which need more than one in
-    HEAVY of the words of some batch, as both of their words do; their n is of such
-    batches only.
+    ``prefix`` and ``suffix`` are the hashes of its first and last n - 1 words.
     """
-    share = HEAVY
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 16 << 20):
+        for batch in small_batches(batches, text, BATCH):
             words, starts = text_words(batch.column(text))
-            last = starts[1:][np.diff(starts) > 0] - 1
-            found, at, n = np.unique(words, return_inverse=True, return_counts=True)
-            ctx = n - np.bincount(at[last], minlength=len(n))
-            often = (n > len(words) / share)[at]
-            both = often[:-1] & often[1:]
-            both[last[last < len(both)]] = False
-            both = np.flatnonzero(both)
-            pair, times = np.unique(at[both] * len(found) + at[both + 1], return_counts=True)
-            pair, times = (x[times > len(words) / share] for x in (pair, times))
-            first, second = np.divmod(pair, max(len(found), 1))
-            none = np.zeros(len(found), np.int64)
+            hashes, owner = _hashes(words, starts, n)
+            follows = np.ones(len(hashes), bool)
+            follows[np.flatnonzero(owner[1:] != owner[:-1])] = False
+            follows[-1:] = False
+            if n > 1:
+                # of the shorter n-grams each text has one more
+                shorter, _ = _hashes(words, starts, n - 1)
+                at = np.arange(len(hashes)) + np.searchsorted(np.flatnonzero(np.diff(starts) >= n - 1), owner)
+                prefix, suffix = shorter[at], shorter[at + 1]
+            else:
+                prefix = suffix = np.zeros(len(hashes), np.uint64)
+            own = _chosen(hashes, part, passes)
+            found, first, at, times = np.unique(hashes[own], return_index=True, return_inverse=True, return_counts=True)
+            ctx = np.bincount(at, follows[own], len(found)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([found, found[first]]).view(np.int64)),
-                    pa.array(
-                        np.concatenate([none, found[second].view(np.int64)]),
-                        mask=np.arange(len(found) + len(pair)) < len(found),
-                    ),
-                    pa.array(np.concatenate([n, times]).astype(np.int64)),
-                    pa.array(np.concatenate([ctx, np.zeros(len(pair))]).astype(np.int64)),
+                    pa.array(found.view(np.int64)), pa.array(prefix[own][first].view(np.int64)),
+                    pa.array(suffix[own][first].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(ctx),
                 ],
-                names=["word", "second", "n", "ctx"],
-            )
-
-    counted = docs.select(text).mapInArrow(count, "word long, second long, n long, ctx long")
-    return counted.groupBy("word", "second").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx"))
-
-
-def pair_counts(docs: DataFrame, text: str, pairs: np.ndarray) -> DataFrame:
-    """(pair, n): occurrences in all documents of the pairs with these hashes, which are sorted."""
+                names=["gram", "prefix", "suffix", "n", "ctx"],
+            )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
-            words, starts = text_words(batch.column(text))
-            inner = np.ones(len(words), bool)
-            inner[starts[1:][np.diff(starts) > 0] - 1] = False
-            at = np.flatnonzero(inner)
-            n = np.bincount(_among(pair_hash(words[at], words[at + 1]), pairs)[1], minlength=len(pairs))
-            own = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[own].view(np.int64)), pa.array(n[own].astype(np.int64))], names=["pair", "n"]
-            )
+    counted = docs.select(text).mapInArrow(count, "gram long, prefix long, suffix long, n long, ctx long")
+    return counted.groupBy("gram").agg(
+        F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("ctx").alias("ctx")
+    )
 
-    return docs.select(text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
+def _signatures(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of every text's words in their order."""
+    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
+    run = np.append(np.uint64(0), np.cumsum(mix64(words ^ mix64(place.astype(np.uint64) + np.uint64(1))), dtype=np.uint64))
+    return mix64(run[starts[1:]] - run[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
 
-def hot_pairs(
-    docs: DataFrame, text: str, maybe: DataFrame, heavy: np.ndarray, heavy_ctx: np.ndarray, least: int, bound: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the pairs that occur ``least`` times and more often than ``bound``, and their scores.
 
-    ``maybe``: the pairs (word, second) of heavy words that come into question.
-    """
-    rows = maybe.select("word", "second").collect()
-    first, second = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in ("word", "second"))
-    pairs, own = np.unique(pair_hash(first, second), return_index=True)
-    ctx = heavy_ctx[np.searchsorted(heavy, first[own])]
-    if not len(pairs):
-        return pairs, ctx
-    n = np.zeros(len(pairs))
-    for r in pair_counts(docs, text, pairs).where(F.col("n") > bound).collect():  # fewer than HEAVY rows
-        n[np.searchsorted(pairs, np.uint64(r["pair"] & (2**64 - 1)))] = r["n"]
-    hot = (n > bound) & (n >= least)
-    return pairs[hot], np.log(n[hot] / ctx[hot])
-
-
-def _explode(parts: int, heavy: np.ndarray, heavy_share: np.ndarray, hot: np.ndarray, hot_score: np.ndarray):
-    """Rows (part, batch, blob, ids, sizes): pairs and first words by partition, and each batch's ids.
-
-    With the ids go the sums of what is known here: hot pairs and heavy first words.
-    """
+def document_grams(docs: DataFrame, n: int, part: int = 0, passes: int = 1) -> DataFrame:
+    """(__id, __sig, gram, times): the distinct n-grams of every row of ``docs`` (__id, __text)."""
+    id_type = docs.schema["__id"].dataType.simpleString()
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in small_batches(batches, "__text"):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "__text", BATCH // 4):
             words, starts = text_words(batch.column("__text"))
-            sizes = np.diff(starts)
-            owner = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint32)
-            pair = owner[1:] == owner[:-1]
-            first, second, doc = words[:-1][pair], words[1:][pair], owner[1:][pair]
-            both = pair_hash(first, second)
-            known, at = _among(both, hot)
-            direct = np.bincount(doc[known], hot_score[at], len(sizes)).astype(float)
-            first, second, doc, both = (x[~known] for x in (first, second, doc, both))
-            is_heavy = np.isin(first, heavy)
-            part = np.where(is_heavy, part_of(both, parts), part_of(first, parts))
-            order = np.lexsort((second, first, part))
-            first, second, doc, part = first[order], second[order], doc[order], part[order]
-            # a text's first word has no context
-            head = starts[:-1][sizes > 0]
-            head_word, head_doc = words[head], np.flatnonzero(sizes > 0).astype(np.uint32)
-            known, at = _among(head_word, heavy)
-            direct[head_doc[known]] += heavy_share[at]  # a document has one first word
-            head_word, head_doc = head_word[~known], head_doc[~known]
-            head_part = part_of(head_word, parts)
-            order = np.argsort(head_part, kind="stable")
-            head_word, head_doc, head_part = head_word[order], head_doc[order], head_part[order]
-            some = np.flatnonzero(direct)
-            sums = _pack(some.astype("<u4"), direct[some])
-            rows: list[tuple] = [(_home(number, parts), number, sums, batch.column("__id").to_pylist(), sizes.tolist())]
-            for p in np.union1d(part, head_part):
-                own = slice(*np.searchsorted(part, [p, p + 1]))
-                top = slice(*np.searchsorted(head_part, [p, p + 1]))
-                f, s, d = first[own], second[own], doc[own]
-                at = _runs(f, s)
-                n = np.diff(np.append(at, len(f))).astype("<u4")
-                f = f[at]
-                each = _runs(f)
-                followers = np.diff(np.append(each, len(f))).astype("<u4")
-                blob = _pack(f[each], followers, s[at], n, d, head_word[top], head_doc[top])
-                rows.append((int(p), number, blob, None, None))
-            cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(batch.column("__id").type), pa.list_(pa.int64()))
+            hashes, owner = _hashes(words, starts, n)
+            own = _chosen(hashes, part, passes)
+            hashes, owner = hashes[own], owner[own]
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                hashes[lo:hi].sort()
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(hashes)))
+            rows = pa.array(owner[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["part", "batch", "blob", "ids", "sizes"]
-            )
-            number += 1
-
-    return emit
-
-
-def _sums(batch: np.ndarray, doc: np.ndarray, score: np.ndarray, names: np.ndarray, parts: int) -> list[tuple]:
-    """Rows of what documents get from a partition; ``batch`` are places in ``names``."""
-    order = np.lexsort((doc, batch))
-    batch, doc, score = batch[order], doc[order], score[order]
-    at = _runs(batch, doc)
-    if not len(at):
-        return []
-    total = np.add.reduceat(score, at)
-    batch, doc = batch[at], doc[at]
-    edges = [*_runs(batch), len(batch)]
-    return [
-        (_home(int(names[batch[lo]]), parts), int(names[batch[lo]]), _pack(doc[lo:hi].astype("<u4"), total[lo:hi]), None, None)
-        for lo, hi in zip(edges[:-1], edges[1:])
-    ]
-
+                [
+                    batch.column("__id").take(rows), pa.array(_signatures(words, starts)[owner[at]]),
+                    pa.array(hashes[at].view(np.int64)), pa.array(times.astype(np.int32)),
+                ],
+                names=["__id", "__sig", "gram", "times"],
+            )
 
-_COLUMNS = ["part", "batch", "blob", "ids", "sizes"]
+    return docs.mapInArrow(explode, f"__id {id_type}, __sig long, gram long, times int")
 
 
-def _seen_pairs(parts: int, least: int, backoff: float, heavy: np.ndarray, heavy_ctx: np.ndarray, heavy_share: np.ndarray):
-    """Scores the pairs of a partition that are frequent enough and those that back off to heavy words.
+def _document_rows(docs: DataFrame, order: int, backoff: float) -> DataFrame:
+    """(__id, __sig, n_words, base): every row, with what its words have at least for their contexts."""
+    id_type = docs.schema["__id"].dataType.simpleString()
 
-    The others go to their second word's partition.
-    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "__text", BATCH):
+            words, starts = text_words(batch.column("__text"))
+            size = np.diff(starts)
+            steps = sum(np.maximum(size - k, 0) for k in range(1, order)) if order > 1 else np.zeros(len(size))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), pa.array(_signatures(words, starts)), pa.array(size), pa.array(steps * math.log(backoff))],
+                names=["__id", "__sig", "n_words", "base"],
+            )
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["part"].iloc[0] < 0:
-            return pdf[_COLUMNS]
-        blobs = [_unpack(b, 7) for b in pdf["blob"]]
-        blobs = [[np.repeat(b[0], b[1]), *b[2:]] for b in blobs]
-        first, second, n, doc, head, head_doc = (np.concatenate(x) for x in zip(*blobs))
-        names = pdf["batch"].to_numpy()
-        each = np.arange(len(blobs))
-        run_batch = np.repeat(each, [len(b[0]) for b in blobs])
-        head_batch = np.repeat(each, [len(b[4]) for b in blobs])
-        _, at = np.unique(pair_hash(first, second), return_inverse=True)
-        pairs = np.bincount(at, n)[at]
-        words, at = np.unique(first, return_inverse=True)
-        ctx = np.bincount(at, n)
-        hit, known = _among(words, heavy)
-        ctx[hit] = heavy_ctx[known]
-        seen = pairs >= least
-        value = np.log(pairs / ctx[at])
-        run = np.repeat(np.arange(len(n)), n)
-        to_heavy = _among(second, heavy)[0] & ~seen
-        value[to_heavy] = heavy_share[np.searchsorted(heavy, second[to_heavy])] + np.log(backoff)
-        use = (seen | to_heavy)[run]
-        rows = _sums(run_batch[run[use]], doc[use], value[run[use]], names, parts)
-        back_word = np.concatenate([second[run[~use]], head])
-        back_batch = np.concatenate([run_batch[run[~use]], head_batch])
-        back_doc = np.concatenate([doc[~use], head_doc])
-        # a text's first word has no backoff weight
-        weighed = np.concatenate([np.ones((~use).sum(), bool), np.zeros(len(head), bool)])
-        part = part_of(back_word, parts)
-        order = np.lexsort((back_word, part))
-        part = part[order]
-        for p in np.unique(part):
-            own = order[slice(*np.searchsorted(part, [p, p + 1]))]
-            word = back_word[own]
-            at = _runs(word)
-            n = np.diff(np.append(at, len(word))).astype("<u4")
-            used, local = np.unique(back_batch[own], return_inverse=True)
-            blob = _pack(word[at], n, names[used].astype("<i8"), local.astype("<u4"), back_doc[own], weighed[own])
-            rows.append((int(p), 0, blob, None, None))
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
-    return score
-
-
-def _back_off(parts: int, total: int, backoff: float):
-    def score(counts: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame([], columns=_COLUMNS)
-        if pdf["part"].iloc[0] < 0:
-            return pdf[_COLUMNS]
-        words = counts["word"].to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        words, share = words[order], np.log(counts["n"].to_numpy()[order] / total)
-        rows: list[tuple] = []
-        for blob in pdf["blob"]:
-            word, n, names, batch, doc, weighed = _unpack(blob, 6)
-            value = np.repeat(share[np.searchsorted(words, word)], n) + np.where(weighed, np.log(backoff), 0.0)
-            rows += _sums(batch, doc, value, names, parts)
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
-    return score
-
-
-def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one batch with the sum of what all partitions gave."""
-    head = pdf[pdf["ids"].notna()].iloc[0]
-    sums = np.zeros(len(head["ids"]))
-    for blob in pdf["blob"].dropna():
-        doc, value = _unpack(blob, 2)
-        sums[doc] += value
-    return pd.DataFrame({"id": head["ids"], "n_words": head["sizes"], "log_score": sums})
+    return docs.mapInArrow(rows, f"__id {id_type}, __sig long, n_words long, base double")
 
 
 def backoff_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, backoff: float = 0.4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, backoff: float = 0.4, order: int = 2, passes: int = 2
 ) -> DataFrame:
     """(id, n_words, log_score, mean_log_score) for every row of ``docs``.
 
-    log_score: sum of the natural logarithms of the words' scores; a text's first
-    word has its share of all words.  Words are runs without ASCII white space, A-Z
-    lower-cased.  Defined cases: texts that are null or have no word have 0 words,
-    log_score 0 and a null mean; repeated rows count each and are scored each; null
-    ids are scored; an empty table gives an empty table.
-
-    Counts cover all documents and nothing is pruned before it is counted.  Pairs
-    that may be hot are counted by a scan of their own.  One shuffle deals the n-grams by first word, one those that back off, by the word,
-    and two pass on sums per document and partition.
+    log_score: sum of the natural logarithms of the words' scores with contexts of up
+    to ``order`` - 1 words before them in their text; a text's first word has its share
+    of all words.  Words are runs without ASCII white space, A-Z lower-cased.  The
+    counts hold the scored documents themselves, so an n-gram that occurs once is
+    known from that place alone; ``least`` = 2 takes it as unseen, and with 1 no word
+    would ever back off.
+
+    Defined cases: texts that are null or have no word have 0 words, log_score 0 and
+    a null mean; repeated rows count each and are scored each; null ids are scored;
+    an empty table gives an empty table.  ``docs`` is read once per order, pass and
+    side of a join, and has to give the same rows each time.
     """
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    id_type = texts.schema["__id"].dataType.simpleString()
-    counted = stage(word_counts(texts, "__text"), "words")
-    counts = counted.where("second IS NULL").select("word", "n", "ctx")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    parts = max(FEWEST, -(-total // PART_WORDS))
-    top = counts.where(F.col("n") > total / HEAVY).collect()  # fewer than HEAVY rows
-    top = sorted((r["word"] & (2**64 - 1), r["n"], r["ctx"]) for r in top)
-    heavy, heavy_ctx = np.array([w for w, *_ in top], np.uint64), np.array([c for *_, c in top], float)
-    heavy_share = np.log(np.array([n for _, n, _ in top], float) / max(total, 1))
-    often = counts.where(F.col("n") > total / HEAVY).select("word")
-    maybe = counted.where("second IS NOT NULL").join(often, "word", "left_semi")
-    maybe = maybe.join(often.withColumnRenamed("word", "second"), "second", "left_semi")
-    hot, hot_score = hot_pairs(texts, "__text", maybe, heavy, heavy_ctx, least, total / HEAVY)
-    kinds = f"part long, batch long, blob binary, ids array<{id_type}>, sizes array<long>"
-    dealt = texts.mapInArrow(_explode(parts, heavy, heavy_share, hot, hot_score), kinds)
-    second = dealt.groupBy("part").applyInPandas(
-        _seen_pairs(parts, least, backoff, heavy, heavy_ctx, heavy_share), kinds
-    )
-    # a word's hash is unsigned in numpy
-    unsigned = F.pmod(F.pmod("word", F.lit(parts)) + F.when(F.col("word") < 0, F.lit(2**64 % parts)).otherwise(0), F.lit(parts))
-    table = counts.select("word", "n", unsigned.cast("long").alias("key"))
-    third = table.groupBy("key").cogroup(second.groupBy("part")).applyInPandas(
-        _back_off(parts, total, backoff), kinds
+    rows = stage(_document_rows(texts, order, backoff), "rows")
+    table = stage(gram_counts(texts, "__text", 1), "grams-1")
+    total = table.agg(F.sum("n")).first()[0] or 0
+    # (gram, ctx, score, adds): adds is what a row of documents gets for the n-gram
+    known = table.select("gram", "ctx", F.log(F.col("n") / F.lit(float(max(total, 1)))).alias("score")).withColumn("adds", F.col("score"))
+    sums = [_summed(document_grams(texts, 1), known)]
+    for n in range(2, order + 1):
+        parts = []
+        before = known.select(F.col("gram").alias("prefix"), F.col("ctx").alias("before"))
+        lower = known.select(F.col("gram").alias("suffix"), F.col("score").alias("lower"))
+        for part in range(passes):
+            counts = stage(gram_counts(texts, "__text", n, part, passes).where(F.col("n") >= least), f"grams-{n}")
+            score = F.log(F.col("n") / F.col("before"))
+            known = stage(
+                counts.join(before, "prefix").join(lower, "suffix")
+                .select("gram", "ctx", score.alias("score"), (score - F.lit(math.log(backoff)) - F.col("lower")).alias("adds")),
+                f"scores-{n}",
+            )
+            unstage(counts)
+            sums.append(_summed(document_grams(texts, n, part, passes), known))
+            parts.append(known)
+        known = parts[0]
+        for other in parts[1:]:
+            known = known.unionByName(other)
+    zero = F.lit(0.0)
+    every = rows.select("__id", "__sig", zero.alias("sum"), F.lit(1).cast("long").alias("copies"))
+    for part in sums:
+        every = every.unionByName(part.withColumn("copies", F.lit(0).cast("long")))
+    # equal rows share their n-grams' sum
+    each = every.groupBy("__id", "__sig").agg((F.sum("sum") / F.sum("copies")).alias("sum"))
+    each = each.select(F.col("__id").alias("__i"), F.col("__sig").alias("__s"), "sum")
+    joined = rows.join(each, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__sig") == F.col("__s")))
+    return joined.select(F.col("__id").alias(id_col), "n_words", (F.col("base") + F.col("sum")).alias("log_score")).withColumn(
+        "mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     )
-    out = third.groupBy("batch").applyInPandas(_gather, f"id {id_type}, n_words long, log_score double")
-    return out.select(
-        F.col("id").alias(id_col), "n_words", "log_score",
-        F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"),
-    )
+
+
+def _summed(exploded: DataFrame, known: DataFrame) -> DataFrame:
+    """(__id, __sig, sum) of what the n-grams of each document add."""
+    met = exploded.join(known.select("gram", "adds"), "gram")
+    return stage(met.groupBy("__id", "__sig").agg(F.sum(F.col("times") * F.col("adds")).alias("sum")), "sums")
