@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType
 
 from kinfold.llm.components import connected_components
 from kinfold.llm.words import distinct_by_doc, grams, mix64, small_batches, text_words
-from kinfold.plans.staging import stage
+from kinfold.plans.staging import stage, unstage
 
 WIDTH = 5
 REGISTERS = 128
@@ -166,8 +166,8 @@ def near_duplicates(
     Defined cases: texts with fewer than five words are one shingle, the whole
     sequence; null texts and texts without words have an empty set and link with
     nothing; a row with a null id links with nothing, has a null component and is
-    kept; rows that repeat an id are one document, so they must have one text;
-    empty tables give empty tables.  The ids must be of an ordered type.
+    kept; rows that repeat an id are one document, and a ValueError tells of an id
+    with several sets of shingles; empty tables give empty tables.  The ids must be of an ordered type.
 
     Bands of 4 out of 128 registers miss a pair at 0.85 with probability
     (1 - 0.85^4)^32 < 1e-10.
@@ -180,6 +180,9 @@ def near_duplicates(
         texts.mapInArrow(_sketch, f"__id {id_type}, __n long, __d1 long, __d2 long, __regs binary"), "sketches"
     )
     own = ["__n", "__d1", "__d2"]
+    kinds = sketches.where("__id IS NOT NULL").groupBy("__id").agg(F.min(F.struct(*own)).alias("lo"), F.max(F.struct(*own)).alias("hi"))
+    if (odd := kinds.where("lo <> hi").first()) is not None:
+        raise ValueError(f"several texts have the id {odd['__id']}")
     reps = stage(
         sketches.where("__n > 0 AND __id IS NOT NULL")
         .groupBy(*own)
@@ -203,6 +206,7 @@ def near_duplicates(
     links = stage(_verified(stars, sets, percent), "links")
     first = connected_components(links)
     mixed = _mixed(members, first)
+    unstage(members, links)
     more = stage(_verified(_few(mixed, percent), sets, percent).union(_many(mixed, sets, percent)), "links")
     if more.isEmpty():
         final = first
@@ -210,6 +214,7 @@ def near_duplicates(
         final = connected_components(
             more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
         )
+    unstage(mixed, sets, more)
     classes = reps.select(*own, F.col("__id").alias("__rep"))
     joined = sketches.join(classes, own, "left").join(
         final, F.col("__rep") == F.col("node"), "left"
@@ -236,7 +241,9 @@ def _bucket_members(reps: DataFrame) -> DataFrame:
     )
     members = stage(banded.join(shared, "__key"), "members")
     company = members.groupBy("__id").agg(F.sum("__mates").alias("__company"))
-    return stage(members.join(company, "__id"), "members")
+    full = stage(members.join(company, "__id"), "members")
+    unstage(shared, members)
+    return full
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -257,13 +264,15 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
         F.max("__most").alias("__most"),
     ).where("__comps > 1")
     rows = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES / F.col("__most"))))
-    return stage(
+    out = stage(
         labelled.join(mixed, "__key")
         .withColumn("__blocks", F.ceil(F.col("__mates") / rows).cast("int"))
         .withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
         .drop("__comps", "__most"),
         "mixed",
     )
+    unstage(labelled)
+    return out
 
 
 def _few(mixed: DataFrame, percent: int) -> DataFrame:

@@ -224,6 +224,9 @@ def test_near_duplicate_cases(spark, docs, texts, empty):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]]
     with pytest.raises(ValueError):
         setsketch.near_duplicates(docs, percent=70)
+    two = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="several texts"):
+        setsketch.near_duplicates(two)
 
 
 def test_sketch_estimate():
