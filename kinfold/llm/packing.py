@@ -48,40 +48,61 @@ class ByteEncoder:
         with open(path, encoding="utf-8") as f:
             special = [re.escape(x["content"]) for x in json.load(f).get("added_tokens", [])]
         self.apart = re.compile("|".join([_TOUCHING.pattern, *special]))
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which tokens begin with a space, in the byte alphabet of such files.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of new chunks: letters, and the signs after them, apart; anything else as it is."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        parts = {}
+    def _run(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that begin with a space, read as one text: the only tokens with a space begin them."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(chunks):
+            return self.whole(chunks)
+        raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+        return [raw[lo:hi] for lo, hi in zip((4 * at).tolist(), ends)]
+
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Ids of new chunks: letters, and the signs after them, apart; anything else as it is.  Returns what is new."""
+        known, parts, new = self.known, [], set()
         for chunk in chunks:
-            end = len(chunk)
-            while end and not chunk[end - 1].isalnum():
-                end -= 1
-            word = chunk[:end]
-            letters = (word[1:] if word[:1] == " " else word).isalpha()
-            parts[chunk] = (word, chunk[end:]) if letters and end < len(chunk) else (chunk,)
-        new = list({p for own in parts.values() for p in own} - self.known.keys())
-        self.known.update(zip(new, self.whole(new)))
-        for chunk, own in parts.items():
-            if len(own) > 1:
-                self.known[chunk] = self.known[own[0]] + self.known[own[1]]
+            if not chunk[-1].isalnum() and len(chunk) > 1:
+                end = len(chunk) - 1
+                while end and not chunk[end - 1].isalnum():
+                    end -= 1
+                word, rest = chunk[:end], chunk[end:]
+                if (word[1:] if word[:1] == " " else word).isalpha():
+                    parts.append((chunk, word, rest))
+                    new.update(x for x in (word, rest) if x not in known)
+                    continue
+            new.add(chunk)
+        spaced = [x for x in new if x[0] == " " and len(x) > 1]
+        for lo in range(0, len(spaced), 4096):
+            own = spaced[lo : lo + 4096]
+            known.update(zip(own, self._run(own)))
+        other = [x for x in new if not (x[0] == " " and len(x) > 1)]
+        known.update(zip(other, self.whole(other)))
+        for chunk, word, rest in parts:
+            known[chunk] = known[word] + known[rest]
+        return [*new, *(chunk for chunk, _, _ in parts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         apart = [i for i, x in enumerate(texts) if self.apart.search(x)]
         whole = dict(zip(apart, self.whole([texts[i] for i in apart])))
         chunks = [() if i in whole else _CHUNK.findall(x) for i, x in enumerate(texts)]
-        new = {c for own in chunks for c in own if c not in self.known}
-        if new:
-            held = {c for own in chunks for c in own} if len(self.known) > CACHE else new
-            self._learn(held)
+        room = len(self.known) < CACHE
+        new = self._learn(set().union(*chunks) - self.known.keys())
         get = self.known.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
+        out = [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
+        if not room:
+            for chunk in new:
+                del self.known[chunk]
+        return out
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
