@@ -28,7 +28,7 @@ def test_stages(spark, docs, sf):
     assert none <= gone and len(gone - none) <= 0.02 * len(before) + 1
     assert {r["doc_id"] for r in cut} == set(lined) and sum(r["text"] != lined[r["doc_id"]] for r in cut) > 5
     assert all(r["n_chars"] == len(r["text"]) for r in cut)
-    assert {r["doc_id"] for r in kept} == {i for i, (_, _, k) in brute_components(whole).items() if k}
+    assert {r["doc_id"] for r in kept} == {i for i, (_, _, k) in brute_components(whole, corpus_pipeline.PERCENT).items() if k}
     copies = {r["doc_id"]: r["mix_copies"] for r in mixing.mix_sources(mix_in).collect()}
     assert sorted(r["doc_id"] for r in taken) == sorted(i for i, n in copies.items() for _ in range(n))
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
