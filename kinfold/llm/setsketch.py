@@ -247,9 +247,10 @@ def _bucket_members(reps: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of buckets with several components: (__id, __n, __key, __mates, __comp, __main, __block, __blocks).
+    """Members of buckets with several components: (__id, __n, __key, __mates, __comp, __main, __asks, __blocks).
 
     ``__main`` is the bucket's largest component, which needs no comparison inside.
+    ``__blocks`` counts the blocks of all members, ``__asks`` those of the members outside it.
     """
     labelled = stage(
         members.join(components, F.col("__id") == F.col("node"), "left").select(
@@ -261,14 +262,15 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     mixed = shares.groupBy("__key").agg(
         F.count("*").alias("__comps"),
         F.max_by("__comp", F.struct("__k", "__comp")).alias("__main"),
+        (F.sum("__k") - F.max("__k")).alias("__outside"),
         F.max("__most").alias("__most"),
     ).where("__comps > 1")
     rows = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_SHINGLES / F.col("__most"))))
     out = stage(
         labelled.join(mixed, "__key")
         .withColumn("__blocks", F.ceil(F.col("__mates") / rows).cast("int"))
-        .withColumn("__block", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
-        .drop("__comps", "__most"),
+        .withColumn("__asks", F.ceil(F.col("__outside") / rows).cast("int"))
+        .drop("__comps", "__most", "__outside"),
         "mixed",
     )
     unstage(labelled)
@@ -313,16 +315,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
 def _many(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) in buckets with many members, compared block by block on full sets.
 
-    Members outside the bucket's largest component meet all others.  A block holds
-    BLOCK_ROWS members or BLOCK_SHINGLES shingles; a pair of blocks gives what its
-    links join, no more rows than it has members.
+    Members outside the bucket's largest component meet all others, so the copies of
+    sets are as many as members times blocks outside, not times all blocks.  A block
+    holds BLOCK_ROWS members or BLOCK_SHINGLES shingles; a pair of blocks gives what
+    its links join, no more rows than it has members.
     """
     many = mixed.where(F.col("__mates") > FEW).join(sets.select("__id", "__set"), "__id")
-    many = many.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    own = lambda blocks: F.pmod(F.xxhash64("__id"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     asks = many.where(F.col("__comp") != F.col("__main"))
     key = ["__key", "__i", "__j"]
-    left = asks.withColumn("__i", F.col("__block")).withColumn("__j", F.col("__other"))
-    right = many.withColumn("__i", F.col("__other")).withColumn("__j", F.col("__block"))
+    left = asks.withColumn("__i", own("__asks")).withColumn("__j", each("__blocks"))
+    right = many.withColumn("__i", each("__asks")).withColumn("__j", own("__blocks"))
     pick = ["__id", "__comp", "__set"]
     id_type = mixed.schema["__id"].dataType.simpleString()
 
