@@ -213,6 +213,32 @@ def test_near_duplicates(monkeypatch, docs, texts, few):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(texts)
 
 
+def test_large_buckets_by_blocks(monkeypatch, spark):
+    """Versions of one text, near and far: a large component and others share buckets of many blocks."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = {}
+    for i in range(140):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 3) if i % 2 else rng.randint(5, 9)):
+            words[at] = f"x{rng.randint(0, 3)}"
+        texts[i] = " ".join(words)
+    seen, many = [], setsketch._many
+
+    def watched(mixed, sets, percent):
+        seen.append(mixed.where("__asks < __blocks").agg(F.max("__asks"), F.max("__blocks")).first())
+        return many(mixed, sets, percent)
+
+    monkeypatch.setattr(setsketch, "FEW", 1)
+    monkeypatch.setattr(setsketch, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(setsketch, "_many", watched)
+    got = setsketch.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == brute_components(texts)
+    assert seen[0][0] > 1 and seen[0][1] > seen[0][0]
+
+
 def test_near_duplicate_cases(spark, docs, texts, empty):
     assert setsketch.near_duplicates(empty).count() == 0
     twice = setsketch.near_duplicates(docs.union(docs).union(docs.where("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long"))))
