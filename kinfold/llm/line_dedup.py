@@ -58,7 +58,8 @@ def dedup_lines(
     """
     total, dropped = f"{prefix}total", f"{prefix}dropped"
     docs = docs.drop(total, dropped)
-    lines = (
+    # read twice, so the digests are kept and the texts split for them once
+    lines = stage(
         docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
         .select(
             F.col(id_col).alias("__id"),
@@ -67,7 +68,8 @@ def dedup_lines(
         .select("__id", line_key(F.col("__line")).alias("__key"))
         .where(F.length("__key") >= min_chars)
         .select("__id", _digest(F.col("__key")).alias("__d"))
-        .select("__id", F.col("__d.a").alias("__a"), F.col("__d.b").alias("__b"))
+        .select("__id", F.col("__d.a").alias("__a"), F.col("__d.b").alias("__b")),
+        "digests",
     )
     common = stage(
         lines.groupBy("__a", "__b")
