@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.ann import nearest_neighbours
+from kinfold.llm.cluster import cluster_vectors
+from kinfold.llm.decontaminate import decontaminate
 from kinfold.llm.langid import language_labels
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.lm import backoff_scores
@@ -13,8 +17,10 @@ from kinfold.llm.media import media_columns
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.packing import pack_documents
 from kinfold.llm.quality import quality_scores
+from kinfold.llm.repair import damaged, repair_conversations, turn_digests
 from kinfold.llm.setsketch import near_duplicates
 from kinfold.llm.sharding import shard_by_bytes
+from kinfold.plans.staging import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +88,45 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids = cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, seed=3)
+    placed = stage(placed.withColumnRenamed("id", "vec_id"), "clusters")
+    sums = placed.groupBy("cluster").agg(
+        F.sum(F.col("distance").cast("decimal(38,0)")).alias("total"), F.count("*").alias("n"), F.count("distance").alias("known")
+    )
+    rows = {r["cluster"]: r for r in sums.collect()}  # one a centroid
+    total = lambda own: sum(int(r["total"]) for r in own) if all(r["n"] == r["known"] for r in own) else None
+    fits = lambda v: v if v is not None and v < 2**63 else None
+    every = fits(total(rows.values()))
+    found = [
+        (c, fits(total([rows[c]])), every, hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest()) for c in rows
+    ]
+    table = spark.createDataFrame(found, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return placed.join(F.broadcast(table), "cluster").select(  # a row a centroid
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, times = damaged(_table(spark, sf_dir, "conversations"))
+    found, repaired = repair_conversations(turns, times=times)
+    digests = turn_digests(repaired).withColumnRenamed("conv", "own")
+    return found.join(digests, F.col("conv").eqNullSafe(F.col("own")), "left").select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pack": op2_pack,
@@ -93,4 +138,7 @@ QUERIES = {
     "op8_stupid_backoff": op8_stupid_backoff,
     "op9_media_columns": op9_media_columns,
     "op10_line_dedup": op10_line_dedup,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_bisector_clusters": op12_bisector_clusters,
+    "op13_repair_conversations": op13_repair_conversations,
 }
