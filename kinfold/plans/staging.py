@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +37,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder."""
+def stage_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder's path in the shared folder; with ``keep`` the innermost scratch() leaves it to the one around it."""
     path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
-    if _open:
+    if keep and len(_open) > 1:
+        _open[-2].append(path)
+    elif _open and not keep:
         _open[-1].append(path)
     return path
 
@@ -59,9 +62,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    staged = spark.read.schema(df.schema).parquet(path)
-    staged.staged_path = path
-    return staged
+    return staged(spark, path, df.schema)
+
+
+def staged(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at a path of stage_path(), which unstage() can delete."""
+    found = spark.read.schema(schema).parquet(path)
+    found.staged_path = path
+    return found
 
 
 def _at(spark: SparkSession, path: str):
