@@ -201,25 +201,27 @@ def pooled(params: Params, column: pa.Array) -> np.ndarray:
 
 
 def train_languages(
-    docs: DataFrame, per_language: int = 150, longest: int = 1 << 16, epochs: int = 4, seed: int = 1
+    docs: DataFrame, per_language: int = 150, budget: int = 4 << 20, epochs: int = 4, seed: int = 1
 ) -> tuple[list[str], Params]:
     """(languages, parameters) from rows (__id, __text, __lang).
 
-    The bound is on rows: of each language the ``per_language`` documents with the
-    smallest id hashes among those of ``longest`` bytes at most.  They are learned
-    from whole.  The ids are chosen from a table without texts.
+    The bound is on rows and on bytes: of each language the ``per_language`` documents
+    with the smallest id hashes, as long as they have ``budget`` bytes between them, and
+    the first in any case, however long it is.  They are learned from whole; of a text
+    beyond the budget that many bytes' windows are taken, evenly from beginning to end.
+    The ids are chosen from a table without texts.
     """
     hashed = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 31))
     order = W.partitionBy("__lang").orderBy("__hash", "__id")
-    known = docs.where(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & (F.octet_length("__text") <= longest))
+    known = docs.where(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & (F.octet_length("__text") > 0))
     # a count first tells below which hash a language's smallest lie, so few rows reach its ranks
     counts = stage(known.groupBy("__lang").agg(F.count("*").alias("__count")), "languages")
     below = F.when(F.col("__count") > 4 * per_language + 1200, (2 * per_language + 300) / F.col("__count")).otherwise(1.0)
     chosen = (
-        known.select("__id", "__lang", hashed.alias("__hash")).join(counts, "__lang")
+        known.select("__id", "__lang", hashed.alias("__hash"), F.octet_length("__text").cast("long").alias("__bytes")).join(counts, "__lang")
         .where(F.col("__hash") < below * float(1 << 31))
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= per_language).select("__id").distinct()
+        .withColumn("__rank", F.row_number().over(order)).withColumn("__sum", F.sum("__bytes").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        .where((F.col("__rank") == 1) | (F.col("__rank") <= per_language) & (F.col("__sum") <= budget)).select("__id").distinct()
     )
     rows = known.join(stage(chosen, "chosen"), "__id", "left_semi").select(
         F.xxhash64(F.col("__id").cast("string")).alias("__key"), "__text", "__lang"
@@ -232,6 +234,8 @@ def train_languages(
             key, lang = batch.column("__key").to_pylist(), batch.column("__lang").to_pylist()
             for i in range(batch.num_rows):
                 own = windows[owner == i]
+                if len(own) > (most := budget // WINDOW):
+                    own = own[np.linspace(0, len(own) - 1, most).astype(int)]
                 found.append(own)
                 langs += [lang[i]] * len(own)
                 keys += [(key[i], k) for k in range(len(own))]
@@ -311,7 +315,7 @@ def keep_identified(
 ) -> DataFrame:
     """The rows of ``docs`` whose text has a letter and is in one of the languages, with ``lang_col`` filled where it is null.
 
-    A text goes if it has FEW_LETTERS or more bytes of letters and its best language
+    A text goes if it has FEW_LETTERS or more letters and its best language
     stays under ``least`` (least_score() by default).  All else stays as it is; when
     nothing was learned, all texts with a letter stay.
     """

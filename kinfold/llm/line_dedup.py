@@ -1,8 +1,9 @@
 """Line dedup: drop long lines that many documents share.
 
 Lines are exploded, normalised and hashed; distinct documents are counted per
-hash; lines over the threshold go, except in the largest doc_id that holds them;
-the rest is joined again in order.  DataFrame functions only.
+hash; the places of lines over the threshold go, except in the largest doc_id that
+holds them; what stands between them is put together by position.  DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.plans.names import spare_names
 from kinfold.plans.staging import stage
 
 #: ASCII white space, stripped at both ends of a line.
@@ -45,70 +47,60 @@ def dedup_lines(
     A key of at least ``min_chars`` code points that occurs in at least
     ``min_docs`` distinct ids loses all its lines except in the largest id.
     Adds ``{prefix}total`` and ``{prefix}dropped``; an input column of such a
-    name is replaced.  All other columns stay.
+    name is replaced.  All other columns stay, whatever their names.
 
     Defined cases: null text counts as one empty line and comes back as it is;
     rows with a null id keep every line and count for no key; repeated rows count
     once per id, and each copy gets the same result; an empty table gives an empty
-    table; there is no limit on a text's length.
+    table; there is no limit on a text's length or its lines, whose number the work
+    grows with.
 
     Shuffles: 16-byte digests by (digest, id) and by digest with partial sums, so
     a line that a third of all documents share is never gathered in one task; the
-    dropped digests by id; the texts once, by id.
+    places of dropped lines by text; the texts once, by id and digest of the text.
     """
     total, dropped = f"{prefix}total", f"{prefix}dropped"
     docs = docs.drop(total, dropped)
+    text, there = F.col(text_col), F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    # which text of an id a place is in: ids may repeat with other texts
+    mark = F.xxhash64(text)
     # read twice, so the digests are kept and the texts split for them once
     lines = stage(
-        docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(
-            F.col(id_col).alias("__id"),
-            F.explode(F.split(F.col(text_col), "\n", -1)).alias("__line"),
-        )
-        .select("__id", line_key(F.col("__line")).alias("__key"))
-        .where(F.length("__key") >= min_chars)
-        .select("__id", _digest(F.col("__key")).alias("__d"))
-        .select("__id", F.col("__d.a").alias("__a"), F.col("__d.b").alias("__b")),
+        docs.where(there)
+        .select(F.col(id_col).alias("id"), mark.alias("mark"), F.split(text, "\n", -1).alias("all"))
+        .select("id", "mark", F.posexplode("all").alias("at", "line"))  # a step of its own, so that lines don't carry the text
+        .select("id", "mark", "at", line_key(F.col("line")).alias("key"))
+        .where(F.length("key") >= min_chars)
+        .select("id", "mark", "at", _digest(F.col("key")).alias("d")).select("id", "mark", "at", "d.a", "d.b"),
         "digests",
-    )
+    )
     common = stage(
-        lines.groupBy("__a", "__b")
-        .agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keeper"))
-        .where(F.col("__n") >= min_docs)
-        .select("__a", "__b", "__keeper"),
+        lines.groupBy("a", "b")
+        .agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
+        .where(F.col("n") >= min_docs)
+        .select("a", "b", "keeper"),
         "lines",
     )
-    drops = (
-        lines.join(common, ["__a", "__b"])
-        .where(F.col("__id") != F.col("__keeper"))
-        .groupBy("__id")
-        .agg(F.collect_set(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__drop"))
-    )
-    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.filter(
-        F.col("__lines"),
-        lambda x: ~(
-            (F.length(x) >= min_chars) & F.array_contains(F.col("__drop"), _digest(line_key(x)))
-        ),
-    )
-    own = [F.col(c) for c in docs.columns]
-    out = (
-        docs.join(drops, docs[id_col] == drops["__id"], "left")
-        .withColumn("__lines", split)
-        .withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
+    own_id, own_mark, gone, parts, left = spare_names(docs, "drop_id", "drop_mark", "drop_at", "parts", "left")
+    # for each place up to the last dropped one whether its line goes, looked up in one step
+    gap = lambda k: F.get("at", k) - F.when(k == 0, F.lit(0)).otherwise(F.get("at", k - 1) + 1)
+    flags = F.flatten(
+        F.transform(F.sequence(F.lit(0), F.size("at") - 1), lambda k: F.concat(F.array_repeat(F.lit(False), gap(k)), F.array(F.lit(True))))
     )
-    return out.select(
-        *[
-            F.when(F.col("__kept").isNull(), F.col(text_col))
-            .otherwise(F.array_join("__kept", "\n"))
-            .alias(text_col)
-            if c == text_col
-            else own[i]
-            for i, c in enumerate(docs.columns)
-        ],
-        F.size("__lines").cast("long").alias(total),
-        F.when(F.col("__kept").isNull(), F.lit(0))
-        .otherwise(F.size("__lines") - F.size("__kept"))
-        .cast("long")
-        .alias(dropped),
+    places = (
+        lines.join(common, ["a", "b"]).where(F.col("id") != F.col("keeper"))
+        .groupBy("id", "mark").agg(F.array_sort(F.collect_set("at")).alias("at"))
+        .select(F.col("id").alias(own_id), F.col("mark").alias(own_mark), flags.alias(gone))
+    )
+    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    kept = F.filter(parts, lambda _, at: ~F.coalesce(F.get(gone, at), F.lit(False)))
+    met = (
+        docs.withColumn(parts, split).join(places, (docs[id_col] == F.col(own_id)) & (mark == F.col(own_mark)), "left")
+        .withColumn(left, F.when(F.col(gone).isNotNull(), kept))
+    )
+    new = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(left, "\n"))
+    return met.select(
+        *[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.size(parts).cast("long").alias(total),
+        F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(left)).cast("long").alias(dropped),
     )

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.plans.names import spare_names
 from kinfold.plans.staging import stage
 
+#: Rows that any bucket may hold, however few a source has.
+ROOM = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -91,6 +94,42 @@ def _position(before: Column) -> Column:
     return F.round(F.when(slope == 0, level).otherwise((root - F.col("__w0")) / F.nullif(slope, F.lit(0.0))), 9) + F.lit(0.0)
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__group``, which follows the order of (__order, __id, __size) within a source.
+
+    A bucket is a group, unless ids repeat or are null so often that it holds many times
+    the rows it should.  Such a bucket is parted by id and size, and rows of the same id
+    and size, which are alike, by a hash.
+    """
+    due = F.ceil(F.sqrt("__sdocs")) + ROOM
+    hot = stage(
+        rows.groupBy("__tsrc", "__bucket", "__sdocs").agg(F.count("*").alias("__n")).where(F.col("__n") > 4 * due)
+        .select(F.col("__tsrc").alias("__hsrc"), F.col("__bucket").alias("__hbucket")),
+        "hot",
+    )
+    kinds = rows.schema["__id"].dataType.simpleString()
+    group = lambda order, id_, size, part: F.struct(
+        "__bucket", order.alias("order"), id_.cast(kinds).alias("id"), size.cast("long").alias("size"), part.cast("int").alias("part")
+    )
+    whole = group(F.lit(""), F.lit(None), F.lit(0), F.lit(0))
+    if hot.isEmpty():
+        return rows.withColumn("__group", whole)
+    flagged = rows.join(hot, rows["__tsrc"].eqNullSafe(F.col("__hsrc")) & (F.col("__bucket") == F.col("__hbucket")), "left")
+    alike = ["__tsrc", "__bucket", "__order", "__id", "__size"]
+    parts = stage(
+        flagged.where("__hbucket IS NOT NULL").groupBy(*alike, "__sdocs").agg(F.count("*").alias("__n"))
+        .select(*[F.col(c).alias(f"{c}_h") for c in alike], F.ceil(F.col("__n") / due).alias("__parts")),
+        "alike",
+    )
+    same = F.lit(True)
+    for c in alike:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_h"))
+    part = F.pmod(F.xxhash64("__row"), F.col("__parts"))
+    met = flagged.join(parts, same, "left")
+    split = group(F.col("__order"), F.col("__id"), F.col("__size"), part)
+    return met.withColumn("__group", F.when(F.col("__hbucket").isNull(), whole).otherwise(split)).select(*rows.columns, "__group")
+
+
 def mix_sources(
     docs: DataFrame,
     ramps=cycled_ramps,
@@ -119,7 +158,7 @@ def mix_sources(
 
     Documents are summed in about sqrt(n) hash buckets of about sqrt(n) rows per
     source, so neither the bucket totals nor a bucket of the largest source grows
-    in proportion to the data.  The per-source table is broadcast only if Spark
+    in proportion to the data; a bucket full of null or repeated ids is parted further.  The per-source table is broadcast only if Spark
     finds its files under the broadcast threshold.
     """
     # md5 of the id: the same order in any engine; its first 32 bits pick the bucket
@@ -130,7 +169,8 @@ def mix_sources(
             F.col(source_col).cast("string").alias("__src"),
             word_count(F.col(text_col)).alias("__size"),
             digest.alias("__order"),
-            *([F.col(row_col).alias("__row")] if row_col else []),
+            # rows of one id and size are alike, so any number that tells them apart will do
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("__row"),
         ),
         "sizes",
     )
@@ -149,14 +189,15 @@ def mix_sources(
     rows = slim.join(targets, slim["__src"].eqNullSafe(targets["__tsrc"])).withColumn(
         "__bucket", F.floor(share * n_buckets).cast("long")
     )
-    totals = rows.groupBy("__tsrc", "__bucket").agg(F.sum("__size").alias("__bsize"))
-    by_source = W.partitionBy("__tsrc").orderBy("__bucket")
+    rows = _grouped(rows)
+    totals = rows.groupBy("__tsrc", "__group").agg(F.sum("__size").alias("__bsize"))
+    by_source = W.partitionBy("__tsrc").orderBy("__group")
     starts = totals.select(
         F.col("__tsrc").alias("__bsrc"),
-        F.col("__bucket").alias("__bno"),
+        F.col("__group").alias("__bno"),
         (F.sum("__bsize").over(by_source) - F.col("__bsize")).alias("__bstart"),
     )
-    within = W.partitionBy("__tsrc", "__bucket").orderBy("__order", "__id", "__size", *(["__row"] if row_col else []))
+    within = W.partitionBy("__tsrc", "__group").orderBy("__order", "__id", "__size", "__row")
     before = F.col("__bstart") + F.col("__run") - F.col("__size")
     passes = F.least(F.floor(F.col("__target") / F.col("__ssize")), F.lit(max_repeat)).cast("long")
     rest = F.round(F.col("__target") - F.col("__passes") * F.col("__ssize")).cast("long")
@@ -166,7 +207,7 @@ def mix_sources(
     ).otherwise(F.lit(0).cast("long"))
     return (
         rows.withColumn("__run", F.sum("__size").over(within.rowsBetween(W.unboundedPreceding, 0)))
-        .join(starts, F.col("__tsrc").eqNullSafe(F.col("__bsrc")) & (F.col("__bucket") == F.col("__bno")))
+        .join(starts, F.col("__tsrc").eqNullSafe(F.col("__bsrc")) & F.col("__group").eqNullSafe(F.col("__bno")))
         .withColumn("__before", before)
         .withColumn("__passes", F.when(F.col("__ssize") > 0, passes).otherwise(F.lit(0).cast("long")))
         .withColumn("__rest", F.when(F.col("__ssize") > 0, rest).otherwise(F.lit(0).cast("long")))
@@ -189,9 +230,10 @@ def mix_sources(
     )
 
 
-def with_row_key(docs: DataFrame, row_col: str = "__row_key") -> DataFrame:
-    """``docs`` with a unique key of the rows, staged because the key differs when it is computed again."""
-    return stage(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows")
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique key of the rows, staged because the key differs when it is computed again, and its name."""
+    (row_col,) = spare_names(docs, "row_key")
+    return stage(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows"), row_col
 
 
 def training_order(
@@ -201,12 +243,11 @@ def training_order(
 
     The copies are joined to the documents by ``row_col``, a unique key in both,
     which stays out of the result.  Without it they are joined by id, and ids have to
-    be unique and not null.
+    be unique and not null.  Columns of ``docs`` may have any names.
     """
     key = row_col or id_col
-    taken = mixed.where(F.col(f"{prefix}copies") > 0).select(
-        F.col(key).alias("__taken"), F.explode(f"{prefix}positions").alias("__at")
-    )
-    own = [docs[c] for c in docs.columns if c != row_col]
-    order = ["__at", docs[id_col], "__taken"] if row_col else ["__at", "__taken"]
-    return docs.join(taken, docs[key] == F.col("__taken")).orderBy(*order).select(*own)
+    which, at = spare_names(docs, "taken", "at")
+    taken = mixed.where(F.col(f"{prefix}copies") > 0).select(F.col(key).alias(which), F.explode(f"{prefix}positions").alias(at))
+    own = [f"`{c}`" for c in docs.columns if c != row_col]
+    order = [at, f"`{id_col}`", which] if row_col else [at, which]
+    return docs.join(taken, docs[key] == F.col(which)).orderBy(*order).select(*own)

@@ -105,3 +105,31 @@ def test_no_language_learned(spark, docs):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, bare, "").collect()}
     assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
+def test_columns_of_any_name_and_empty_tables(spark, docs, tmp_path):
+    """Extra columns pass every stage but the last, whatever their names; an empty table stays empty."""
+    names = ("row_key", "taken", "at", "parts", "left", "drop_at", "count", "one", "__one", "__id", "__text", "n", "size", "kept")
+    own = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    now, none = own, own.limit(0)
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        now, none = stage(f(spark, now, ""), "t"), stage(f(spark, none, ""), "t")
+        assert now.columns == none.columns == own.columns and none.count() == 0
+    rows = now.collect()
+    assert len(rows) > 50 and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() >= len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, none, "").count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf, monkeypatch):
+    import os
+    import urllib.parse
+
+    from kinfold.plans.staging import shared_dir
+
+    folder = urllib.parse.urlparse(shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(folder)) - before
+    assert out.count() > 50 and sum("mixing" in x for x in left) == 1
+    assert not any(x.startswith(("kinfold-rows", "kinfold-digests", "kinfold-language-id", "kinfold-sizes")) for x in left)

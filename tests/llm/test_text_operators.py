@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -88,6 +89,36 @@ def test_line_dedup_texts(docs, texts, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+OWN = ("id", "mark", "at", "line", "all", "key", "d", "a", "b", "n", "keeper", "drop_id", "drop_mark", "drop_at", "parts", "left",
+       "__id", "__drop", "__lines", "__kept", "__key", "__d", "taken", "row_key", "__at", "__taken", "__row_key", "__row", "__group")
+
+
+def test_line_dedup_keeps_columns_of_any_name(docs):
+    odd = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in OWN})
+    got = line_dedup.dedup_lines(odd)
+    assert got.columns == [*odd.columns, "line_total", "line_dropped"]
+    plain = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    for r in got.collect():
+        assert r["text"] == plain[r["doc_id"]] and all(r[c] == f"{c} of {r['doc_id']}" for c in OWN)
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Documents of 50,000 lines, of which many go: a square of that would not end."""
+    line = lambda i: F.concat(F.when(i % 3 == 0, F.lit("own line of document ")).otherwise("a line of more than forty code points, the "), i.cast("string"))
+    own = F.transform(F.sequence(F.lit(1), F.lit(50_000)), line)
+    df = spark.range(5).select(F.col("id").alias("doc_id"), F.array_join(own, "\n").alias("text"))
+    got = {r["doc_id"]: (r["line_total"], r["line_dropped"], r["n"]) for r in line_dedup.dedup_lines(df).withColumn("n", F.size(F.split("text", "\n"))).collect()}
+    assert got == {i: (50_000, 33_334, 16_666) for i in range(4)} | {4: (50_000, 0, 50_000)}
+
+
+def test_line_dedup_of_ids_that_repeat(spark):
+    """Places are those of a text, not of an id."""
+    a, b = "first shared line of more than forty characters", "second shared line of more than forty characters"
+    df = spark.createDataFrame([*[(i, f"{a}\n{b}") for i in range(6)], (0, f"x\n{b}\ny"), (0, f"x\n{b}\ny"), (0, "x")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"], r["line_dropped"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == sorted([*[(i, "", 2) for i in range(5)], (5, f"{a}\n{b}", 0), (0, "x\ny", 1), (0, "x\ny", 1), (0, "x", 0)])
+
+
 def test_line_dedup_null_id(spark):
     long = "x" * 50
     df = spark.createDataFrame([(None, long), *[(i, long) for i in range(5)]], "doc_id long, text string")
@@ -98,6 +129,32 @@ def test_line_dedup_null_id(spark):
 # --- mixing ---------------------------------------------------------------------------
 
 
+def test_mix_parts_hot_ids(spark, monkeypatch):
+    """A bucket full of null or repeated ids is parted, and the result is that of one bucket."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(["w"] * rng.randrange(4)), f"s{i % 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    run = lambda: sorted([(r["doc_id"] is None, r["doc_id"], r["source"], r["mix_size"], r["mix_taken"], r["mix_position"], r["mix_copies"]) for r in mixing.mix_sources(df).collect()], key=repr)
+    whole = run()
+    monkeypatch.setattr(mixing, "ROOM", 1)
+    parted = run()
+    assert parted == whole and len(parted) == 3000
+    grouped = mixing._grouped(
+        df.select(F.col("doc_id").alias("__id"), F.lit("").alias("__order"), F.lit("s").alias("__tsrc"), F.lit(0).cast("long").alias("__bucket"),
+                  F.length("text").cast("long").alias("__size"), F.lit(3000).alias("__sdocs"), F.monotonically_increasing_id().alias("__row"))
+    )
+    assert grouped.groupBy("__group").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_training_order_keeps_columns_of_any_name(docs):
+    odd = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in OWN})
+    keyed, key = mixing.with_row_key(odd)
+    got = mixing.training_order(keyed, mixing.mix_sources(keyed, row_col=key), row_col=key)
+    assert key == "_row_key" and got.columns == odd.columns
+    rows = got.collect()
+    assert len(rows) > 100 and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in OWN)
+
+
 def test_mix_query(spark, sf):
     cols, want = duck(oracles.MIX, sf)
     key = lambda rows: sorted(tuple(None if v is None else round(v, 7) for v in r) for r in rows)
@@ -445,6 +502,19 @@ def test_language_accuracy(spark):
     assert held.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).count() == 0
 
 
+def test_language_of_long_texts_only(spark):
+    """Languages whose every document is long, or longer than the budget, are learned too."""
+    rng = random.Random(3)
+    pools = {"en": ["the", "and", "with", "which", "house"], "de": ["der", "und", "nicht", "auch", "schön"], "xx": ["ñandú", "año", "qué", "más", "él"]}
+    rows = [(k * 100 + i, " ".join(rng.choice(pools[x]) for _ in range(14_000)), x) for k, x in enumerate(pools) for i in range(12 if x != "xx" else 2)]
+    df = spark.createDataFrame(rows, "__id long, __text string, __lang string")
+    names, params = langid.train_languages(df, budget=1 << 18)
+    assert names == ["de", "en", "xx"]
+    got = langid.identify_languages(df, names, params, id_col="__id", text_col="__text").collect()
+    want = {i: x for i, _, x in rows}
+    assert all(r["lang_pred"] == want[r["__id"]] for r in got) and len(got) == 26
+
+
 def test_language_cases(docs, empty):
     names, params = ["de", "en"], langid.new_params(2)
     rows = {r["doc_id"]: r for r in langid.identify_languages(clashing(docs), names, params).collect()}
