@@ -14,7 +14,7 @@ from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.mixing import mix_sources, training_order, with_row_key
 from kinfold.llm.packing import pack_documents
 from kinfold.llm.setsketch import near_duplicates
-from kinfold.plans.staging import stage
+from kinfold.plans.staging import scratch, stage, stage_path, staged, unstage
 
 #: Documents are near-duplicates if they share 80 of 100 shingles of five words.
 PERCENT = 80
@@ -63,8 +63,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mixture takes them, in training order."""
-    keyed = with_row_key(docs)
-    return training_order(keyed, mix_sources(keyed, row_col="__row_key"), row_col="__row_key")
+    keyed, key = with_row_key(docs)
+    return training_order(keyed, mix_sources(keyed, row_col=key), row_col=key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,5 +88,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of the documents in ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # what a stage has staged for itself goes when its result is written
+            after = step(spark, docs, sf_dir)
+            kept = stage_path(spark, name.replace(" ", "-"), keep=True)
+            after.write.parquet(kept)
+        unstage(docs)
+        docs = staged(spark, kept, after.schema)
     return STAGES[-1][1](spark, docs, sf_dir)
