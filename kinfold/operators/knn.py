@@ -11,18 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.functions.metrics import Metric, l2, metric_of, usable
+from kinfold.functions.metrics import METRICS, Metric, l2, metric_of, usable
+from kinfold.operators.nearest import Nearest, matrix, search_tiles
 from kinfold.plans.pairs import BROADCAST_QUERIES, against_all
+from kinfold.plans.staging import stage
 
 #: Most numbers in the vectors that go to every task (32 MiB), and most pairs that a task keeps.
 BROADCAST_NUMBERS = 4 << 20
-#: Queries that meet a batch of rows at once.
-TOGETHER = 256
+#: Rows whose distances bound the tiles' searches from the start.
+SEEDS = 4096
 
 
 def top_k(distances: DataFrame, k: int, exact: bool = True) -> DataFrame:
@@ -44,53 +45,9 @@ def distances(data: DataFrame, queries: DataFrame, metric: str | Metric = "l2",
     pairs = against_all(data.select("id", "obj"), queries.select("qid", "qobj"))
     if exclude_self:
         pairs = pairs.where(F.col("id") != F.col("qid"))
-    return pairs.select("qid", "id", metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist")).where("dist IS NOT NULL")
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """The vectors of a list column as rows in double precision; other lengths than ``width`` raise."""
-    if pc.any(pc.not_equal(pc.list_value_length(column), width)).as_py():
-        raise ValueError("vectors of unequal length")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
-def chosen(x: np.ndarray, q: np.ndarray, take: int | None, limit: np.ndarray, out: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, distance) of the pairs that can be among the ``take`` nearest of a row of q.
-
-    Matrix products only choose, with room for their rounding; distances are summed
-    in the order of the components, as l2() does.  ``limit`` (squared) bounds each
-    row's distance, the pairs ``out`` don't count.  Vectors whose squares aren't
-    finite go through no product.
-    """
-    with np.errstate(over="ignore", invalid="ignore"):
-        nx, nq = (x * x).sum(1), (q * q).sum(1)
-        plain = np.isfinite(nx)[None, :] & np.isfinite(nq)[:, None]
-        d = nx[None, :] - 2 * (q @ x.T) + nq[:, None]
-        slack = 1e-9 * (nx[None, :] + nq[:, None])
-        least = np.where(plain, d - slack, -np.inf)
-        most = np.where(plain, d + slack, np.inf)
-    bound = np.nextafter(limit, np.inf)
-    if out is not None:
-        least[out], most[out] = np.inf, np.inf
-    if take is not None and take < x.shape[0]:
-        bound = np.minimum(bound, np.partition(most, take - 1, 1)[:, take - 1])
-    use = least <= bound[:, None]
-    if out is not None:
-        use[out] = False
-    row, col = np.nonzero(use)
-    total = np.zeros(len(row))
-    with np.errstate(over="ignore", invalid="ignore"):
-        for j in range(x.shape[1]):
-            total += (x[col, j] - q[row, j]) ** 2
-    return row, col, np.sqrt(total)
-
-
-def _ranked(table: pa.Table, k: int) -> pa.Table:
-    """The first k rows per query in order of (dist, id); NaN is the largest distance."""
-    table = table.sort_by([("q", "ascending"), ("dist", "ascending"), ("id", "ascending")])
-    q = table.column("q").to_numpy()
-    first = np.searchsorted(q, q)
-    return table.filter(pa.array(np.arange(len(q)) - first < k))
+    found = pairs.select("qid", "id", metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist"))
+    # of these metrics none is null; a filter would make Spark compute each distance twice
+    return found if metric in METRICS or metric in METRICS.values() else found.where("dist IS NOT NULL")
 
 
 def l2_in_blocks(
@@ -98,10 +55,10 @@ def l2_in_blocks(
 ) -> DataFrame | None:
     """(qid, id, dist): each query's k nearest rows of every task, or all rows within ``radius``, by matrix products.
 
-    None if the queries are too many or too long to send to every task.
+    None if the queries are too many or too long to send to every task; l2_in_tiles() takes those.
     """
     asked = usable(queries, "qid", "qobj").select("qid", "qobj")
-    size = asked.agg(F.count("*"), F.sum(F.size("qobj")), F.max(F.size("qobj"))).first()
+    size = asked.agg(F.count("*"), F.sum(F.size("qobj").cast("long")), F.max(F.size("qobj"))).first()
     if not size[0] or size[0] > BROADCAST_QUERIES or size[1] > BROADCAST_NUMBERS or not size[2]:
         return None
     if k is not None and k * size[0] > BROADCAST_NUMBERS:
@@ -113,69 +70,75 @@ def l2_in_blocks(
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, every = shared.value
-        names = pc.unique(qids)
-        code = pc.index_in(qids, names).to_numpy(zero_copy_only=False)
-        limit = np.full(len(every), radius * radius)
-        held, kept = [], 0
-
-        def result(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            cols = [qids.take(t.column("q").combine_chunks()), *[t.column(c).combine_chunks() for c in ("id", "dist")]]
-            return pa.RecordBatch.from_arrays(cols, names=["qid", "id", "dist"])
-
-        def best() -> pa.Table:
-            t = _ranked(pa.concat_tables(held), k)
-            q, dist = t.column("q").to_numpy(), t.column("dist").to_numpy()
-            last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.zeros(0, int)
-            full = last - np.searchsorted(q, q[last]) == k - 1
-            worst = dist[last[full]] ** 2
-            limit[q[last[full]]] = np.where(np.isnan(worst), np.inf, worst * (1 + 1e-12))
-            return t
-
+        search = Nearest(qids, every, np.full(len(every), float(radius)), k, exclude_self)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = matrix(batch.column("obj"), width), batch.column("id")
-            own = pc.index_in(ids.cast(names.type), names).fill_null(-1).to_numpy(zero_copy_only=False) if exclude_self else None
-            for lo in range(0, len(every), TOGETHER):
-                part = slice(lo, lo + TOGETHER)
-                out = None
-                if own is not None and (hit := np.flatnonzero(own >= 0)).size:
-                    row, at = np.nonzero(code[part][:, None] == own[hit][None, :])
-                    out = (row, hit[at])
-                row, col, dist = chosen(x, every[part], k, limit[part], out)
-                if k is None:
-                    row, col, dist = (v[dist <= radius] for v in (row, col, dist))
-                if len(row):
-                    held.append(pa.table({"q": row + lo, "id": ids.take(pa.array(col)), "dist": dist}))
-                    kept += len(row)
-                if k is None:
-                    for t in held:
-                        yield result(t)
-                    held.clear()
-            if k is not None and kept > 2 * k * len(every) + 4096:
-                held[:] = [best()]
-                kept = held[0].num_rows
-        if held:
-            yield result(best())
+            if batch.num_rows:
+                search.add(matrix(batch.column("obj"), width), batch.column("id"))
+            if k is None:
+                yield from search.results()
+        yield from search.results()
 
     kinds = [f.dataType.simpleString() for f in (asked.schema["qid"], data.schema["id"])]
     return usable(data, "id", "obj").select("id", "obj").mapInArrow(near, f"qid {kinds[0]}, id {kinds[1]}, dist double")
 
 
+def l2_in_tiles(
+    data: DataFrame, queries: DataFrame, k: int | None = None, radius: float = np.inf, exclude_self: bool = False
+) -> DataFrame | None:
+    """The same pairs for any number of queries, by tiles: blocks of queries by lanes of rows.
+
+    A block is what a task can hold of the queries; all its lanes together see every
+    row once.  Before that each block meets a bounded, hashed sample of the rows, whose
+    k-th distance bounds every lane from its first row on.  Rows are shuffled once a
+    block and queries once a lane, with as many tiles as there are shuffle partitions
+    at least.  None without queries or with queries of no numbers.
+    """
+    asked = usable(queries, "qid", "qobj").select("qid", "qobj")
+    rows = usable(data, "id", "obj").select("id", "obj")
+    count, width = asked.agg(F.count("*"), F.max(F.size("qobj"))).first()
+    if not count or not width:
+        return None
+    held = max(1, min(BROADCAST_QUERIES, BROADCAST_NUMBERS // max(width, k or 1)))
+    blocks = -(-count // held)
+    lanes = max(1, -(-int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("long")
+    limits = asked.select(block.alias("block"), "qid", "qobj", F.lit(float(radius)).alias("radius"))
+    if k is not None:
+        few = rows.orderBy(F.xxhash64("id"), "id").limit(max(SEEDS, 4 * k))
+        seen = search_tiles(few.select(each(blocks).alias("tile"), "id", "obj"), limits.withColumnRenamed("block", "tile"), k, exclude_self)
+        kth = top_k(seen, k).where((F.col("rank") == k) & ~F.isnan("dist")).select("qid", F.col("dist").alias("near")).distinct()
+        limits = limits.join(stage(kth, "bounds"), "qid", "left").select(
+            "block", "qid", "qobj", F.least("radius", F.coalesce(F.col("near") * (1 + 1e-9), F.lit(np.inf))).alias("radius")
+        )
+    tile = lambda b, lane: (b * lanes + lane).cast("long").alias("tile")
+    asked = limits.withColumn("lane", each(lanes)).select(tile(F.col("block"), F.col("lane")), "qid", "qobj", "radius")
+    dealt = rows.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes))).withColumn("block", each(blocks))
+    return search_tiles(dealt.select(tile(F.col("block"), F.col("lane")), "id", "obj"), asked, k, exclude_self)
+
+
+def _l2(data: DataFrame, queries: DataFrame, metric: str | Metric, k: int | None, radius: float, exclude_self: bool) -> DataFrame | None:
+    """(qid, id, dist) by matrix products; None for other metrics, or where there is nothing to ask."""
+    if metric not in ("l2", l2):
+        return None
+    found = l2_in_blocks(data, queries, k, radius, exclude_self)
+    return l2_in_tiles(data, queries, k, radius, exclude_self) if found is None else found
+
+
 def knn_exact(data: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """Brute-force top-k.  Queries need not come from the data; k beyond the data gives all rows.
 
-    Euclidean distance to queries that fit into every task goes by matrix products
-    over batches of rows; any other metric, or more queries, by pairs of rows.
+    Euclidean distance goes by matrix products over batches of rows, with queries sent
+    to every task or, beyond what a task holds, dealt in tiles; any other metric by
+    pairs of rows.
     """
-    blocks = l2_in_blocks(data, queries, k, exclude_self=exclude_self) if metric in ("l2", l2) else None
+    blocks = _l2(data, queries, metric, k, np.inf, exclude_self)
     return top_k(distances(data, queries, metric, exclude_self) if blocks is None else blocks, k)
 
 
 def range_search(data: DataFrame, queries: DataFrame, radius: float, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """(qid, id, dist) within ``radius``, its border included."""
-    blocks = l2_in_blocks(data, queries, None, radius, exclude_self) if metric in ("l2", l2) else None
+    blocks = _l2(data, queries, metric, None, radius, exclude_self)
     found = distances(data, queries, metric, exclude_self) if blocks is None else blocks
     return found.where((F.col("dist") <= radius) & ~F.isnan("dist"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import Metric, l2, metric_of, usable
-from kinfold.operators.knn import chosen, matrix
+from kinfold.operators.nearest import chosen, matrix
 from kinfold.plans.staging import stage, unstage
 
 #: Pivots are held by the driver and by expressions; no more than this (2^10).
@@ -213,9 +213,10 @@ def root_cell(cell: Column, depth: int = 6) -> Column:
 
 
 def split_cells(
-    assigned: DataFrame, cells: DataFrame, target_rows: int, metric: str | Metric = "l2", most: int = MOST_PARTS, sample: int = 2048
-) -> tuple[DataFrame, DataFrame]:
-    """(assigned, cells) with cells over ``target_rows`` split into up to ``most`` parts, all in one pass.
+    assigned: DataFrame, cells: DataFrame, target_rows: int, metric: str | Metric = "l2", most: int = MOST_PARTS, sample: int = 2048,
+    over: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(assigned, cells) with cells over ``target_rows`` split into up to ``most`` parts, all in one pass; with ``over`` only those over that many.
 
     A large cell's parts have pivots of their own: the cell's, and others by
     farthest-first traversal of the ``sample`` of its objects with the smallest id
@@ -225,7 +226,8 @@ def split_cells(
     """
     dist = metric_of(metric)
     parts = F.least(F.ceil(F.col("cnt") / target_rows), F.lit(min(most, MOST_PIVOTS))).cast("int")
-    large = cells.where(F.col("cnt") > target_rows).select("cell", "pobj", parts.alias("parts"))
+    # objects all at distance 0 are equal to the pivot and can't be parted
+    large = cells.where((F.col("cnt") > (target_rows if over is None else over)) & (F.col("hi") > 0)).select("cell", "pobj", parts.alias("parts"))
     order = W.partitionBy("cell").orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
     few = (
         assigned.join(large.select("cell"), "cell", "left_semi").withColumn("__n", F.row_number().over(order))
@@ -267,10 +269,10 @@ def build_index(
     assigned = stage(assign_cells(df, pivots, metric), "assigned")
     cells = stage(rings(assigned, pivots), "cells")
     while True:
-        n, most = cells.agg(F.count("*"), F.max("cnt")).first()
+        n, most = cells.agg(F.count("*"), F.max(F.when(F.col("hi") > 0, F.col("cnt")))).first()
         if (most or 0) <= 4 * target_rows:
             return pivots, assigned, cells
-        finer, new = split_cells(assigned, cells, target_rows, metric, sample=sample)
+        finer, new = split_cells(assigned, cells, target_rows, metric, sample=sample, over=4 * target_rows)
         new = stage(new, "cells")
         if new.count() == n:
             return pivots, assigned, cells

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import Metric, metric_of
-from kinfold.operators.knn import distances, knn_exact, top_k
+from kinfold.operators.knn import knn_exact, top_k
 from kinfold.operators.pivots import MOST_PIVOTS, assign_cells, build_index, root_cell
 from kinfold.plans.pruned import knn_pruned
 from kinfold.plans.staging import exists
@@ -82,7 +82,8 @@ def recount(assigned: DataFrame, cells: DataFrame) -> DataFrame:
 def knn_buffered(assigned: DataFrame, cells: DataFrame, buffer: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """Top-k over the index, pruned, and the buffer of pending arrivals, scanned whole."""
     indexed = knn_pruned(assigned, cells, queries, k, metric, exclude_self).select("qid", "id", "dist")
-    return top_k(indexed.unionByName(distances(buffer, queries, metric, exclude_self)), k)
+    waiting = knn_exact(buffer, queries, k, metric, exclude_self).select("qid", "id", "dist")
+    return top_k(indexed.unionByName(waiting), k)
 
 
 def rebuilt(assigned: DataFrame, buffer: DataFrame, target_rows: int, metric: str | Metric = "l2") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,24 +3,38 @@
 For a metric, an object x in a cell with pivot p and ring [lo, hi] is within r of
 q only if d(q, p) - r <= hi and d(q, p) + r >= lo, and only if d(q, p) and the
 stored d(x, p) differ by r at most.  The first test leaves out cells, the second
-rows before any distance is computed.  The cells nearest to a query that hold k
-objects between them give a radius that the k-th neighbour can't exceed.
+rows before any distance is computed.  The cells that end nearest to a query and hold
+k objects between them give a radius that the k-th neighbour can't exceed.  Many cells
+are grouped into a tree of nodes with rings of their own, down which queries go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import Metric, l2, l2_of, metric_of, usable
 from kinfold.operators.knn import top_k
+from kinfold.operators.nearest import TOGETHER, matrix, search_tiles
+from kinfold.operators.pivots import build_index
 from kinfold.plans.pairs import against_all
+from kinfold.plans.staging import stage
 
 #: Guards comparisons of bounds against rounding, relative to the numbers compared.
 EPS = 1e-9
 
 
+#: Nodes at the top of a tree of cells, which every query meets, and children of a node.
+TOP, FAN = 256, 32
+#: Most numbers in the pivots of the cells that go to every task at once (8 MiB).
+SURVEY = 1 << 20
+#: Objects and queries of a cell that one tile takes.
+LANE_ROWS, BLOCK_QUERIES = 1 << 16, 1 << 13
 #: Euclidean distances of vectors up to this width are written out, number by number.
 NARROW = 16
 
@@ -74,14 +88,167 @@ def _in_cells(
     return found.select(*kept, metric_of(metric)(F.col("obj"), F.col("qobj")).alias("dist")).where("dist IS NOT NULL")
 
 
-def radius_bounds(assigned: DataFrame, by_cell: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """(qid, radius): the k-th distance among the nearest cells that hold k objects; no row if there are fewer."""
-    need = k + int(exclude_self)
-    order = W.partitionBy("qid").orderBy("dq", "cell")
-    before = F.sum("cnt").over(order.rowsBetween(W.unboundedPreceding, -1))
-    seeds = by_cell.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < need)
-    seen = _in_cells(assigned, seeds.select("qid", "qobj", "cell"), metric, exclude_self)
-    return top_k(seen, k).where(F.col("rank") == k).select("qid", F.col("dist").alias("radius"))
+def cell_tree(cells: DataFrame, metric: str | Metric = "l2", top: int = TOP, fan: int = FAN) -> list[DataFrame]:
+    """Levels of nodes (cell, pobj, lo, hi, cnt, up) from the cells to at most about ``top`` nodes.
+
+    The cells of a level are objects themselves: an index of their pivots groups about
+    ``fan`` of them under a node, ``up``.  By the triangle inequality all that lies in
+    ring [lo, hi] of a cell whose pivot is d from the node's lies within d - hi and
+    d + hi of that, so no object is read.
+    """
+    levels, now = [], cells.select("cell", "pobj", "lo", "hi", "cnt")
+    while (n := now.count()) > top:
+        _, placed, nodes = build_index(now.select(F.col("cell").alias("id"), F.col("pobj").alias("obj")), fan, metric)
+        under = stage(now.join(placed.select(F.col("id").alias("cell"), F.col("cell").alias("up"), F.col("pdist").alias("d")), "cell"), "level")
+        least = F.when(F.isnan(F.col("d") - F.col("hi")), F.lit(0.0)).otherwise(F.greatest(F.col("d") - F.col("hi"), F.lit(0.0)))
+        ring = under.groupBy("up").agg(F.min(least).alias("lo"), F.max(F.col("d") + F.col("hi")).alias("hi"), F.sum("cnt").alias("cnt"))
+        above = stage(
+            ring.join(nodes.select(F.col("cell").alias("up"), "pobj"), "up").select(F.col("up").alias("cell"), "pobj", "lo", "hi", "cnt"), "nodes"
+        )
+        levels.append(under.drop("d"))
+        if above.count() >= n:
+            break
+        now = above
+    return [*levels, now.withColumn("up", F.lit(None).cast("long"))]
+
+
+def _shrunk(front: DataFrame, need: int) -> DataFrame:
+    """The frontier (qid, .., dq, hi, cnt, radius) with a radius that the ``need``-th neighbour can't exceed.
+
+    All objects of a node lie within dq + hi of the query, so where those nodes that
+    end first hold ``need`` objects between them, the search ends, too.
+    """
+    far = F.when(_boundless(F.col("dq") + F.col("hi")), F.lit(float("inf"))).otherwise((F.col("dq") + F.col("hi")) * (1 + EPS) + EPS)
+    met = front.withColumn("far", far)
+    order = W.partitionBy("qid").orderBy("far", "cell")
+    seen = F.sum("cnt").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    met = met.withColumn("seen", seen).withColumn("end", F.min(F.when(F.col("seen") >= need, F.col("far"))).over(W.partitionBy("qid")))
+    return met.withColumn("radius", F.least("radius", "end")).drop("far", "seen", "end")
+
+
+def descend(
+    cells: DataFrame, queries: DataFrame, metric: str | Metric = "l2", need: int | None = None, top: int = TOP, fan: int = FAN
+) -> DataFrame:
+    """(qid, qobj, cell, dq, radius): the cells that a query's radius may reach, level by level from the tree's top.
+
+    ``queries`` are usable and may bring a ``radius`` each; with ``need`` it shrinks to
+    what the need-th neighbour can't exceed.  A query meets the top nodes and from then
+    on only children of nodes that its radius touches.  Query ids have to be unique
+    where ``need`` is given.
+    """
+    metric = _compiled(cells, metric)
+    dist = metric_of(metric)(F.col("pobj"), F.col("qobj")).alias("dq")
+    asked = queries if "radius" in queries.columns else queries.withColumn("radius", F.lit(float("inf")))
+    levels = cell_tree(cells, metric, top, fan)
+    met = against_all(levels[-1].withColumnRenamed("cell", "id"), asked.select("qid", "qobj", "radius")).withColumnRenamed("id", "cell")
+    for k in range(len(levels) - 1, -1, -1):
+        front = met.select("qid", "qobj", "cell", dist, "lo", "hi", "cnt", "radius")
+        if need is not None:
+            front = _shrunk(front, need)
+        front = front.where(ring_holds(F.col("radius")))
+        if k:
+            met = front.select("qid", "qobj", F.col("cell").alias("up"), "radius").join(levels[k - 1], "up")
+    return front.select("qid", "qobj", "cell", "dq", "radius")
+
+
+def _survey(cells: DataFrame, queries: DataFrame, need: int | None, most: int = SURVEY) -> DataFrame | None:
+    """The rows of descend() without dq, by matrix products with all cells; None if their pivots are more than ``most`` numbers.
+
+    Products give a lower and an upper bound of each distance, and the tests take the
+    one that keeps more.
+    """
+    n, width = cells.agg(F.count("*"), F.max(F.size("pobj"))).first()
+    if not n or n * width > most:
+        return None
+    held = cells.select("cell", "pobj", "lo", "hi", "cnt").toArrow()
+    table = matrix(held.column("pobj").combine_chunks(), width)
+    numbers, lo, hi, cnt = (held.column(c).to_numpy() for c in ("cell", "lo", "hi", "cnt"))
+    shared = cells.sparkSession.sparkContext.broadcast((table, numbers, lo, hi, cnt))
+    asked = queries if "radius" in queries.columns else queries.withColumn("radius", F.lit(float("inf")))
+
+    def touched(q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, row of the table, radius) of the cells that each row's radius touches."""
+        table, _, lo, hi, cnt = shared.value
+        with np.errstate(over="ignore", invalid="ignore"):
+            nx, nq = (table * table).sum(1), (q * q).sum(1)
+            plain = np.isfinite(nx)[None, :] & np.isfinite(nq)[:, None]
+            d = nx[None, :] - 2 * (q @ table.T) + nq[:, None]
+            slack = 1e-9 * (nx[None, :] + nq[:, None])
+            near, far = np.sqrt(np.maximum(d - slack, 0)), np.sqrt(np.maximum(d + slack, 0))
+            if need is not None:
+                end = np.where(plain, far + hi, np.inf)
+                end[np.isnan(end)] = np.inf
+                first = min(need, end.shape[1])  # every cell holds an object at least
+                at = np.argpartition(end, first - 1, 1)[:, :first]
+                ends, counts = np.take_along_axis(end, at, 1), cnt[at]
+                order = np.argsort(ends, 1)
+                ends, counts = np.take_along_axis(ends, order, 1), np.take_along_axis(counts, order, 1).cumsum(1)
+                enough = counts >= need
+                which = enough.argmax(1)
+                bound = np.where(enough.any(1), ends[np.arange(len(q)), which], np.inf)
+                radius = np.fmin(radius, bound * (1 + EPS) + EPS)
+            r = radius[:, None]
+            room = EPS * (1 + far)
+            use = ~plain | ~np.isfinite(r) | ((near - r <= hi + room) & (far + r >= lo - room)) | np.isnan(hi) | np.isnan(lo)
+        row, col = np.nonzero(use)
+        return row, col, radius[row]
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                row, col, radius = touched(matrix(part.column("qobj"), width), part.column("radius").to_numpy())
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("qid").take(rows), part.column("qobj").take(rows), pa.array(numbers[col]), pa.array(radius)],
+                    names=["qid", "qobj", "cell", "radius"],
+                )
+
+    kinds = [asked.schema[c].dataType.simpleString() for c in ("qid", "qobj")]
+    return asked.select("qid", "qobj", "radius").mapInArrow(survey, f"qid {kinds[0]}, qobj {kinds[1]}, cell long, radius double")
+
+
+def wanted_cells(cells: DataFrame, queries: DataFrame, metric: str | Metric, need: int | None = None) -> DataFrame:
+    """The cells that each query has to read: by products where all pivots fit into a task, else down the tree of cells."""
+    found = _survey(cells, queries, need) if metric in ("l2", l2) else None
+    return descend(cells, queries, metric, need) if found is None else found
+
+
+def _tiled(assigned: DataFrame, cells: DataFrame, wanted: DataFrame, k: int | None, exclude_self: bool) -> DataFrame:
+    """(qid, id, dist) of the objects of the wanted cells, each cell a tile of matrix products.
+
+    A cell with more objects than a lane or more queries than a block is dealt in
+    several tiles; cells that nobody wants aren't shuffled.
+    """
+    wanted = stage(wanted, "wanted")
+    uses = wanted.groupBy("cell").agg(F.count("*").alias("uses"))
+    rows = assigned.select("cell", "id", "obj").join(uses.select("cell"), "cell", "left_semi")
+    sized = cells.select("cell", "cnt").join(uses, "cell").select(
+        "cell", F.ceil(F.col("cnt") / LANE_ROWS).cast("int").alias("lanes"), F.ceil(F.col("uses") / BLOCK_QUERIES).cast("int").alias("blocks")
+    )
+    hot = stage(sized.where("lanes > 1 OR blocks > 1"), "hot")
+    if hot.isEmpty():
+        return search_tiles(rows.withColumnRenamed("cell", "tile"), wanted.withColumnRenamed("cell", "tile"), k, exclude_self)
+    # tiles of hot cells have numbers below 0, no cell's
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    tiles = hot.withColumn("lane", each("lanes")).withColumn("block", each("blocks"))
+    tiles = stage(tiles.select("cell", "lanes", "blocks", "lane", "block", (-1 - F.monotonically_increasing_id()).alias("number")), "tiles")
+    lane, block = F.pmod(F.xxhash64("id"), F.col("lanes")), F.pmod(F.xxhash64("qid"), F.col("blocks"))
+    whole = lambda t: t.join(hot.select("cell"), "cell", "left_anti").withColumnRenamed("cell", "tile")
+    parted = lambda t, own: t.join(tiles, "cell").where(own).drop("cell").withColumnRenamed("number", "tile")
+    return search_tiles(
+        whole(rows).select("tile", "id", "obj").unionByName(parted(rows, lane == F.col("lane")).select("tile", "id", "obj")),
+        whole(wanted).select("tile", "qid", "qobj", "radius").unionByName(parted(wanted, block == F.col("block")).select("tile", "qid", "qobj", "radius")),
+        k, exclude_self,
+    )
+
+
+def _found(assigned: DataFrame, cells: DataFrame, wanted: DataFrame, k: int | None, metric: str | Metric, exclude_self: bool) -> DataFrame:
+    """(qid, id, dist) of what is within the radius in the wanted cells; with ``k`` only what can be among the k nearest."""
+    if metric in ("l2", l2):
+        return _tiled(assigned, cells, wanted, k, exclude_self)
+    return _within(_in_cells(assigned, wanted, metric, exclude_self, "radius"))
 
 
 def _within(found: DataFrame) -> DataFrame:
@@ -89,32 +256,28 @@ def _within(found: DataFrame) -> DataFrame:
     return found.where(_boundless(F.col("radius")) | (F.col("dist") <= F.col("radius")))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return usable(queries, "qid", "qobj").select("qid", "qobj")
+
+
 def knn_pruned(assigned: DataFrame, cells: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """The same result as knn_exact() for a metric, from the cells and rows that can hold neighbours.
+    """The same result as knn_exact() for a metric, from the cells that can hold neighbours.
 
-    Works with split cells, as it uses rings alone.  Joins on cell are equi-joins
-    that Spark may broadcast or split by size.
+    Works with split cells, as it uses rings alone; the cells' counts have to be right
+    or too low (recount()).  Rings only ever too wide do no harm.
     """
-    metric = _compiled(cells, metric)
-    by_cell = query_cells(cells, queries, metric)
-    bounds = radius_bounds(assigned, by_cell, k, metric, exclude_self)
-    near = by_cell.join(bounds, "qid", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    wanted = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "dq", "radius")
-    return top_k(_within(_in_cells(assigned, wanted, metric, exclude_self, "radius")), k)
+    wanted = wanted_cells(cells, _asked(queries).select("qid", "qobj"), metric, k + int(exclude_self))
+    return top_k(_found(assigned, cells, wanted, k, metric, exclude_self), k)
 
 
 def range_pruned(assigned: DataFrame, cells: DataFrame, queries: DataFrame, radius: float, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """The same result as range_search() for a metric, from the cells and rows that can hold it."""
-    metric = _compiled(cells, metric)
-    near = query_cells(cells, queries, metric).withColumn("radius", F.lit(float(radius)))
-    wanted = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "dq", "radius")
-    found = _in_cells(assigned, wanted, metric, exclude_self, "radius")
+    """The same result as range_search() for a metric, from the cells that can hold it."""
+    wanted = wanted_cells(cells, _asked(queries).withColumn("radius", F.lit(float(radius))), metric)
+    found = _found(assigned, cells, wanted, None, metric, exclude_self)
     return found.where((F.col("dist") <= radius) & ~F.isnan("dist")).select("qid", "id", "dist")
 
 
 def knn_approx(assigned: DataFrame, cells: DataFrame, queries: DataFrame, radii: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """Top-k within a predicted radius (qid, radius), with ``exact`` false: neighbours beyond it are missed."""
-    metric = _compiled(cells, metric)
-    near = query_cells(cells, queries, metric).join(radii, "qid")
-    wanted = near.where(ring_holds(F.col("radius"))).select("qid", "qobj", "cell", "dq", "radius")
-    return top_k(_within(_in_cells(assigned, wanted, metric, exclude_self, "radius")), k, exact=False)
+    wanted = wanted_cells(cells, _asked(queries).join(radii.select("qid", "radius"), "qid"), metric)
+    return top_k(_found(assigned, cells, wanted, k, metric, exclude_self), k, exact=False)
