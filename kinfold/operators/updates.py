@@ -5,15 +5,14 @@ An index is (assigned, cells) as in kinfold.operators.pivots; arrivals are (id,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import Metric, metric_of
 from kinfold.operators.knn import knn_exact, top_k
 from kinfold.operators.pivots import MOST_PIVOTS, assign_cells, build_index, root_cell
 from kinfold.plans.pruned import knn_pruned
-from kinfold.plans.staging import exists
+from kinfold.plans.staging import exists, stage
 from kinfold.sources.objects import write_cells
 
 POINTER = "_current"
@@ -24,7 +23,7 @@ def place(arrivals: DataFrame, cells: DataFrame, pivots: DataFrame, metric: str
 
     An arrival goes to its nearest pivot and, if that pivot's cell was split, to the
     nearest of the parts that descend from it, measured from the part's own pivot.
-    ``pobj`` is the cell's pivot.  Rows that repeat an id and an object are one.
+    ``pobj`` is the cell's pivot.  Rows that repeat are placed each, as a search of all rows counts each.
     """
     kind = pivots.schema["obj"].dataType
     placed = assign_cells(arrivals, pivots, metric)
@@ -37,12 +36,11 @@ def place(arrivals: DataFrame, cells: DataFrame, pivots: DataFrame, metric: str
         top.join(parts.select(F.col("root").alias("cell")).distinct(), "cell", "left_anti")
         .select(F.col("cell").alias("root"), F.col("cell").alias("part"), "pobj")
     )
-    met = placed.select("id", "obj", F.col("cell").alias("root")).join(parts, "root")
-    dist = metric_of(metric)(F.col("obj"), F.col("pobj"))
-    best = met.groupBy("id", "obj").agg(
-        F.min_by(F.struct("part", "pobj", dist.alias("d")), F.struct(dist.alias("d"), "part")).alias("at")
-    )
-    return best.select("id", "obj", F.col("at.part").alias("cell"), F.col("at.d").alias("pdist"), F.col("at.pobj").alias("pobj"))
+    every = parts.groupBy("root").agg(F.collect_list(F.struct("part", "pobj")).alias("parts"))
+    dist = lambda p: metric_of(metric)(F.col("obj"), p["pobj"])
+    best = F.array_min(F.transform("parts", lambda p: F.struct(dist(p).alias("d"), p["part"].alias("part"), p["pobj"].alias("pobj"))))
+    met = placed.select("id", "obj", F.col("cell").alias("root")).join(every, "root").select("id", "obj", best.alias("at"))
+    return met.select("id", "obj", F.col("at.part").alias("cell"), F.col("at.d").alias("pdist"), F.col("at.pobj").alias("pobj"))
 
 
 def widened(cells: DataFrame, placed: DataFrame) -> DataFrame:
@@ -91,7 +89,41 @@ def rebuilt(assigned: DataFrame, buffer: DataFrame, target_rows: int, metric: st
     return build_index(assigned.select("id", "obj").unionByName(buffer.select("id", "obj")), target_rows, metric)
 
 
-def compact(assigned: DataFrame, buffer: DataFrame, threshold: int, target_rows: int, path: str, version: int, metric: str | Metric = "l2") -> bool:
+def write_version(pivots: DataFrame, placed: DataFrame, cells: DataFrame, path: str, version: int) -> None:
+    """The tables of a version, which nobody reads before publish(); a run that starts again overwrites them."""
+    write_cells(placed, f"{path}/v{version}/objects", mode="overwrite")
+    cells.write.mode("overwrite").parquet(f"{path}/v{version}/cells")
+    pivots.write.mode("overwrite").parquet(f"{path}/v{version}/pivots")
+
+
+def publish(spark: SparkSession, path: str, version: int, taken: int = -1) -> None:
+    """Makes a version the current one, with the last batch of arrivals that it has taken in: one row in one file."""
+    row = F.lit(version).alias("version"), F.lit(taken).cast("long").alias("taken"), F.current_timestamp().alias("since")
+    spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(f"{path}/{POINTER}")
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """(newest published version, the last batch in it, -1 if none); None before the first."""
+    published = f"{path}/{POINTER}"
+    if not exists(spark, published):
+        return None
+    row = spark.read.schema("version int, taken long").parquet(published).agg(F.max(F.struct("version", "taken")).alias("last")).first()
+    return (row["last"]["version"], -1 if row["last"]["taken"] is None else row["last"]["taken"]) if row["last"] else None
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version whose write ended; None before the first."""
+    found = current(spark, path)
+    return found and found[0]
+
+
+def read_version(spark: SparkSession, path: str, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pivots, assigned, cells) of a version."""
+    pivots, placed, cells = (spark.read.parquet(f"{path}/v{version}/{name}") for name in ("pivots", "objects", "cells"))
+    return pivots, placed.select("id", "obj", F.col("cell").cast("long").alias("cell"), "pdist"), cells
+
+
+def compact(assigned: DataFrame, buffer: DataFrame, threshold: int, target_rows: int, path: str, version: int, metric: str | Metric = "l2", taken: int = -1) -> bool:
     """Rebuilds into a new version folder once the buffer has more than ``threshold`` rows.
 
     The new version is written whole; the pointer to it is written last, so readers
@@ -104,22 +136,18 @@ def compact(assigned: DataFrame, buffer: DataFrame, threshold: int, target_rows:
         return False
     if (current_version(spark, path) or 0) >= version:
         raise ValueError(f"version {version} is published already")
-    pivots, placed, cells = rebuilt(assigned, buffer, target_rows, metric)
-    write_cells(placed, f"{path}/v{version}/objects", mode="overwrite")
-    cells.write.mode("overwrite").parquet(f"{path}/v{version}/cells")
-    pivots.write.mode("overwrite").parquet(f"{path}/v{version}/pivots")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("since")).coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{path}/{POINTER}")
+    write_version(*rebuilt(assigned, buffer, target_rows, metric), path, version)
+    publish(spark, path, version, taken)
     return True
 
 
-def current_version(spark, path: str) -> int | None:
-    """The newest version whose write ended; None before the first."""
-    published = f"{path}/{POINTER}"
-    if not exists(spark, published):
-        return None
-    return spark.read.parquet(published).agg(F.max("version")).first()[0]
+def _last_changes(changes: DataFrame, as_of) -> DataFrame:
+    """(id, op, obj): each id's last change up to a time, by (ts, seq).  Combined in the tasks, so a hot id is not gathered."""
+    order = F.struct("ts", "seq")
+    return (
+        changes.where(F.col("ts") <= F.lit(as_of)).groupBy("id").agg(F.max_by(F.struct("op", "obj"), order).alias("last"))
+        .select("id", "last.op", "last.obj")
+    )
 
 
 def latest(base: DataFrame, changes: DataFrame, as_of) -> DataFrame:
@@ -127,17 +155,38 @@ def latest(base: DataFrame, changes: DataFrame, as_of) -> DataFrame:
 
     Changes are (seq, ts, op, id, obj) with op insert or delete; ``as_of`` is included.
     """
-    first = base.select(
-        F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit("insert").alias("op"), "id", "obj"
-    )
-    seen = first.unionByName(changes.where(F.col("ts") <= F.lit(as_of)).select("seq", "ts", "op", "id", "obj"))
-    order = W.partitionBy("id").orderBy(F.col("ts").desc_nulls_last(), F.col("seq").desc())
-    return seen.withColumn("__n", F.row_number().over(order)).where((F.col("__n") == 1) & (F.col("op") == "insert")).select("id", "obj")
+    last = _last_changes(changes, as_of)
+    untouched = base.join(last.select("id"), "id", "left_anti").select("id", "obj")
+    return untouched.unionByName(last.where("op = 'insert'").select("id", "obj"))
+
 
+def merged(
+    assigned: DataFrame, cells: DataFrame, pivots: DataFrame, changes: DataFrame, as_of, metric: str | Metric = "l2"
+) -> tuple[DataFrame, DataFrame]:
+    """(assigned, cells) of an index with its change table merged in as of a time; the index's files stay as they are.
 
-def knn_dynamic(base: DataFrame, changes: DataFrame, as_of, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """Exact top-k over the objects as of a time."""
-    return knn_exact(latest(base, changes, as_of), queries, k, metric, exclude_self)
+    Ids with a change up to then are tombstones for the index.  Counts are lowered by
+    what they hide, so the radius bound of a search stays sound, and the rings keep
+    their width.  The last inserted objects are placed in the cells as they are and
+    widen the rings.
+    """
+    last = stage(_last_changes(changes, as_of), "last")
+    dead = assigned.join(last.select("id"), "id", "left_semi").groupBy("cell").agg(F.count("*").alias("dead"))
+    kept = cells.join(dead, "cell", "left").withColumn("cnt", F.col("cnt") - F.coalesce("dead", F.lit(0))).where("cnt > 0").select(*cells.columns)
+    placed = stage(place(last.where("op = 'insert'").select("id", "obj"), cells, pivots, metric), "placed")
+    alive = assigned.join(last.select("id"), "id", "left_anti").select("id", "obj", "cell", "pdist")
+    return alive.unionByName(placed.drop("pobj")), stage(widened(kept, placed), "cells")
+
+
+def knn_dynamic(
+    base: DataFrame, changes: DataFrame, as_of, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False,
+    index: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Exact top-k over the objects as of a time: over (pivots, assigned, cells) of the base where there are, else by brute force."""
+    if index is None:
+        return knn_exact(latest(base, changes, as_of), queries, k, metric, exclude_self)
+    pivots, assigned, cells = index
+    return knn_pruned(*merged(assigned, cells, pivots, changes, as_of, metric), queries, k, metric, exclude_self)
 
 
 def admit_safe(arrivals: DataFrame, cells: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:

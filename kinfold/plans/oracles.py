@@ -94,6 +94,12 @@ _ALIVE = f""", alive AS (
   WHERE (v.id % 10 >= 8 AND epoch_us(e.ts) <= {_AS_OF})
      OR (v.id % 10 < 8 AND NOT (v.id % 10 = 3 AND coalesce(epoch_us(e.ts) <= {_AS_OF}, false)))
 )"""
+_MOVED = f""", alive AS (
+  SELECT p.id, CASE WHEN p.id % 10 = 4 AND coalesce(epoch_us(e.ts) <= {_AS_OF}, false) THEN [obj[1] + 0.5, obj[2]] ELSE obj END AS obj
+  FROM points p LEFT JOIN events e ON e.event_id = p.id
+  WHERE (p.id % 10 >= 8 AND epoch_us(e.ts) <= {_AS_OF})
+     OR (p.id % 10 < 8 AND NOT (p.id % 10 = 3 AND coalesce(epoch_us(e.ts) <= {_AS_OF}, false)))
+)"""
 _DYNAMIC = _knn("vectors", extra=_ALIVE, source="alive")
 
 _ID = """ident AS (
@@ -193,6 +199,9 @@ ORACLES = {
     "upd_insert_split": _result(_knn("points")),
     "upd_safe_admit_split": _result(_knn("points")),
     "stream_search": _result(_knn("points")),
+    "stream_compacted": _result(_knn("points")),
+    "knn_l2_tiled": _result(_knn("vectors")),
+    "knn_dynamic_index": _result(_knn("points", extra=_MOVED, source="alive")),
     "stream_nearest": _result(_knn("points", self_out="true")),
     "dist_l2": _next("vectors"),
     "dist_edit": _next("urls"),

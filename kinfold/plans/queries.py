@@ -199,6 +199,12 @@ def knn_l2(spark, sf):
     return _six(knn.knn_exact(data, _queries(data), K, "l2", exclude_self=True), "dist")
 
 
+def knn_l2_tiled(spark, sf):
+    """The same by tiles of queries and rows, as for more queries than a task can hold."""
+    data = _vectors(spark, sf)
+    return _six(knn.top_k(knn.l2_in_tiles(data, _queries(data), K, exclude_self=True), K), "dist")
+
+
 def knn_edit(spark, sf):
     data = _urls(spark, sf)
     return knn.knn_exact(data, _queries(data), K, "edit", exclude_self=True)
@@ -382,6 +388,20 @@ def knn_dynamic(spark, sf):
     return _six(found, "dist")
 
 
+def knn_dynamic_index(spark, sf):
+    """Top-k over an index of points with changes merged in: arrivals, deletions, and points that moved."""
+    points = _points(spark, sf)
+    times = _table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts")
+    kind = F.col("id") % 10
+    met = points.where((kind >= 8) | kind.isin(3, 4)).join(times, "id")
+    moved = F.when(kind == 4, F.array(F.col("obj")[0] + 0.5, F.col("obj")[1])).otherwise(F.col("obj"))
+    changes = met.select(
+        F.col("id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(kind == 3, "delete").otherwise("insert").alias("op"), "id", moved.alias("obj")
+    )
+    index = pivots.build_index(_base(points), CELL_ROWS)
+    return _six(updates.knn_dynamic(_base(points), changes, _as_of(spark, sf), _queries(points), K, exclude_self=True, index=index), "dist")
+
+
 def upd_safe_admit(spark, sf):
     points = _points(spark, sf)
     chosen, _, ring = _index(_base(points))
@@ -437,6 +457,17 @@ def stream_search(spark, sf):
     return _six(arrivals.knn_arrived(assigned, ring, path, _queries(points), K, exclude_self=True), "dist")
 
 
+def stream_compacted(spark, sf):
+    """Top-k over an index that a stream of arrivals has rebuilt on its way."""
+    points = _points(spark, sf)
+    path = stage_path(spark, "compacting")
+    arrivals.create_index(*pivots.build_index(_base(points), CELL_ROWS), f"{path}/index")
+    _arrivals(points).repartition(4, "id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    arrivals.stream_compacting(stream, f"{path}/index", f"{path}/check", 0, CELL_ROWS).awaitTermination()
+    return _six(arrivals.knn_current(spark, f"{path}/index", _queries(points), K, exclude_self=True), "dist")
+
+
 def stream_nearest(spark, sf):
     """Top-k of standing queries over a stream of points, whose last lists are a batch's over all of them."""
     points = _points(spark, sf)
@@ -544,10 +575,10 @@ QUERIES = {
         dist_l2, dist_edit, str_capacity, dist_tanimoto_bits, dist_tanimoto_set,
         pivots_fft, pivots_hash, pivot_table, cells, cell_split, pivot_ablation,
         vectors_text, objects_dtype, manifest_binaries, file_hashes, index_table,
-        knn_l2, knn_edit, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, topk_validity,
+        knn_l2, knn_l2_tiled, knn_edit, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, topk_validity,
         radius_fit, radius_ml, radius_tuning, recall_tuning, knn_approx, recall_audit, prune_soundness,
-        upd_insert, upd_insert_split, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, upd_safe_admit,
-        upd_safe_admit_split, upd_visibility, stream_arrivals, stream_search, stream_nearest,
+        upd_insert, upd_insert_split, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, knn_dynamic_index, upd_safe_admit,
+        upd_safe_admit_split, upd_visibility, stream_arrivals, stream_search, stream_compacted, stream_nearest,
         identity_two_level, alias_groups, identity_counts, context_drift, canonical_rows, reconcile_prefix,
         exclusions, provenance_fanout, family_lookup, check_coverage, redact_dual_hash, publication_filter,
         collection_rollup,
