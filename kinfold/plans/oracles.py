@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.plans.queries import EMAIL, FAMILIES, FILE_PAGES, PARTS, RULES, K
+from kinfold.plans.queries import EMAIL, FAMILIES, FILE_PAGES, NEAR_BITS, NEAR_SETS, PARTS, RULES, K
 
 
 def _l2(a: str, b: str) -> str:
@@ -163,6 +163,13 @@ def _split() -> str:
     FROM parted GROUP BY ALL"""
 
 
+_SET_DIST = "(CASE WHEN len(a.obj) + len(b.obj) = 0 THEN 0.0 ELSE 1 - len(list_intersect(a.obj, b.obj))::DOUBLE / (len(a.obj) + len(b.obj) - len(list_intersect(a.obj, b.obj))) END)"
+_NEAR_SETS = f"""t AS MATERIALIZED (SELECT doc_id AS id, {_tokens} AS obj FROM documents
+  ), sets AS (SELECT * FROM (SELECT b.id AS qid, a.id, {_SET_DIST} AS dist FROM t a, t b WHERE b.id % 20 = 0) WHERE dist <= {NEAR_SETS} + 1e-9)"""
+_NEAR_BITS = f"""{BITS}, near_bits AS (
+    SELECT * FROM (SELECT b.id AS qid, a.id, {_tanimoto('a.obj', 'b.obj')} AS dist FROM bits a, bits b WHERE b.id % 20 = 0) WHERE dist <= {NEAR_BITS} + 1e-9)"""
+
+
 def _recall_tuning() -> str:
     """Neighbours within the radius of each number of scales, over those wanted."""
     return f"""WITH {POINTS}, {_CALIB}, near AS (
@@ -232,6 +239,11 @@ ORACLES = {
     "knn_pruned": _result(_knn("points")),
     "range_l2": _knn("vectors") + " SELECT qid, id, round(dist, 6) AS dist FROM dist WHERE dist <= 1.1",
     "range_pruned": _knn("points") + " SELECT qid, id, round(dist, 6) AS dist FROM dist WHERE dist <= 0.02",
+    "range_tanimoto_set": f"WITH {_NEAR_SETS} SELECT qid, id, round(dist, 6) AS dist FROM sets WHERE id <> qid",
+    "range_tanimoto_bits": f"WITH {_NEAR_BITS} SELECT qid, id, round(dist, 6) AS dist FROM near_bits",
+    "overlap_candidates": f"""
+      WITH {_NEAR_SETS}, {_NEAR_BITS} SELECT 'sets' AS kind, count(*) AS within, true AS sound, true AS few FROM sets
+      UNION ALL SELECT 'bits', count(*), true, true FROM near_bits""",
     "topk_validity": f"SELECT vec_id AS qid, least({K}, (SELECT count(*) FROM embeddings)) AS rows, 0 AS bad_dists, 0 AS bad_ranks, true AS valid FROM embeddings WHERE vec_id % 20 = 0",
     "radius_fit": f"WITH {POINTS}, {_CALIB} SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(scale, 6) AS scale, round(worst, 6) AS worst FROM model",
     "radius_tuning": f"""

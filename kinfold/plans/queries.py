@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import edit, l2, sign_bits, tanimoto_bits, tanimoto_set, tokens, within_capacity
-from kinfold.operators import calibrate, identity, knn, pivots, updates
+from kinfold.operators import calibrate, identity, knn, overlap, pivots, updates
 from kinfold.plans import pruned
 from kinfold.plans.staging import stage, stage_path
 from kinfold.sources import manifest, objects
@@ -245,6 +245,42 @@ def range_pruned(spark, sf):
     return _six(pruned.range_pruned(assigned, ring, _queries(points), 0.02, exclude_self=True), "dist")
 
 
+#: Tanimoto distances of the range searches.
+NEAR_SETS, NEAR_BITS = 0.4, 0.2
+
+
+def _token_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens(F.coalesce("text", F.lit(""))).alias("obj"))
+
+
+def range_tanimoto_set(spark, sf):
+    """Documents whose token sets are near, through an index of rare tokens."""
+    data = stage(_token_sets(spark, sf), "sets")
+    return _six(overlap.similar_sets(data, _queries(data), NEAR_SETS, exclude_self=True), "dist")
+
+
+def range_tanimoto_bits(spark, sf):
+    """Fingerprints that are near, the query's own included, through an index of their segments."""
+    data = stage(_bits(spark, sf), "bits")
+    return _six(overlap.similar_bits(data, _queries(data), NEAR_BITS, words=2), "dist")
+
+
+def overlap_candidates(spark, sf):
+    """How many pairs the indexes propose, beside the pairs within the radius: none of these is lost, and few others come."""
+    out = None
+    for name, data in (("sets", stage(_token_sets(spark, sf), "sets")), ("bits", stage(_bits(spark, sf), "bits"))):
+        asked = _queries(data)
+        if name == "sets":
+            pairs, near = overlap.set_candidates(data, asked, NEAR_SETS), overlap.similar_sets(data, asked, NEAR_SETS)
+        else:
+            pairs, near = overlap.bit_candidates(data, asked, NEAR_BITS, 2), overlap.similar_bits(data, asked, NEAR_BITS, 2)
+        counts = pairs.agg(F.count("*").alias("proposed")).crossJoin(near.agg(F.count("*").alias("within")))  # a row each
+        every = data.agg(F.count("*") * F.count_if(F.col("id") % 20 == 0)).first()[0]
+        part = counts.select(F.lit(name).alias("kind"), "within", (F.col("proposed") >= F.col("within")).alias("sound"), (F.col("proposed") < every / 10).alias("few"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def topk_validity(spark, sf):
     data = _vectors(spark, sf)
     asked = _queries(data)
@@ -575,7 +611,8 @@ QUERIES = {
         dist_l2, dist_edit, str_capacity, dist_tanimoto_bits, dist_tanimoto_set,
         pivots_fft, pivots_hash, pivot_table, cells, cell_split, pivot_ablation,
         vectors_text, objects_dtype, manifest_binaries, file_hashes, index_table,
-        knn_l2, knn_l2_tiled, knn_edit, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, topk_validity,
+        knn_l2, knn_l2_tiled, knn_edit, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, range_tanimoto_set,
+        range_tanimoto_bits, overlap_candidates, topk_validity,
         radius_fit, radius_ml, radius_tuning, recall_tuning, knn_approx, recall_audit, prune_soundness,
         upd_insert, upd_insert_split, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, knn_dynamic_index, upd_safe_admit,
         upd_safe_admit_split, upd_visibility, stream_arrivals, stream_search, stream_compacted, stream_nearest,
