@@ -5,8 +5,13 @@ Calibration rows are (qid, nearest_pivot_dist, kth_dist), one a query.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import math
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from kinfold.functions.metrics import Metric
 from kinfold.operators.knn import knn_exact
 from kinfold.operators.pivots import pivot_table
 from kinfold.plans.pruned import knn_approx, query_cells, ring_holds
+from kinfold.plans.staging import stage
 
 
 def nearest_pivot(queries: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
@@ -51,16 +57,64 @@ def predict_radius(nearest: DataFrame, model: DataFrame, scales: float) -> DataF
     return nearest.crossJoin(F.broadcast(model)).select("qid", F.greatest(r, F.lit(0.0)).alias("radius"))
 
 
-def fit_radius_ml(calib: DataFrame, trees: int = 20, depth: int = 3, seed: int = 7):
-    """A gradient-boosted regression of the k-th distance, trained by Spark."""
-    rows = VectorAssembler(inputCols=["nearest_pivot_dist"], outputCol="features").transform(calib)
-    return GBTRegressor(labelCol="kth_dist", featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
+@dataclass
+class RadiusModel:
+    """A perceptron over buckets of radii: its pipeline, the upper end of each bucket, and the margin that calibration adds."""
+
+    pipeline: PipelineModel
+    tops: list[float]
+    margin: float
+
+
+def pivot_features(queries: DataFrame, pivots: DataFrame, metric: str | Metric = "l2") -> DataFrame:
+    """(qid, pdists): the distances to all pivots."""
+    table = pivot_table(queries.select("qid", F.col("qobj").alias("obj")), pivots, metric)
+    return table.select("qid", "pdists")
 
 
-def predict_radius_ml(nearest: DataFrame, model, factor: float = 1.0) -> DataFrame:
-    """(qid, radius) by a model of fit_radius_ml(), times ``factor``."""
-    rows = VectorAssembler(inputCols=["nearest_pivot_dist"], outputCol="features").transform(nearest)
-    return model.transform(rows).select("qid", (F.col("prediction") * factor).alias("radius"))
+def _bucket_tops(rows: DataFrame, model: PipelineModel, tops: list[float]) -> DataFrame:
+    """``rows`` with the upper end of the bucket that the model tells."""
+    told = model.transform(rows.withColumn("features", array_to_vector("pdists")))
+    return told.withColumn("told", F.get(F.array(*[F.lit(t) for t in tops]), F.col("prediction").cast("int"))).select(*rows.columns, "told")
+
+
+def fit_radius_ml(calib: DataFrame, share: float = 0.95, buckets: int = 8, hidden: int = 16, rounds: int = 60, seed: int = 7) -> RadiusModel:
+    """A model from (qid, pdists, kth_dist), whose radii hold the k-th neighbour of ``share`` of the queries or more.
+
+    One half of the rows, by a hash of their ids, teaches a multilayer perceptron the
+    bucket of the k-th distance.  By how much the other half's distances exceed what
+    it tells gives the margin (split conformal calibration): its ceil((n + 1) share)-th
+    smallest excess, so a further query from the same source is covered with that
+    probability.  With too few rows for such a promise the margin is infinite, and
+    a search reads everything.
+    """
+    half = F.pmod(F.xxhash64("qid"), F.lit(2))
+    taught, held = calib.where(half == 0), calib.where(half == 1)
+    if taught.isEmpty():
+        return RadiusModel(None, [], float("inf"))
+    steps = [(i + 1) / buckets for i in range(buckets)]
+    found = taught.agg(F.percentile("kth_dist", F.array(*[F.lit(x) for x in steps])).alias("tops"), F.max(F.size("pdists")).alias("m")).first()
+    tops = sorted(set(found["tops"]))
+    label = sum(((F.col("kth_dist") > t).cast("double") for t in tops[:-1]), F.lit(0.0))
+    layers = [found["m"], hidden, max(2, len(tops))]
+    steps = [
+        StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
+        MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=layers, maxIter=rounds, seed=seed),
+    ]
+    model = Pipeline(stages=steps).fit(taught.withColumn("features", array_to_vector("pdists")).withColumn("label", label))
+    tops += [tops[-1]] * (layers[-1] - len(tops))
+    excess = stage(_bucket_tops(held, model, tops).select((F.col("kth_dist") - F.col("told")).alias("excess")), "excess")
+    n = excess.count()
+    rank = math.ceil((n + 1) * share)
+    margin = excess.orderBy("excess").offset(rank - 1).limit(1).first()["excess"] if rank <= n else float("inf")
+    return RadiusModel(model, tops, margin)
+
+
+def predict_radius_ml(features: DataFrame, model: RadiusModel) -> DataFrame:
+    """(qid, radius) from (qid, pdists) by a model of fit_radius_ml()."""
+    if math.isinf(model.margin):
+        return features.select("qid", F.lit(float("inf")).alias("radius"))
+    return _bucket_tops(features, model.pipeline, model.tops).select("qid", F.greatest(F.col("told") + model.margin, F.lit(0.0)).alias("radius"))
 
 
 def tune_radius(calib: DataFrame, model: DataFrame, grid: list[float], cells: DataFrame, queries: DataFrame, metric: str | Metric = "l2") -> DataFrame:

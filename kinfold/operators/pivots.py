@@ -129,6 +129,54 @@ def pivots_sampled(df: DataFrame, m: int, metric: str | Metric = "l2", sample: i
     return picked.select("pivot", one["id"].alias("id"), one["obj"].alias("obj"))
 
 
+def pivots_coreset(df: DataFrame, m: int, chunk: int = 4096) -> DataFrame:
+    """m pivots for Euclidean distances by composable core-sets: every object is seen, in as many jobs whatever m is.
+
+    Tasks pick m objects of each ``chunk`` of rows by farthest-first traversal; the
+    picks are a table that is picked from again until MOST_SAMPLE rows hold it, and a
+    last traversal of those, from the smallest id, gives the pivots.  The picks of a chunk
+    are within twice the best radius of all of it, and so are the last ones of the
+    picks: the covering radius is at most four times the best one, and so at most four
+    times the exact traversal's, plus two for each further round.
+    """
+    if m > MOST_PIVOTS:
+        raise ValueError(f"at most {MOST_PIVOTS} pivots")
+    kinds = [df.schema[c].dataType.simpleString() for c in ("id", "obj")]
+    size = max(chunk, 2 * m)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def picked() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks()
+            own = part.column("obj").combine_chunks()
+            return part.take(pa.array(_farthest(matrix(own, len(own[0])), m))).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                held.append(batch.slice(lo, size))
+                n += held[-1].num_rows
+                if n >= size:
+                    yield picked()
+                    held, n = [], 0
+        if n:
+            yield picked()
+
+    core = usable(df, "id", "obj").select("id", "obj")
+    before = None
+    while True:
+        after = stage(core.mapInArrow(pick, f"id {kinds[0]}, obj {kinds[1]}"), "core")
+        if before is not None:
+            unstage(before)
+        n = after.count()
+        if n <= MOST_SAMPLE:
+            break
+        before, core = after, after.repartition(max(1, -(-n // (8 * size))))
+    found = sorted((r["id"], r["obj"]) for r in after.collect())  # MOST_SAMPLE rows at most
+    picks = _farthest(np.array([o for _, o in found], float), m) if found else []
+    return df.sparkSession.createDataFrame([(k, *found[at]) for k, at in enumerate(picks)], f"pivot int, id {kinds[0]}, obj {kinds[1]}")
+
+
 def pivots_hash(df: DataFrame, m: int, seed: str = "0") -> DataFrame:
     """m pivots in the order of a hash of their ids: the baseline to compare with."""
     order = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")), 256)

@@ -222,6 +222,7 @@ ORACLES = {
       SELECT count(*) FILTER (length(url) <= 40) AS kept, count(*) FILTER (url IS NULL OR length(url) > 40) AS dropped,
              CAST(max(length(url)) AS INTEGER) AS longest FROM pages""",
     "pivots_fft": f"WITH {POINTS}, {_fft('points')} " + " UNION ALL ".join(f"SELECT {k} AS pivot, id FROM p{k}" for k in range(4)),
+    "pivots_coreset": "SELECT CAST(least(4, count(*)) AS INTEGER) AS pivots, true AS covered FROM part",
     "pivots_hash": f"WITH {POINTS} SELECT CAST(row_number() OVER (ORDER BY {_hash_order}) - 1 AS INTEGER) AS pivot, id FROM points ORDER BY {_hash_order} LIMIT 4",
     "pivot_table": f"WITH {POINTS}, {_cells('points')} SELECT id, round(d0, 6) AS d0, round(d1, 6) AS d1, round(d2, 6) AS d2, round(d3, 6) AS d3 FROM table_",
     "cells": f"WITH {POINTS}, {_cells('points')} SELECT CAST(cell AS BIGINT) AS cell, round(lo, 6) AS lo, round(hi, 6) AS hi, cnt FROM rings",
@@ -246,6 +247,9 @@ ORACLES = {
       UNION ALL SELECT 'bits', count(*), true, true FROM near_bits""",
     "topk_validity": f"SELECT vec_id AS qid, least({K}, (SELECT count(*) FROM embeddings)) AS rows, 0 AS bad_dists, 0 AS bad_ranks, true AS valid FROM embeddings WHERE vec_id % 20 = 0",
     "radius_fit": f"WITH {POINTS}, {_CALIB} SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(scale, 6) AS scale, round(worst, 6) AS worst FROM model",
+    "radius_ml": f"""
+      SELECT count(*) AS queries, CAST(count(*) * least({K}, (SELECT count(*) FROM part) - 1) AS BIGINT) AS wanted, true AS recall_reached, true AS promise_kept
+      FROM part WHERE p_partkey % 20 = 0""",
     "radius_tuning": f"""
       WITH {POINTS}, {_CALIB}, tried AS (
         SELECT qid, scales, kth, greatest(intercept + slope * n + scales * scale, 0.0) AS radius FROM calib, model, {_grid}

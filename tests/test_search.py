@@ -189,8 +189,46 @@ def test_learned_radius_is_audited(spark):
         recall = calibrate.recall_at_k(approx, exact).agg(F.avg("recall")).first()[0]
         assert (recall == 1) == full and (calibrate.prune_violations(exact, approx).count() == 0) == full
         assert not approx.where("exact").count()
-    ml = calibrate.predict_radius_ml(nearest, calibrate.fit_radius_ml(calib))
-    assert ml.count() == 40 and ml.where("radius <= 0").count() == 0
+
+
+def test_calibrated_radius_keeps_its_promise(spark):
+    """Held-out queries are covered about as often as promised; too few rows give an infinite radius."""
+    rng = np.random.default_rng(4)
+    data = frame(spark, "l2", [(i, rng.normal(size=2).tolist()) for i in range(2400)]).repartition(3)
+    asked = data.select(F.col("id").alias("qid"), F.col("obj").alias("qobj"))
+    taught, held = asked.where("qid % 4 = 1"), asked.where("qid % 4 = 2")
+    chosen = pivots.pivots_fft(data, 4)
+    calib = calibrate.calibration(data, chosen, taught, 5, exclude_self=True).select("qid", "kth_dist")
+    model = calibrate.fit_radius_ml(calib.join(calibrate.pivot_features(taught, chosen), "qid"), 0.9, rounds=20)
+    radii = calibrate.predict_radius_ml(calibrate.pivot_features(held, chosen), model)
+    _, assigned, cells = pivots.build_index(data, 50)
+    recall = calibrate.recall_at_k(pruned.knn_approx(assigned, cells, held, radii, 5, exclude_self=True), knn.knn_exact(data, held, 5, exclude_self=True))
+    full, mean = recall.agg(F.avg((F.col("recall") == 1).cast("int")), F.avg("recall")).first()
+    assert 0.85 <= full <= 0.97 and mean >= 0.9
+    few = calibrate.fit_radius_ml(calib.limit(6).join(calibrate.pivot_features(taught, chosen), "qid"), 0.9, rounds=5)
+    assert calibrate.predict_radius_ml(calibrate.pivot_features(held, chosen), few).where("radius < double('inf')").count() == 0
+    none = calibrate.fit_radius_ml(calib.limit(0).join(calibrate.pivot_features(taught, chosen), "qid"))
+    assert none.margin == float("inf")
+
+
+def test_coreset_pivots_cover(spark):
+    """The covering radius is at most four times that of the exact traversal, in a fixed number of jobs."""
+    rng = np.random.default_rng(5)
+    points = [(i, (rng.normal(size=2) + 9 * rng.integers(0, 4, 2)).tolist()) for i in range(3000)]
+    data = frame(spark, "l2", points).repartition(5)
+    x = np.array([p for _, p in points])
+
+    def radius(df):
+        c = np.array([r["obj"] for r in df.collect()])
+        return np.sqrt(((x[:, None] - c[None]) ** 2).sum(2)).min(1).max()
+
+    for m in (3, 12):
+        exact = pivots.pivots_fft(data, m)
+        for chunk in (100, 4096):
+            core = pivots.pivots_coreset(data, m, chunk)
+            assert core.count() == m and radius(core) <= 4 * radius(exact) + 1e-9
+    same = frame(spark, "l2", [(i, [1.0, 1.0]) for i in range(30)])
+    assert pivots.pivots_coreset(same, 4).count() == 1 and pivots.pivots_coreset(same.limit(0), 4).count() == 0
 
 
 def vectors(seed, n, odd=()):
