@@ -33,6 +33,8 @@ EPS = 1e-9
 TOP, FAN = 256, 32
 #: Most numbers in the pivots of the cells that go to every task at once (8 MiB).
 SURVEY = 1 << 20
+#: Wanted cells that are named to the scan.
+FEW_CELLS = 200
 #: Objects and queries of a cell that one tile takes.
 LANE_ROWS, BLOCK_QUERIES = 1 << 16, 1 << 13
 #: Euclidean distances of vectors up to this width are written out, number by number.
@@ -223,7 +225,12 @@ def _tiled(assigned: DataFrame, cells: DataFrame, wanted: DataFrame, k: int | No
     """
     wanted = stage(wanted, "wanted")
     uses = wanted.groupBy("cell").agg(F.count("*").alias("uses"))
-    rows = assigned.select("cell", "id", "obj").join(uses.select("cell"), "cell", "left_semi")
+    few = [r[0] for r in uses.select("cell").limit(FEW_CELLS + 1).collect()]
+    rows = assigned.select("cell", "id", "obj")
+    if len(few) <= FEW_CELLS:  # the scan then leaves out row groups of other cells
+        rows = rows.where(F.col("cell").isin(few))
+    else:
+        rows = rows.join(uses.select("cell"), "cell", "left_semi")
     sized = cells.select("cell", "cnt").join(uses, "cell").select(
         "cell", F.ceil(F.col("cnt") / LANE_ROWS).cast("int").alias("lanes"), F.ceil(F.col("uses") / BLOCK_QUERIES).cast("int").alias("blocks")
     )

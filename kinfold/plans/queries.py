@@ -132,7 +132,7 @@ def file_hashes(spark, sf):
 
 
 def index_table(spark, sf):
-    """The index as one folder a cell, read back cell by cell."""
+    """The index in files by ranges of cells, read back cell by cell."""
     path = stage_path(spark, "index")
     objects.write_cells(_index(_points(spark, sf))[1], path)
     back = objects.read_cells(spark, path).groupBy(F.col("cell").cast("long").alias("cell"))

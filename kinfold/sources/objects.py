@@ -35,9 +35,14 @@ def dropped_objects(df: DataFrame, obj_col: str) -> DataFrame:
 
 
 def write_cells(assigned: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The index table, one folder a cell, so that a search of few cells prunes the rest."""
-    assigned.repartition("cell").write.mode(mode).partitionBy("cell").parquet(path)
+    """The index table in ranges of cells, sorted by cell, so that row groups tell by their statistics which cells they hold.
+
+    Files grow with bytes, not with cells; a cell of many objects spans several.
+    """
+    assigned.repartitionByRange("cell", "id").sortWithinPartitions("cell").write.mode(mode).parquet(path)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_cells(spark: SparkSession, path: str, cells: list[int] | None = None) -> DataFrame:
+    """The index table, or only some ``cells``, whose numbers the scan compares with the row groups' statistics."""
+    found = spark.read.parquet(path)
+    return found if cells is None else found.where(F.col("cell").isin(cells))

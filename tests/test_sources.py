@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from kinfold.operators import identity
@@ -25,7 +26,27 @@ def test_objects_and_cells(spark, tmp_path):
     objects.write_cells(cells, f"file://{tmp_path}/c")
     back = objects.read_cells(spark, f"file://{tmp_path}/c")
     assert sorted((r["id"], r["cell"]) for r in back.collect()) == [(1, 0), (2, 1)]
-    assert "PartitionFilters: [isnotnull(cell" in back.where("cell = 1")._jdf.queryExecution().toString()
+    assert [r["id"] for r in objects.read_cells(spark, f"file://{tmp_path}/c", [1]).collect()] == [2]
+
+
+def test_few_cells_read_few_row_groups(spark, tmp_path):
+    """Ranges of cells, one large cell among them: files are few, and a cell lies in few row groups."""
+    table = spark.range(40_000).selectExpr("id", "array(rand(1), rand(2)) obj", "if(id % 4 = 0, 77, id % 500) cell", "0.5D pdist").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        objects.write_cells(table, f"file://{tmp_path}/c")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = sorted(tmp_path.glob("c/*.parquet"))
+    assert len(files) == 4
+    spans = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        at = meta.schema.names.index("cell")
+        spans += [(meta.row_group(g).column(at).statistics.min, meta.row_group(g).column(at).statistics.max) for g in range(meta.num_row_groups)]
+    assert max(sum(lo <= c <= hi for lo, hi in spans) for c in range(500) if c != 77) <= 2
+    some = objects.read_cells(spark, f"file://{tmp_path}/c", [3, 400])
+    assert "PushedFilters: [In(cell" in some._jdf.queryExecution().toString() and some.count() == table.where("cell IN (3, 400)").count()
 
 
 def test_manifest(spark, tmp_path):
