@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.plans.queries import EMAIL, FAMILIES, FILE_PAGES, NEAR_BITS, NEAR_SETS, PARTS, RULES, K
+from kinfold.plans.queries import EMAIL, FAMILIES, FILE_PAGES, NEAR_BITS, NEAR_EDITS, NEAR_SETS, PARTS, RULES, K
 
 
 def _l2(a: str, b: str) -> str:
@@ -166,6 +166,8 @@ def _split() -> str:
 _SET_DIST = "(CASE WHEN len(a.obj) + len(b.obj) = 0 THEN 0.0 ELSE 1 - len(list_intersect(a.obj, b.obj))::DOUBLE / (len(a.obj) + len(b.obj) - len(list_intersect(a.obj, b.obj))) END)"
 _NEAR_SETS = f"""t AS MATERIALIZED (SELECT doc_id AS id, {_tokens} AS obj FROM documents
   ), sets AS (SELECT * FROM (SELECT b.id AS qid, a.id, {_SET_DIST} AS dist FROM t a, t b WHERE b.id % 20 = 0) WHERE dist <= {NEAR_SETS} + 1e-9)"""
+_NEAR_EDITS = f"""{URLS}, d AS (SELECT min(id) AS id, obj FROM urls GROUP BY obj), q AS (SELECT min(id) AS qid, obj FROM urls WHERE id % 20 = 0 GROUP BY obj),
+  near_urls AS (SELECT qid, id, levenshtein(d.obj, q.obj)::DOUBLE AS dist FROM d, q WHERE levenshtein(d.obj, q.obj) <= {NEAR_EDITS})"""
 _NEAR_BITS = f"""{BITS}, near_bits AS (
     SELECT * FROM (SELECT b.id AS qid, a.id, {_tanimoto('a.obj', 'b.obj')} AS dist FROM bits a, bits b WHERE b.id % 20 = 0) WHERE dist <= {NEAR_BITS} + 1e-9)"""
 
@@ -230,6 +232,9 @@ ORACLES = {
     "pivot_ablation": _ablation(),
     "knn_l2": _result(_knn("vectors")),
     "knn_edit": _result(_knn("urls")),
+    "knn_edit_segments": _result(_knn("urls")),
+    "range_edit": f"WITH {_NEAR_EDITS} SELECT qid, id, dist FROM near_urls",
+    "edit_candidates": f"WITH {_NEAR_EDITS} SELECT count(*) AS within, true AS sound, true AS few FROM near_urls",
     "knn_tanimoto": _result(_knn("bits")),
     "knn_external": f"""
       WITH c AS (SELECT c_custkey AS id, [c_acctbal / 1000, c_nationkey::DOUBLE] AS obj FROM customer),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import edit, l2, sign_bits, tanimoto_bits, tanimoto_set, tokens, within_capacity
-from kinfold.operators import calibrate, identity, knn, overlap, pivots, updates
+from kinfold.operators import calibrate, identity, knn, overlap, pivots, strings, updates
 from kinfold.plans import pruned
 from kinfold.plans.staging import stage, stage_path
 from kinfold.sources import manifest, objects
@@ -219,6 +219,39 @@ def knn_edit(spark, sf):
     return knn.knn_exact(data, _queries(data), K, "edit", exclude_self=True)
 
 
+def knn_edit_segments(spark, sf):
+    """The same through an index of grams, within growing distances."""
+    data = _urls(spark, sf)
+    return strings.knn_edit(data, _queries(data), K, exclude_self=True)
+
+
+#: Edits of the range search.
+NEAR_EDITS = 4
+
+
+def _distinct_urls(spark, sf):
+    """(index of the distinct URLs under their smallest ids, those of the queries among them)."""
+    data = _urls(spark, sf)
+    one = lambda t, i, o: stage(t.groupBy(o).agg(F.min(i).alias(i)), "distinct")
+    return strings.Strings(one(data, "id", "obj")), one(_queries(data), "qid", "qobj")
+
+
+def range_edit(spark, sf):
+    """Distinct URLs a few edits apart, each by the smallest id that has it."""
+    index, asked = _distinct_urls(spark, sf)
+    return index.range_search(asked, NEAR_EDITS)
+
+
+def edit_candidates(spark, sf):
+    """How many pairs the index has verified for range_edit, beside those within the distance: none is lost, few others come."""
+    index, asked = _distinct_urls(spark, sf)
+    every = index.rows.count() * asked.count()
+    tried = index.verified(index.asked(asked), NEAR_EDITS)
+    return tried.agg(
+        F.count("dist").alias("within"), (F.count("*") >= F.count("dist")).alias("sound"), (F.count("*") <= every / 10).alias("few")
+    )
+
+
 def knn_tanimoto(spark, sf):
     data = _bits(spark, sf)
     return _six(knn.knn_exact(data, _queries(data), K, "tanimoto_bits", exclude_self=True), "dist")
@@ -625,7 +658,7 @@ QUERIES = {
         dist_l2, dist_edit, str_capacity, dist_tanimoto_bits, dist_tanimoto_set,
         pivots_fft, pivots_coreset, pivots_hash, pivot_table, cells, cell_split, pivot_ablation,
         vectors_text, objects_dtype, manifest_binaries, file_hashes, index_table,
-        knn_l2, knn_l2_tiled, knn_edit, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, range_tanimoto_set,
+        knn_l2, knn_l2_tiled, knn_edit, knn_edit_segments, range_edit, edit_candidates, knn_tanimoto, knn_external, knn_pruned, range_l2, range_pruned, range_tanimoto_set,
         range_tanimoto_bits, overlap_candidates, topk_validity,
         radius_fit, radius_ml, radius_tuning, recall_tuning, knn_approx, recall_audit, prune_soundness,
         upd_insert, upd_insert_split, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, knn_dynamic_index, upd_safe_admit,
