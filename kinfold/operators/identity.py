@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.plans.names import spare_names
+from kinfold.plans.staging import stage
+
 #: Stands between the parts of a context.
 UNIT = "\u001f"
 
@@ -72,6 +75,76 @@ def reconcile(full: DataFrame, listing: DataFrame, key: str, hash_col: str, pref
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
+#: Bits of a key's hash that number the ranges of the first comparison, and those that each later one adds.
+FIRST_BITS, MORE_BITS = 8, 6
+#: Rows that a range should hold at the last.
+RANGE_ROWS = 64
+
+
+def _range(key: str, bits: int) -> Column:
+    """The number of a key's range: the first bits of its hash, so that longer numbers part a range."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("range"), F.col(key)), 64 - bits)
+
+
+def _marks(t: DataFrame, key: str, value: Column, width: int, side: str) -> DataFrame:
+    """(key, one, two): two hashes of a row's key and first ``width`` characters; a null, or too few, equals nothing of the other side."""
+    whole = F.col(key).isNotNull() & value.isNotNull() & (F.length(value) >= width)
+    part = F.when(whole, F.substring(value, 1, width))
+    other = F.when(~F.coalesce(whole, F.lit(False)), F.lit(side))
+    return t.select(F.col(key), *[F.xxhash64(F.lit(n), F.col(key), F.coalesce(part, F.lit("")), F.coalesce(other, F.lit(""))).alias(n) for n in ("one", "two")])
+
+
+def range_digests(marks: DataFrame, key: str, bits: int) -> DataFrame:
+    """(range, n, x, lo, hi): a digest of each range's rows, of which those of tasks, files or days add up.
+
+    ``x`` is the exclusive or of one hash, ``lo`` and ``hi`` are sums of the halves of the other.
+    """
+    return marks.groupBy(_range(key, bits).alias("range")).agg(
+        F.count("*").alias("n"), F.bit_xor("one").alias("x"),
+        F.sum(F.col("two").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"), F.sum(F.shiftrightunsigned("two", 32)).alias("hi"),
+    )
+
+
+def differing_ranges(full: DataFrame, listing: DataFrame, key: str, hash_col: str, prefix_col: str, width: int, rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """(table of the ranges whose digests differ, the bits of their numbers).
+
+    All ranges are compared first; those that differ are parted and compared again,
+    until ranges hold about ``rows`` rows on average.  Rows of equal ranges are read, but only
+    their digests are shuffled.
+    """
+    marks = [_marks(full, key, F.col(hash_col), width, "full"), _marks(listing.where(F.length(prefix_col) <= width), key, F.col(prefix_col), width, "listing")]
+    longer = _marks(listing.where((F.length(prefix_col) > width) | F.col(prefix_col).isNull()), key, F.lit(None).cast("string"), width, "listing")
+    marks[1] = marks[1].unionByName(longer)
+    bits, found = FIRST_BITS, None
+    while True:
+        if found is not None:
+            within = _range(key, bits - MORE_BITS)
+            marks = [m.withColumn("range", within).join(found, "range", "left_semi").drop("range") for m in marks]
+        a, b = (range_digests(m, key, bits) for m in marks)
+        pairs = stage(a.unionByName(b).groupBy("range", "n", "x", "lo", "hi").agg(F.count("*").alias("sides")), "digests")
+        found = stage(pairs.where("sides = 1").select("range").distinct(), "differing")
+        held = pairs.agg(F.avg("n")).first()[0]
+        if found.isEmpty() or (held or 0) <= rows or bits + MORE_BITS > 62:
+            return found, bits
+        bits += MORE_BITS
+
+
+def reconcile_ranges(full: DataFrame, listing: DataFrame, key: str, hash_col: str, prefix_col: str, width: int, rows: int = RANGE_ROWS) -> DataFrame:
+    """reconcile() for tables that differ in few rows: of ranges with equal digests no row is shuffled.
+
+    A listing's prefixes have ``width`` characters; others are compared row by row,
+    as nulls are.  Keys that are not null are unique in each table.  Equal digests, of
+    128 bits and a count, are taken for equal rows: a chance, and no proof against forgery.
+    """
+    found, bits = differing_ranges(full, listing, key, hash_col, prefix_col, width, rows)
+    number = spare_names([*full.columns, *listing.columns], "__range")[0]
+    ranges = found.withColumnRenamed("range", number)
+    a, b = (t.withColumn(number, _range(key, bits)) for t in (full, listing))
+    settled = a.join(ranges, number, "left_anti").select(key, F.lit("match").alias("status"))
+    open_ = reconcile(a.join(ranges, number, "left_semi"), b.join(ranges, number, "left_semi"), key, hash_col, prefix_col)
+    return settled.unionByName(open_)
+
+
 def exclusions(every: DataFrame, captured: DataFrame, reasons: DataFrame, key: str) -> DataFrame:
     """(key, reason) of the items that were not captured; without a stated reason it is 'unstated'."""
     left = every.select(key).join(captured.select(key), key, "left_anti")

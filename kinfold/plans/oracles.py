@@ -211,6 +211,7 @@ ORACLES = {
     "stream_compacted": _result(_knn("points")),
     "knn_l2_tiled": _result(_knn("vectors")),
     "knn_dynamic_index": _result(_knn("points", extra=_MOVED, source="alive")),
+    "stream_nearest_changes": _result(_knn("points", extra=_MOVED, source="alive")),
     "stream_nearest": _result(_knn("points", self_out="true")),
     "dist_l2": _next("vectors"),
     "dist_edit": _next("urls"),
@@ -292,6 +293,12 @@ ORACLES = {
       SELECT coalesce(i.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlisted' WHEN i.doc_id IS NULL THEN 'unknown'
              WHEN starts_with(s, prefix) THEN 'match' ELSE 'mismatch' END AS status
       FROM ident i FULL JOIN listing l ON i.doc_id = l.doc_id""",
+    "reconcile_ranges": f"""
+      WITH {_ID}, listing AS (
+        SELECT doc_id, left(CASE WHEN quality = 0 THEN p ELSE s END, 12) AS prefix
+        FROM ident LEFT JOIN (SELECT doc_id, quality FROM labels WHERE toxic = 1) USING (doc_id) WHERE quality IS NULL OR quality = 0)
+      SELECT i.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlisted' WHEN starts_with(s, prefix) THEN 'match' ELSE 'mismatch' END AS status
+      FROM ident i LEFT JOIN listing l ON i.doc_id = l.doc_id""",
     "exclusions": """
       SELECT doc_id, CASE WHEN lang <> 'en' THEN 'language ' || lang ELSE 'unstated' END AS reason
       FROM documents ANTI JOIN labels USING (doc_id)""",

@@ -471,8 +471,8 @@ def knn_dynamic(spark, sf):
     return _six(found, "dist")
 
 
-def knn_dynamic_index(spark, sf):
-    """Top-k over an index of points with changes merged in: arrivals, deletions, and points that moved."""
+def _moves(spark, sf):
+    """(points, changes): points that arrive, go or move at the times of the events with their ids."""
     points = _points(spark, sf)
     times = _table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts")
     kind = F.col("id") % 10
@@ -481,6 +481,12 @@ def knn_dynamic_index(spark, sf):
     changes = met.select(
         F.col("id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(kind == 3, "delete").otherwise("insert").alias("op"), "id", moved.alias("obj")
     )
+    return points, changes
+
+
+def knn_dynamic_index(spark, sf):
+    """Top-k over an index of points with changes merged in: arrivals, deletions, and points that moved."""
+    points, changes = _moves(spark, sf)
     index = pivots.build_index(_base(points), CELL_ROWS)
     return _six(updates.knn_dynamic(_base(points), changes, _as_of(spark, sf), _queries(points), K, exclude_self=True, index=index), "dist")
 
@@ -560,6 +566,18 @@ def stream_nearest(spark, sf):
     return _six(topk.settled_topk(stream, _queries(points), K, f"{path}/lists", f"{path}/check"), "dist")
 
 
+def stream_nearest_changes(spark, sf):
+    """Lists of standing queries that a stream of those changes keeps right, refilled from the index where a member goes."""
+    points, changes = _moves(spark, sf)
+    path = stage_path(spark, "lists")
+    due = changes.where(F.col("ts") <= _as_of(spark, sf))
+    due.repartition(3, "id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(due.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    index = pivots.build_index(_base(points), CELL_ROWS)
+    topk.stream_lists(stream, _base(points), _queries(points), K, path, f"{path}/check", exclude_self=True, index=index).awaitTermination()
+    return _six(topk.lists(spark, path), "dist")
+
+
 # --- G: content identity ----------------------------------------------------------------
 
 
@@ -599,6 +617,16 @@ def reconcile_prefix(spark, sf):
     return identity.reconcile(docs, listing, "doc_id", "source_sha256", "prefix")
 
 
+def reconcile_ranges(spark, sf):
+    """Documents' hashes against a listing that differs in those whose labels are bad and toxic, and lacks the toxic ones of good quality."""
+    docs = _identified(spark, sf)
+    toxic = _table(spark, sf, "labels").where("toxic = 1").select("doc_id", "quality")
+    listing = docs.join(toxic, "doc_id", "left").where("quality IS NULL OR quality = 0").select(
+        "doc_id", F.substring(F.when(F.col("quality") == 0, F.col("payload_sha256")).otherwise(F.col("source_sha256")), 1, 12).alias("prefix")
+    )
+    return identity.reconcile_ranges(docs, listing, "doc_id", "source_sha256", "prefix", 12)
+
+
 def exclusions(spark, sf):
     """Documents without a label, with a reason for those in languages other than English."""
     docs = _table(spark, sf, "documents").select("doc_id", "lang")
@@ -662,8 +690,8 @@ QUERIES = {
         range_tanimoto_bits, overlap_candidates, topk_validity,
         radius_fit, radius_ml, radius_tuning, recall_tuning, knn_approx, recall_audit, prune_soundness,
         upd_insert, upd_insert_split, upd_delete, knn_buffer, upd_rebuild, knn_dynamic, knn_dynamic_index, upd_safe_admit,
-        upd_safe_admit_split, upd_visibility, stream_arrivals, stream_search, stream_compacted, stream_nearest,
-        identity_two_level, alias_groups, identity_counts, context_drift, canonical_rows, reconcile_prefix,
+        upd_safe_admit_split, upd_visibility, stream_arrivals, stream_search, stream_compacted, stream_nearest, stream_nearest_changes,
+        identity_two_level, alias_groups, identity_counts, context_drift, canonical_rows, reconcile_prefix, reconcile_ranges,
         exclusions, provenance_fanout, family_lookup, check_coverage, redact_dual_hash, publication_filter,
         collection_rollup,
     )

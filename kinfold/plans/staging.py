@@ -82,7 +82,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     fs, at = _at(spark, path)
     fs.delete(at, True)
 
@@ -91,7 +91,7 @@ def unstage(*tables: DataFrame) -> None:
     """Deletes tables of stage() that nothing reads any more, such as an iteration's former ones."""
     for df in tables:
         if path := getattr(df, "staged_path", None):
-            _delete(df.sparkSession, path)
+            delete_path(df.sparkSession, path)
 
 
 @contextmanager
@@ -105,4 +105,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open.pop():
-            _delete(spark, path)
+            delete_path(spark, path)

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import random
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import identity
@@ -85,6 +87,38 @@ def test_reconcile(spark):
     assert got == {"a": "match", "b": "mismatch", "c": "unlisted", "d": "unknown"}
 
 
+@pytest.mark.parametrize("rows", [1, 64])
+def test_reconcile_by_ranges(spark, rows):
+    rng = random.Random(rows)
+    full = [(i, hashlib.sha256(b"%d" % i).hexdigest()) for i in range(3000)] + [(None, "a" * 64), (None, None), (4000, None), (4001, "abc")]
+    listing = [(i, h and h[:12]) for i, h in full]
+    for i in rng.sample(range(3000), 12):
+        listing[i] = rng.choice([(i, "0" * 12), (-i - 1, listing[i][1]), (i, listing[i][1][:5]), (i, None), (i, full[i][1][:20]), (i, full[i][1][:12] + "zz")])
+    kinds = "key long, h string", "key long, __range string"
+    a, b = spark.createDataFrame(full, kinds[0]), spark.createDataFrame(listing, kinds[1])
+    found, bits = identity.differing_ranges(a, b, "key", "h", "__range", 12, rows)
+    open_ = a.withColumn("range", identity._range("key", bits)).join(found, "range", "left_semi").count()
+    assert found.count() <= 2 * 12 + 4 and open_ < (100 if rows == 1 else 500)
+    got = identity.reconcile_ranges(a, b, "key", "h", "__range", 12, rows)
+    want = identity.reconcile(a, b, "key", "h", "__range")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    # tables that agree: nothing is left to compare
+    same = a.where("key < 3000")
+    found, _ = identity.differing_ranges(same, same.select("key", F.substring("h", 1, 12).alias("p")), "key", "h", "p", 12, rows)
+    assert found.isEmpty()
+    none = a.limit(0), b.limit(0)
+    assert identity.reconcile_ranges(*none, "key", "h", "__range", 12).count() == 0
+    assert {r["status"] for r in identity.reconcile_ranges(a, none[1], "key", "h", "__range", 12).collect()} == {"unlisted"}
+
+
+def test_digests_of_parts_add_up(spark):
+    rows = spark.range(500).select(F.col("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    whole = identity.range_digests(identity._marks(rows, "key", F.col("h"), 12, "full"), "key", 4)
+    parts = [identity.range_digests(identity._marks(rows.where(w), "key", F.col("h"), 12, "full"), "key", 4) for w in ("key % 3 = 0", "key % 3 > 0")]
+    added = parts[0].unionByName(parts[1]).groupBy("range").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, added.collect()))
+
+
 def test_classify_longest_pattern(spark):
     rules = spark.createDataFrame([("x%", "short"), ("xy%", "long"), ("_y%", "other")], "pattern string, family string")
     df = spark.createDataFrame([("xyz",), ("xa",), ("q",), (None,)], "name string")
