@@ -30,19 +30,20 @@ def _characters(text: Column) -> Column:
 
 
 def _described(t: DataFrame, i: str, o: str) -> DataFrame:
-    """(own, text, n, bag, chars): the string's length, its characters and how many of them are of each class."""
+    """(own, text, n, bag, held, chars): the string's length, its characters, how many of them are of each class, and a bit for each class with any."""
     t = t.select(F.col(i).alias("own"), F.col(o).alias("text"), _characters(F.col(o)).alias("chars"))
     t = t.withColumn("kinds", F.transform("chars", lambda c: F.pmod(F.xxhash64(c), F.lit(CLASSES))))
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k))
     bag = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), count)
-    return t.select("own", "text", F.size("chars").alias("n"), bag.alias("bag"), "chars")
+    held = F.aggregate("kinds", F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))))
+    return t.select("own", "text", F.size("chars").alias("n"), bag.alias("bag"), held.alias("held"), "chars")
 
 
 def _grams(described: DataFrame, gram: int) -> DataFrame:
-    """(own, n, at, gram): every run of ``gram`` characters with its place."""
+    """(own, n, held, at, gram): every run of ``gram`` characters with its place."""
     starts = F.when(F.col("n") >= gram, F.sequence(F.lit(1), F.col("n") - (gram - 1)))
-    at = described.select("own", "n", F.explode(F.transform(starts, lambda p: F.struct(p.alias("at"), F.array_join(F.slice("chars", p, gram), "").alias("gram")))).alias("g"))
-    return at.select("own", "n", "g.at", "g.gram")
+    at = described.select("own", "n", "held", F.explode(F.transform(starts, lambda p: F.struct(p.alias("at"), F.array_join(F.slice("chars", p, gram), "").alias("gram")))).alias("g"))
+    return at.select("own", "n", "held", "g.at", "g.gram")
 
 
 class Strings:
@@ -57,26 +58,27 @@ class Strings:
         self.uses = stage(self.grams.groupBy("gram").agg(F.count("*").alias("uses")), "uses")
 
     def asked(self, queries: DataFrame) -> DataFrame:
-        """(qid, qobj, m, qbag, grams): the queries with their grams in order of how few strings hold them; staged."""
+        """(qid, qobj, m, qbag, asks, grams): the queries with their grams in order of how few strings hold them; staged."""
         described = _described(usable(queries, "qid", "qobj"), "qid", "qobj")
         met = _grams(described, self.gram).join(self.uses, "gram", "left")
         ranked = met.groupBy("own").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "at", "gram"))).alias("grams"))
-        own = described.drop("chars").join(ranked, "own", "left")
-        return stage(own.select(F.col("own").alias("qid"), F.col("text").alias("qobj"), F.col("n").alias("m"), F.col("bag").alias("qbag"), "grams"), "asked")
+        own = described.drop("chars").join(ranked, "own", "left").withColumnRenamed("held", "asks")
+        return stage(own.select(F.col("own").alias("qid"), F.col("text").alias("qobj"), F.col("n").alias("m"), F.col("bag").alias("qbag"), "asks", "grams"), "asked")
 
     def _probes(self, asked: DataFrame, most: int) -> DataFrame:
-        """(qid, m, place, gram): of each query most + 1 rare grams that don't overlap; queries that are too short have none."""
+        """(qid, m, asks, place, gram): of each query most + 1 rare grams that don't overlap; queries that are too short have none."""
         apart = lambda taken, g: ~F.exists(taken, lambda t: F.abs(t["at"] - g["at"]) < self.gram)
         pick = lambda taken, g: F.when((F.size(taken) <= most) & apart(taken, g), F.array_append(taken, g)).otherwise(taken)
         taken = F.aggregate("grams", F.filter("grams", lambda g: F.lit(False)), pick)
-        found = asked.select("qid", "m", taken.alias("taken")).where(F.size("taken") == most + 1)
-        return found.select("qid", "m", F.explode("taken").alias("g")).select("qid", "m", F.col("g.at").alias("place"), "g.gram")
+        found = asked.select("qid", "m", "asks", taken.alias("taken")).where(F.size("taken") == most + 1)
+        return found.select("qid", "m", "asks", F.explode("taken").alias("g")).select("qid", "m", "asks", F.col("g.at").alias("place"), "g.gram")
 
     def candidates(self, asked: DataFrame, most: int) -> DataFrame:
         """(qid, id): distinct pairs that share one of the chosen grams within ``most`` places and fit in length.
 
         Places go by blocks of 2 * most + 1, of which a gram's reach touches two, so that
-        a gram most strings have meets those alone that have it there.
+        a gram most strings have meets those alone that have it there.  An edit takes away
+        one class of characters at most, which is asked before pairs are shuffled.
         """
         width = 2 * most + 1
         block = lambda place: F.floor(place / width).cast("int")
@@ -85,6 +87,8 @@ class Strings:
         left = self._probes(asked, most).withColumn("block", F.explode(reach))
         right = self.grams.withColumn("block", block(F.col("at")))
         met = right.join(left, ["gram", "block"]).where((F.abs(F.col("at") - place) <= most) & (F.abs(F.col("n") - F.col("m")) <= most))
+        lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) <= most
+        met = met.where(lacks("held", "asks") & lacks("asks", "held"))
         return met.select("qid", "id").distinct()
 
     def verified(self, asked: DataFrame, most: int, exclude_self: bool = False) -> DataFrame:
