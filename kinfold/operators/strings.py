@@ -2,8 +2,11 @@
 
 Of t + 1 grams of a query that don't overlap, t edits leave one whole, and move it by
 t places at most.  So strings within t share one of those grams at nearly its place: an
-equi-join on gram and block of places finds them.  The rarest grams are taken.  What
-is found is verified after a bound from the numbers of each character.
+equi-join on gram and block of places finds them.  The rarest grams are taken.  A gram's
+row holds its string and three words of bits that tell the numbers of its characters
+up to three, so what is found is bounded and verified where it is found: only pairs
+within t leave the join.  Strings too long to stand beside each of their grams are
+verified by their ids after it.
 
 Data is (id, obj), queries are (qid, qobj), both with unique ids.  Rows with a null id
 or object take no part; an empty string is a string.
@@ -19,10 +22,13 @@ from kinfold.functions.metrics import edit, usable
 from kinfold.operators.knn import distances, top_k
 from kinfold.plans.staging import stage
 
-#: Classes by which the characters of a string are counted.
+#: Classes by which the characters of a string are counted, each up to three.
 CLASSES = 64
+LEVELS = ("once", "twice", "thrice")
+#: Characters of the longest string that stands beside each of its grams.
+CARRIED = 256
 #: The distances up to which a top-k search looks, one after the other.
-STEPS = (2, 4, 6, 8)
+STEPS = (2, 4, 6)
 
 
 def _characters(text: Column) -> Column:
@@ -30,55 +36,69 @@ def _characters(text: Column) -> Column:
 
 
 def _described(t: DataFrame, i: str, o: str) -> DataFrame:
-    """(own, text, n, bag, held, chars): the string's length, its characters, how many of them are of each class, and a bit for each class with any."""
+    """(own, text, n, levels, chars): the string's length, its characters, and for each of LEVELS a bit for each class that has as many."""
     t = t.select(F.col(i).alias("own"), F.col(o).alias("text"), _characters(F.col(o)).alias("chars"))
-    t = t.withColumn("kinds", F.transform("chars", lambda c: F.pmod(F.xxhash64(c), F.lit(CLASSES))))
-    count = lambda k: F.size(F.filter("kinds", lambda x: x == k))
-    bag = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), count)
-    held = F.aggregate("kinds", F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))))
-    return t.select("own", "text", F.size("chars").alias("n"), bag.alias("bag"), held.alias("held"), "chars")
+    no = F.lit(0).cast("long")
 
+    def count(seen: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(CLASSES)).cast("int"))
+        full, below = [], bit  # a class rises to a level if it stood at the one below
+        for level in LEVELS:
+            full.append(seen[level].bitwiseOR(below).alias(level))
+            below = seen[level].bitwiseAND(bit)
+        return F.struct(*full)
 
-def _grams(described: DataFrame, gram: int) -> DataFrame:
-    """(own, n, held, at, gram): every run of ``gram`` characters with its place."""
+    levels = F.aggregate("chars", F.struct(*[no.alias(level) for level in LEVELS]), count)
+    return t.select("own", "text", F.size("chars").alias("n"), levels.alias("levels"), "chars")
+
+
+def _grams(described: DataFrame, gram: int, *kept: str) -> DataFrame:
+    """(own, *kept, at, gram): every run of ``gram`` characters with its place."""
     starts = F.when(F.col("n") >= gram, F.sequence(F.lit(1), F.col("n") - (gram - 1)))
-    at = described.select("own", "n", "held", F.explode(F.transform(starts, lambda p: F.struct(p.alias("at"), F.array_join(F.slice("chars", p, gram), "").alias("gram")))).alias("g"))
-    return at.select("own", "n", "held", "g.at", "g.gram")
+    at = described.select("own", *kept, F.explode(F.transform(starts, lambda p: F.struct(p.alias("at"), F.array_join(F.slice("chars", p, gram), "").alias("gram")))).alias("g"))
+    return at.select("own", *kept, "g.at", "g.gram")
+
+
+def _lacks(a: str, b: str) -> Column:
+    """Characters that one string has and the other lacks, as far as their levels tell; an edit takes away or adds one at most."""
+    gone = [F.bit_count(F.col(f"{a}.{level}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{level}")))) for level in LEVELS]
+    return gone[0] + gone[1] + gone[2]
 
 
 class Strings:
     """Strings indexed by their grams of ``gram`` characters, as staged tables."""
 
-    def __init__(self, data: DataFrame, gram: int = 2) -> None:
-        self.gram = gram
+    def __init__(self, data: DataFrame, gram: int = 2, carried: int = CARRIED) -> None:
+        self.gram, self.carried = gram, carried
         self.data = usable(data, "id", "obj").select("id", "obj")
-        described = _described(self.data, "id", "obj")
-        self.rows = stage(described.select(F.col("own").alias("id"), F.col("text").alias("obj"), "n", "bag"), "strings")
-        self.grams = stage(_grams(described, gram).withColumnRenamed("own", "id"), "grams")
+        described = _described(self.data, "id", "obj").withColumn("obj", F.when(F.col("n") <= carried, F.col("text")))
+        self.grams = stage(_grams(described, gram, "obj", "n", "levels").withColumnRenamed("own", "id"), "grams")
         self.uses = stage(self.grams.groupBy("gram").agg(F.count("*").alias("uses")), "uses")
 
     def asked(self, queries: DataFrame) -> DataFrame:
-        """(qid, qobj, m, qbag, asks, grams): the queries with their grams in order of how few strings hold them; staged."""
+        """(qid, qobj, m, asks, grams): the queries with their grams in order of how few strings hold them; staged."""
         described = _described(usable(queries, "qid", "qobj"), "qid", "qobj")
         met = _grams(described, self.gram).join(self.uses, "gram", "left")
         ranked = met.groupBy("own").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "at", "gram"))).alias("grams"))
-        own = described.drop("chars").join(ranked, "own", "left").withColumnRenamed("held", "asks")
-        return stage(own.select(F.col("own").alias("qid"), F.col("text").alias("qobj"), F.col("n").alias("m"), F.col("bag").alias("qbag"), "asks", "grams"), "asked")
+        own = described.drop("chars").join(ranked, "own", "left")
+        return stage(own.select(F.col("own").alias("qid"), F.col("text").alias("qobj"), F.col("n").alias("m"), F.col("levels").alias("asks"), "grams"), "asked")
 
     def _probes(self, asked: DataFrame, most: int) -> DataFrame:
-        """(qid, m, asks, place, gram): of each query most + 1 rare grams that don't overlap; queries that are too short have none."""
+        """(qid, qobj, m, asks, place, gram): of each query most + 1 rare grams that don't overlap; queries that are too short have none."""
         apart = lambda taken, g: ~F.exists(taken, lambda t: F.abs(t["at"] - g["at"]) < self.gram)
         pick = lambda taken, g: F.when((F.size(taken) <= most) & apart(taken, g), F.array_append(taken, g)).otherwise(taken)
         taken = F.aggregate("grams", F.filter("grams", lambda g: F.lit(False)), pick)
-        found = asked.select("qid", "m", "asks", taken.alias("taken")).where(F.size("taken") == most + 1)
-        return found.select("qid", "m", "asks", F.explode("taken").alias("g")).select("qid", "m", "asks", F.col("g.at").alias("place"), "g.gram")
+        own = ["qid", "qobj", "m", "asks"]
+        found = asked.select(*own, taken.alias("taken")).where(F.size("taken") == most + 1)
+        found = found.withColumn("qobj", F.when(F.col("m") <= self.carried + most, F.col("qobj")))  # longer ones meet no carried string
+        return found.select(*own, F.explode("taken").alias("g")).select(*own, F.col("g.at").alias("place"), "g.gram")
 
     def candidates(self, asked: DataFrame, most: int) -> DataFrame:
-        """(qid, id): distinct pairs that share one of the chosen grams within ``most`` places and fit in length.
+        """(qid, id, obj, qobj): pairs that share one of the chosen grams within ``most`` places, once for each, and fit in length and characters.
 
         Places go by blocks of 2 * most + 1, of which a gram's reach touches two, so that
-        a gram most strings have meets those alone that have it there.  An edit takes away
-        one class of characters at most, which is asked before pairs are shuffled.
+        a gram most strings have meets those alone that have it there.  All is asked in
+        the join; nothing else moves.
         """
         width = 2 * most + 1
         block = lambda place: F.floor(place / width).cast("int")
@@ -87,21 +107,21 @@ class Strings:
         left = self._probes(asked, most).withColumn("block", F.explode(reach))
         right = self.grams.withColumn("block", block(F.col("at")))
         met = right.join(left, ["gram", "block"]).where((F.abs(F.col("at") - place) <= most) & (F.abs(F.col("n") - F.col("m")) <= most))
-        lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) <= most
-        met = met.where(lacks("held", "asks") & lacks("asks", "held"))
-        return met.select("qid", "id").distinct()
+        return met.where((_lacks("levels", "asks") <= most) & (_lacks("asks", "levels") <= most)).select("qid", "id", "obj", "qobj")
 
     def verified(self, asked: DataFrame, most: int, exclude_self: bool = False) -> DataFrame:
-        """(qid, id, dist), staged: the candidates whose characters' numbers allow ``most`` edits, with a null distance beyond it.
-
-        An edit changes the numbers of two characters by one, or of one and the length.
-        """
+        """(qid, id, dist), staged: all pairs within ``most`` edits of the queries that have most + 1 grams apart."""
         pairs = self.candidates(asked, most)
         pairs = pairs.where("id <> qid") if exclude_self else pairs
-        met = pairs.join(asked.select("qid", "qobj", "m", "qbag"), "qid").join(self.rows, "id")
-        apart = F.aggregate(F.zip_with("bag", "qbag", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
-        near = met.where(apart + F.abs(F.col("n") - F.col("m")) <= 2 * most)
-        return stage(near.select("qid", "id", edit(F.col("obj"), F.col("qobj"), most).alias("dist")), "verified")
+        dist = edit(F.col("obj"), F.col("qobj"), most)
+        short = F.col("obj").isNotNull()
+        met = stage(pairs.where(~short | dist.isNotNull()).select("qid", "id", dist.alias("dist")), "met")
+        found = met.where("dist IS NOT NULL").distinct()
+        long = met.where("dist IS NULL").select("qid", "id").distinct()
+        if not long.isEmpty():
+            texts = long.join(asked.select("qid", "qobj"), "qid").join(self.data, "id")
+            found = found.unionByName(texts.select("qid", "id", edit(F.col("obj"), F.col("qobj"), most).alias("dist")).where("dist IS NOT NULL"))
+        return stage(found, "verified")
 
     def _uncovered(self, asked: DataFrame, most: int) -> DataFrame:
         """(qid, qobj) of the queries without most + 1 grams apart."""
@@ -110,7 +130,7 @@ class Strings:
     def range_search(self, queries: DataFrame, most: int, exclude_self: bool = False) -> DataFrame:
         """(qid, id, dist) within ``most`` edits.  Queries too short for most + 1 grams apart meet every string."""
         asked = self.asked(queries)
-        found = self.verified(asked, most, exclude_self).where("dist IS NOT NULL")
+        found = self.verified(asked, most, exclude_self)
         short = self._uncovered(asked, most)
         if short.isEmpty():
             return found
@@ -128,7 +148,7 @@ class Strings:
         for most in steps:
             if left.isEmpty():
                 break
-            near = self.verified(left, most).where("dist IS NOT NULL")
+            near = self.verified(left, most)
             met = near.join(copies, "id").groupBy("qid").agg(F.sum("copies").alias("n"))
             done = stage(met.where(F.col("n") >= k).select("qid"), "done")
             parts.append(near.join(done, "qid", "left_semi"))

@@ -243,12 +243,14 @@ def range_edit(spark, sf):
 
 
 def edit_candidates(spark, sf):
-    """How many pairs the index has verified for range_edit, beside those within the distance: none is lost, few others come."""
+    """How often the index has compared two strings for range_edit, beside the pairs within the distance: none is lost, few others come."""
     index, asked = _distinct_urls(spark, sf)
-    every = index.rows.count() * asked.count()
-    tried = index.verified(index.asked(asked), NEAR_EDITS)
-    return tried.agg(
-        F.count("dist").alias("within"), (F.count("*") >= F.count("dist")).alias("sound"), (F.count("*") <= every / 10).alias("few")
+    every = index.data.count() * asked.count()
+    queries = index.asked(asked)
+    tried = index.candidates(queries, NEAR_EDITS).agg(F.count("*").alias("tried"))
+    within = index.verified(queries, NEAR_EDITS).agg(F.count("*").alias("within"))
+    return within.crossJoin(tried).select(  # a row each
+        "within", (F.col("tried") >= F.col("within")).alias("sound"), (F.col("tried") <= every / 10).alias("few")
     )
 
 
