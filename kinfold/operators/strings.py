@@ -84,17 +84,24 @@ class Strings:
         return stage(own.select(F.col("own").alias("qid"), F.col("text").alias("qobj"), F.col("n").alias("m"), F.col("levels").alias("asks"), "grams"), "asked")
 
     def _probes(self, asked: DataFrame, most: int) -> DataFrame:
-        """(qid, qobj, m, asks, place, gram): of each query most + 1 rare grams that don't overlap; queries that are too short have none."""
+        """(qid, qobj, m, asks, place, gram, before): of each query most + 1 rare grams that don't overlap, and those before each.
+
+        Queries that are too short have none.
+        """
         apart = lambda taken, g: ~F.exists(taken, lambda t: F.abs(t["at"] - g["at"]) < self.gram)
         pick = lambda taken, g: F.when((F.size(taken) <= most) & apart(taken, g), F.array_append(taken, g)).otherwise(taken)
         taken = F.aggregate("grams", F.filter("grams", lambda g: F.lit(False)), pick)
         own = ["qid", "qobj", "m", "asks"]
         found = asked.select(*own, taken.alias("taken")).where(F.size("taken") == most + 1)
         found = found.withColumn("qobj", F.when(F.col("m") <= self.carried + most, F.col("qobj")))  # longer ones meet no carried string
-        return found.select(*own, F.explode("taken").alias("g")).select(*own, F.col("g.at").alias("place"), "g.gram")
+        found = found.select(*own, "taken", F.posexplode("taken").alias("nth", "g"))
+        return found.select(*own, F.col("g.at").alias("place"), "g.gram", F.slice("taken", F.lit(1), F.col("nth")).alias("before"))
 
     def candidates(self, asked: DataFrame, most: int) -> DataFrame:
-        """(qid, id, obj, qobj): pairs that share one of the chosen grams within ``most`` places, once for each, and fit in length and characters.
+        """(qid, id, obj, qobj): pairs that share one of the chosen grams within ``most`` places and fit in length and characters.
+
+        A pair is found at the first of its grams and places, and so once, where the
+        string is carried; else obj is null and it may be found again.
 
         Places go by blocks of 2 * most + 1, of which a gram's reach touches two, so that
         a gram most strings have meets those alone that have it there.  All is asked in
@@ -107,20 +114,24 @@ class Strings:
         left = self._probes(asked, most).withColumn("block", F.explode(reach))
         right = self.grams.withColumn("block", block(F.col("at")))
         met = right.join(left, ["gram", "block"]).where((F.abs(F.col("at") - place) <= most) & (F.abs(F.col("n") - F.col("m")) <= most))
-        return met.where((_lacks("levels", "asks") <= most) & (_lacks("asks", "levels") <= most)).select("qid", "id", "obj", "qobj")
+        met = met.where((_lacks("levels", "asks") <= most) & (_lacks("asks", "levels") <= most))
+        stands = lambda gram, at: F.call_function("locate", gram, F.col("obj"), F.greatest(F.lit(1), at - most))
+        again = F.exists("before", lambda g: stands(g["gram"], g["at"]).between(1, g["at"] + most))
+        first = F.col("obj").isNull() | ((stands(F.col("gram"), place) == F.col("at")) & ~again)
+        return met.where(first).select("qid", "id", "obj", "qobj")
 
     def verified(self, asked: DataFrame, most: int, exclude_self: bool = False) -> DataFrame:
         """(qid, id, dist), staged: all pairs within ``most`` edits of the queries that have most + 1 grams apart."""
         pairs = self.candidates(asked, most)
         pairs = pairs.where("id <> qid") if exclude_self else pairs
-        dist = edit(F.col("obj"), F.col("qobj"), most)
-        short = F.col("obj").isNotNull()
-        met = stage(pairs.where(~short | dist.isNotNull()).select("qid", "id", dist.alias("dist")), "met")
-        found = met.where("dist IS NOT NULL").distinct()
+        near = F.levenshtein("obj", "qobj", most) >= 0  # null of those not carried
+        met = stage(pairs.where(F.coalesce(near, F.lit(True))).select("qid", "id", edit(F.col("obj"), F.col("qobj"), most).alias("dist")), "met")
+        found = met.where("dist IS NOT NULL")
         long = met.where("dist IS NULL").select("qid", "id").distinct()
-        if not long.isEmpty():
-            texts = long.join(asked.select("qid", "qobj"), "qid").join(self.data, "id")
-            found = found.unionByName(texts.select("qid", "id", edit(F.col("obj"), F.col("qobj"), most).alias("dist")).where("dist IS NOT NULL"))
+        if long.isEmpty():
+            return met
+        texts = long.join(asked.select("qid", "qobj"), "qid").join(self.data, "id")
+        found = found.unionByName(texts.select("qid", "id", edit(F.col("obj"), F.col("qobj"), most).alias("dist")).where("dist IS NOT NULL"))
         return stage(found, "verified")
 
     def _uncovered(self, asked: DataFrame, most: int) -> DataFrame:
