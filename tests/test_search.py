@@ -358,3 +358,15 @@ def test_compact_after_a_crash(spark, tmp_path):
     assert sorted_rows(pruned.knn_pruned(found, cells, ask(data), 3)) == sorted_rows(knn.knn_exact(data, ask(data), 3))
     with pytest.raises(ValueError, match="published"):
         updates.compact(assigned, data, 5, 10, path, 1)
+
+
+def test_split_sees_every_object_of_a_cell(spark, monkeypatch):
+    """The farthest object of a cell parts it, whatever a sample of the cell would hold; ties go to the smaller id."""
+    monkeypatch.setattr(pivots, "MOST_SAMPLE", 8)
+    rows = [(i, [float(i % 7), 0.0]) for i in range(200)] + [(300, [50.0, 0.0]), (299, [50.0, 0.0]), (400, [20.0, 0.0])]
+    data = spark.createDataFrame(rows, "id long, obj array<double>").repartition(3)
+    chosen = pivots.pivots_fft(data, 1)
+    assigned = pivots.assign_cells(data, chosen)
+    _, cells = pivots.split_cells(assigned, pivots.rings(assigned, chosen), 50, most=3, sample=None)
+    got = sorted((r["cell"], r["pobj"][0], r["cnt"]) for r in cells.collect())
+    assert got == [(1024, 0.0, 200), (1025, 50.0, 2), (1026, 20.0, 1)]
