@@ -42,7 +42,7 @@ def knn_arrived(assigned: DataFrame, cells: DataFrame, path: str, queries: DataF
     """Top-k over the index, the arrivals that a stream has admitted to it so far, and those in its buffer.
 
     Admitted arrivals lie inside the rings, so only the counts are taken anew; the
-    buffer is scanned whole.
+    buffer is searched as knn_buffered() does.
     """
     spark = assigned.sparkSession
     grown = stage(assigned.unionByName(arrived(spark, path, "admitted").select(*assigned.columns)), "grown")
