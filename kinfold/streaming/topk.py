@@ -13,7 +13,7 @@ from kinfold.functions.metrics import Metric, l2, usable
 from kinfold.operators.knn import distances, knn_exact, l2_in_blocks, top_k
 from kinfold.operators.updates import knn_dynamic
 from kinfold.plans.pairs import BROADCAST_QUERIES
-from kinfold.plans.pruned import knn_pruned
+from kinfold.plans.pruned import knn_pruned, knn_searched
 from kinfold.plans.staging import delete_path, exists, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -97,8 +97,11 @@ def settled_topk(stream: DataFrame, queries: DataFrame, k: int, path: str, check
 
     Batches are written under ``path`` by their number, so one that is run again
     adds nothing.  The state store has to be RocksDB; it is set while the stream starts.
+    More queries than a task holds keep their lists as tables instead of state.
     """
     spark = stream.sparkSession
+    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return _settled_lists(stream, queries, k, path, checkpoint, metric)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
 
@@ -118,6 +121,28 @@ def settled_topk(stream: DataFrame, queries: DataFrame, k: int, path: str, check
     return lists.join(last, ["qid", "batch"]).drop("batch")
 
 
+def _settled_lists(stream: DataFrame, queries: DataFrame, k: int, path: str, checkpoint: str, metric: str | Metric) -> DataFrame:
+    """The same for any number of queries: a batch's k nearest, searched as a table, go into the lists of the batch before.
+
+    The lists are ``path``/lists by the batch's number, two at most; a batch that is run
+    again overwrites its own from those before it.
+    """
+    asked = usable(queries, "qid", "qobj").select("qid", "qobj")
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        found = knn_searched(stage(batch.select("id", "obj"), "batch"), asked, k, metric)
+        former = f"{path}/lists/batch={number - 1}"
+        if exists(spark, former):
+            both = spark.read.parquet(former).select("qid", "id", "dist").unionByName(found.select("qid", "id", "dist"))
+            found = top_k(both, k)
+        found.write.mode("overwrite").parquet(f"{path}/lists/batch={number}")
+        delete_path(spark, f"{path}/lists/batch={number - 2}")
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return lists(stream.sparkSession, path)
+
+
 def _changed(changes: DataFrame, batch: DataFrame) -> DataFrame:
     """(id, op, obj): of the batch's ids the last change of all so far, by (ts, seq); an older one may come late."""
     ids = batch.select("id").distinct()
@@ -155,7 +180,7 @@ def stream_lists(
         touched = stage(before.join(last.select("id"), "id", "left_semi").select("qid").distinct(), "touched")
         stale = asked.join(touched, "qid", "left_semi")
         still = asked.join(touched, "qid", "left_anti")
-        new = knn_exact(last.where("op = 'insert'").select("id", "obj"), still, k, metric, exclude_self)
+        new = knn_searched(last.where("op = 'insert'").select("id", "obj"), still, k, metric, exclude_self)
         kept = before.join(touched, "qid", "left_anti")
         found = top_k(kept.select("qid", "id", "dist").unionByName(new.select("qid", "id", "dist")), k)
         if not touched.isEmpty():
