@@ -85,3 +85,29 @@ def test_placing_among_many_parts(spark, points, monkeypatch):
     want = rows(updates.place(points, cells, chosen).select("id", "cell", "pdist", F.col("pobj")[0]))
     monkeypatch.setattr(updates, "MOST_PARTS", 1)
     assert rows(updates.place(points, cells, chosen).select("id", "cell", "pdist", F.col("pobj")[0])) == want
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_fingerprints_by_products(spark, monkeypatch, exclude):
+    rng = random.Random(5)
+    data = [(i, [rng.getrandbits(64) - (1 << 63), rng.getrandbits(3)]) for i in range(150)] + [(200 + i, [0, 0]) for i in range(12)] + [(300, None)]
+    data = spark.createDataFrame(data, "id long, obj array<long>").repartition(3)
+    by_pairs = lambda a, b: knn.METRICS["tanimoto_bits"](a, b)
+    want = rows(knn.knn_exact(data, asked(data), 7, by_pairs, exclude_self=exclude))
+    assert rows(knn.knn_exact(data, asked(data), 7, "tanimoto_bits", exclude_self=exclude)) == want
+    monkeypatch.setattr(knn, "BROADCAST_QUERIES", 20)
+    found = knn.knn_exact(data, asked(data), 7, "tanimoto_bits", exclude_self=exclude)
+    assert rows(found) == want
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("CartesianProduct", "NestedLoop"))
+
+
+def test_edit_search_by_an_index_beyond_all_pairs(spark, monkeypatch):
+    from kinfold.operators import strings
+
+    rng = random.Random(6)
+    data = [(i, "".join(rng.choice("abcd") for _ in range(rng.randrange(4, 14)))) for i in range(200)]
+    data = spark.createDataFrame(data, "id long, obj string")
+    want = rows(strings.knn_edit_searched(data, asked(data), 7, exclude_self=True))
+    monkeypatch.setattr(strings, "ALL_PAIRS", 0)
+    monkeypatch.setattr(strings, "knn_exact", None)
+    assert rows(strings.knn_edit_searched(data, asked(data), 7, exclude_self=True)) == want
