@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import edit, usable
-from kinfold.operators.knn import distances, top_k
+from kinfold.operators.knn import distances, knn_exact, top_k
 from kinfold.plans.staging import stage
 
 #: Classes by which the characters of a string are counted, each up to three.
@@ -29,6 +29,8 @@ LEVELS = ("once", "twice", "thrice")
 CARRIED = 256
 #: The distances up to which a top-k search looks, one after the other.
 STEPS = (2, 4, 6)
+#: Pairs of strings up to which a search without an index compares all.
+ALL_PAIRS = 1 << 24
 
 
 def _characters(text: Column) -> Column:
@@ -172,6 +174,13 @@ class Strings:
         return found
 
 
+def knn_edit_searched(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """The result of knn_edit(): by brute force up to ALL_PAIRS pairs, else over an index of the grams."""
+    if data.count() * queries.count() <= ALL_PAIRS:
+        return knn_exact(data, queries, k, "edit", exclude_self)
+    return knn_edit(data, queries, k, exclude_self=exclude_self)
+
+
 def knn_edit(data: DataFrame, queries: DataFrame, k: int, steps: tuple[int, ...] = STEPS, gram: int = 2, exclude_self: bool = False) -> DataFrame:
     """(qid, rank, id, dist, exact): the k nearest of each query by edit distance, ties to the smaller id.
 
