@@ -100,6 +100,14 @@ def test_blocks_equal_broadcast(spark):
     assert sorted(one.collect()) == sorted(other.collect()) and one.count() == 180
 
 
+def test_many_queries_are_not_copied_for_few_cells(spark):
+    cells = frame(spark, "l2", objects("l2", 4, 4))
+    asked = frame(spark, "l2", objects("l2", 60, 5)).select(F.col("id").alias("qid"), F.col("obj").alias("qobj"))
+    met = pairs.against_all(cells, asked, most=20, block=5)
+    assert sorted(met.select("id", "qid").collect()) == [(i, q) for i in range(4) for q in range(60)]
+    assert "Generate" not in met._jdf.queryExecution().toString()  # no query stands in every slice
+
+
 @pytest.mark.parametrize("metric", KINDS)
 def test_metric_axioms(spark, metric):
     rows = objects(metric, 14, 9)
