@@ -14,7 +14,7 @@ or object take no part; an empty string is a string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,9 +122,13 @@ class Strings:
         first = F.col("obj").isNull() | ((stands(F.col("gram"), place) == F.col("at")) & ~again)
         return met.where(first).select("qid", "id", "obj", "qobj")
 
-    def verified(self, asked: DataFrame, most: int, exclude_self: bool = False) -> DataFrame:
-        """(qid, id, dist), staged: all pairs within ``most`` edits of the queries that have most + 1 grams apart."""
+    def verified(self, asked: DataFrame, most: int, exclude_self: bool = False, seen: Observation | None = None) -> DataFrame:
+        """(qid, id, dist), staged: all pairs within ``most`` edits of the queries that have most + 1 grams apart.
+
+        ``seen`` observes, in the same pass, the number of candidates as ``tried``.
+        """
         pairs = self.candidates(asked, most)
+        pairs = pairs if seen is None else pairs.observe(seen, F.count("*").alias("tried"))
         pairs = pairs.where("id <> qid") if exclude_self else pairs
         near = F.levenshtein("obj", "qobj", most) >= 0  # null of those not carried
         met = stage(pairs.where(F.coalesce(near, F.lit(True))).select("qid", "id", edit(F.col("obj"), F.col("qobj"), most).alias("dist")), "met")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from kinfold.operators import strings
@@ -111,3 +112,13 @@ def test_edges(spark):
     long = [(0, "ab" * 4000 + "x"), (4, "ab" * 4000 + "y"), (5, "cd" * 4000)]
     data, asked = both(spark, long)
     assert sorted(tuple(r) for r in strings.Strings(data).range_search(asked, 2, exclude_self=True).select("qid", "id", "dist").collect()) == [(0, 4, 1.0), (4, 0, 1.0)]
+
+
+def test_candidates_are_counted_where_they_are_verified(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(14))) for i in range(80)]
+    index = strings.Strings(spark.createDataFrame(rows, "id long, obj string"))
+    asked = index.asked(spark.createDataFrame(rows[::4], "qid long, qobj string"))
+    seen = Observation()
+    within = index.verified(asked, 3, seen=seen).count()
+    assert 0 < within <= seen.get["tried"] == index.candidates(asked, 3).count()
