@@ -10,26 +10,30 @@ any number, and a task's memory stays bounded.  No bin is passed over at any lev
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from kinfold.llm.words import small_batches
 from kinfold.plans.staging import stage
 
 #: Chunks that a worker remembers.
 CACHE = 700_000
 
-#: White space next to white space, or signs that only Python takes for it.
-_TOUCHING = re.compile(r"\s\s|[\x1c-\x1f]")
-_CHUNK = re.compile(r" ?\S+|\s")
+#: Bytes of text that are read together.
+BATCH = 8 << 20
+#: White space next to white space, or signs that only Python takes for it, as RE2 writes it.
+_TOUCHING = r"[\s\x0b\x{85}\p{Z}\x1c-\x1f]{2}|[\x1c-\x1f]"
+#: Parts chunks; no text that is parted holds it.
+_MARK = "\x1c"
 
 
 class ByteEncoder:
@@ -38,21 +42,22 @@ class ByteEncoder:
     The byte-level pattern starts a new piece at every space before anything else
     and keeps a lone line break apart, so a text is the sum of such chunks, and a
     run of letters with a space before it or none is one piece whatever follows; the
-    encoder remembers their ids, as most words come again.  Texts in which white space
-    touches white space, or which hold one of the file's special tokens, go through
-    the tokenizer whole.
+    encoder remembers their ids, as most words come again.  Chunks are cut and numbered
+    by Arrow, so each distinct one of a batch is looked up once, and ids are copied by
+    number.  Texts in which white space touches white space, or which hold one of the
+    file's special tokens, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            special = [re.escape(x["content"]) for x in json.load(f).get("added_tokens", [])]
-        self.apart = re.compile("|".join([_TOUCHING.pattern, *special]))
+            special = [rf"\Q{x['content']}\E" for x in json.load(f).get("added_tokens", [])]
+        self.apart = "|".join([_TOUCHING, *special])
         vocabulary = self.tokenizer.get_vocab()
         #: Which tokens begin with a space, in the byte alphabet of such files.
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,7 +72,7 @@ class ByteEncoder:
         raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
         return [raw[lo:hi] for lo, hi in zip((4 * at).tolist(), ends)]
 
-    def _learn(self, chunks: set[str]) -> list[str]:
+    def _learn(self, chunks: list[str]) -> list[str]:
         """Ids of new chunks: letters, and the signs after them, apart; anything else as it is.  Returns what is new."""
         known, parts, new = self.known, [], set()
         for chunk in chunks:
@@ -81,28 +86,46 @@ class ByteEncoder:
                     new.update(x for x in (word, rest) if x not in known)
                     continue
             new.add(chunk)
-        spaced = [x for x in new if x[0] == " " and len(x) > 1]
+        # no other white space in or after it
+        spaced = [x for x in new if x[0] == " " and (x[1:].isalpha() or len(x) > 1 and x[1:] == x.strip() and len(x.split()) == 1)]
         for lo in range(0, len(spaced), 4096):
             own = spaced[lo : lo + 4096]
             known.update(zip(own, self._run(own)))
-        other = [x for x in new if not (x[0] == " " and len(x) > 1)]
+        other = list(new.difference(spaced))
         known.update(zip(other, self.whole(other)))
         for chunk, word, rest in parts:
             known[chunk] = known[word] + known[rest]
         return [*new, *(chunk for chunk, _, _ in parts)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        apart = [i for i, x in enumerate(texts) if self.apart.search(x)]
-        whole = dict(zip(apart, self.whole([texts[i] for i in apart])))
-        chunks = [() if i in whole else _CHUNK.findall(x) for i, x in enumerate(texts)]
-        room = len(self.known) < CACHE
-        new = self._learn(set().union(*chunks) - self.known.keys())
-        get = self.known.__getitem__
-        out = [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
+    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids before each text and in all) of texts that are sums of chunks."""
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
+        cut = pc.split_pattern(marked, _MARK)
+        dealt = cut.flatten().dictionary_encode()
+        chunks, at = dealt.dictionary.to_pylist(), dealt.indices.to_numpy()
+        room, known = len(self.known) < CACHE, self.known
+        new = self._learn([x for x in chunks if x not in known])
+        found = [known[x] for x in chunks]
         if not room:
             for chunk in new:
-                del self.known[chunk]
-        return out
+                del known[chunk]
+        held = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = (np.cumsum(sizes) - sizes)[at]
+        many = sizes[at]
+        ends = np.append(0, np.cumsum(many))
+        ids = held[np.arange(ends[-1]) + np.repeat(first - ends[:-1], many)]
+        return ids, ends[np.append(0, np.cumsum(cut.value_lengths().to_numpy()))]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.cast(pa.large_string()).fill_null("")
+        apart = pc.match_substring_regex(texts, self.apart)
+        whole = iter(self.whole(texts.filter(apart).to_pylist()))
+        ids, ends = self._by_chunks(texts.filter(pc.invert(apart)))
+        raw = ids.tobytes()
+        own = (raw[4 * lo : 4 * hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()))
+        return [next(whole) if x else next(own) for x in apart.to_pylist()]
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -183,17 +206,14 @@ def _local(path: str, capacity: int, nearly: float, chunk: int) -> Callable:
             bins = best_fit([x[3] for x in items], capacity)
             return [[items[i] for i in b] for b in bins]
 
-        for batch in batches:
-            id_type = batch.column("__id").type
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [x or "" for x in part.column("__text").to_pylist()]
-                for doc, ids in zip(part.column("__id").to_pylist(), tokens.encode(texts)):
-                    items += [(doc, *x) for x in cut_pieces(ids + b"\0\0\0\0", capacity)]
-                if len(items) >= chunk:
-                    bins = packed()
-                    yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, id_type, made)
-                    made, items = made + len(bins), []
+        for part in small_batches(batches, "__text", BATCH):
+            id_type = part.column("__id").type
+            for doc, ids in zip(part.column("__id").to_pylist(), tokens.encode(part.column("__text"))):
+                items += [(doc, *x) for x in cut_pieces(ids + b"\0\0\0\0", capacity)]
+            if len(items) >= chunk:
+                bins = packed()
+                yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, id_type, made)
+                made, items = made + len(bins), []
         if items:
             bins = packed()
             yield _emit(bins, [sum(x[3] for x in b) for b in bins], 0, capacity, nearly, id_type, made)

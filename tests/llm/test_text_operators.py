@@ -352,6 +352,23 @@ def test_encoder_equals_tokenizer(monkeypatch, texts):
     assert [x for i in range(0, len(rows), 256) for x in e.encode(rows[i : i + 256])] == want
 
 
+def test_encoder_looks_up_a_chunk_once_a_batch():
+    class Counting(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            Counting.looked += 1
+            return super().__getitem__(key)
+
+    e = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e.known = Counting(e.known)
+    rows = ["the cat and the cat\nand the cat"] * 500 + ["a  b", None, ""]
+    assert e.encode(pa.array(rows)) == e.whole([x or "" for x in rows])
+    assert Counting.looked < 20
+    for few in ([], [""], [None], ["a  b"]):
+        assert e.encode(pa.array(few, pa.string())) == e.whole([x or "" for x in few])
+
+
 @pytest.mark.parametrize("capacity,most", [(2048, 100_000), (64, 40)])
 def test_packing(docs, texts, capacity, most):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
