@@ -7,8 +7,9 @@ context, and in the end its share of all words.
 It is computed by joins.  For every order there is a count table, one row per
 n-gram, made by a grouped sum that is combined in the tasks first; joined to the
 table of the order below it gives what the n-gram adds to the score that its last
-word would have without it.  The documents' exploded n-grams, one row per document
-and distinct n-gram, are joined to that table by hash and summed per document.  As
+word would have without it.  The documents' exploded n-grams, one row per batch of
+documents and distinct n-gram with the documents that hold it, are joined to that
+table by hash and summed per document, which a 64-bit hash of its row stands for.  As
 scores are logarithms, the sum over orders is the backed-off score: an n-gram that
 is not frequent enough has no row and adds nothing.
 
@@ -28,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.words import grams, mix64, small_batches, text_words
+from kinfold.llm.words import grams, small_batches, text_words
 from kinfold.plans.staging import stage, unstage
 
 #: Bytes of text whose n-grams are combined before they leave a task's Python worker.
 BATCH = 16 << 20
+#: A row of documents that holds an n-gram: the row's key, and how often.
+ENTRY = np.dtype([("key", "<i8"), ("times", "<i4")])
+#: Entries whose sums are combined before they leave a task's Python worker.
+COMBINED = 1 << 20
 
 
 def _hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,44 +91,33 @@ def gram_counts(docs: DataFrame, text: str, n: int, part: int = 0, passes: int =
     )
 
 
-def _signatures(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of every text's words in their order."""
-    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
-    run = np.append(np.uint64(0), np.cumsum(mix64(words ^ mix64(place.astype(np.uint64) + np.uint64(1))), dtype=np.uint64))
-    return mix64(run[starts[1:]] - run[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
-
-
 def document_grams(docs: DataFrame, n: int, part: int = 0, passes: int = 1) -> DataFrame:
-    """(__id, __sig, gram, times): the distinct n-grams of every row of ``docs`` (__id, __text)."""
-    id_type = docs.schema["__id"].dataType.simpleString()
+    """(gram, docs): the distinct n-grams of each batch of rows of ``docs`` (__key, __text), with ENTRY of each row that holds it."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text", BATCH // 4):
+        for batch in small_batches(batches, "__text", BATCH):
             words, starts = text_words(batch.column("__text"))
             hashes, owner = _hashes(words, starts, n)
             own = _chosen(hashes, part, passes)
+            own = own[np.argsort(hashes[own], kind="stable")]  # rows stay in order
             hashes, owner = hashes[own], owner[own]
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                hashes[lo:hi].sort()
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
             at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(hashes)))
-            rows = pa.array(owner[at])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("__id").take(rows), pa.array(_signatures(words, starts)[owner[at]]),
-                    pa.array(hashes[at].view(np.int64)), pa.array(times.astype(np.int32)),
-                ],
-                names=["__id", "__sig", "gram", "times"],
-            )
+            entries = np.empty(len(at), ENTRY)
+            entries["key"] = batch.column("__key").to_numpy()[owner[at]]
+            entries["times"] = np.diff(np.append(at, len(hashes)))
+            hashes = hashes[at]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+            ends = np.append(first, len(at)).astype(np.int32) * ENTRY.itemsize
+            held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), held], names=["gram", "docs"])
 
-    return docs.mapInArrow(explode, f"__id {id_type}, __sig long, gram long, times int")
+    return docs.select("__key", "__text").mapInArrow(explode, "gram long, docs binary")
 
 
 def _document_rows(docs: DataFrame, order: int, backoff: float) -> DataFrame:
-    """(__id, __sig, n_words, base): every row, with what its words have at least for their contexts."""
+    """(__id, __key, n_words, base): every row, with what its words have at least for their contexts."""
     id_type = docs.schema["__id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +126,11 @@ def _document_rows(docs: DataFrame, order: int, backoff: float) -> DataFrame:
             size = np.diff(starts)
             steps = sum(np.maximum(size - k, 0) for k in range(1, order)) if order > 1 else np.zeros(len(size))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array(_signatures(words, starts)), pa.array(size), pa.array(steps * math.log(backoff))],
-                names=["__id", "__sig", "n_words", "base"],
+                [batch.column("__id"), batch.column("__key"), pa.array(size), pa.array(steps * math.log(backoff))],
+                names=["__id", "__key", "n_words", "base"],
             )
 
-    return docs.mapInArrow(rows, f"__id {id_type}, __sig long, n_words long, base double")
+    return docs.mapInArrow(rows, f"__id {id_type}, __key long, n_words long, base double")
 
 
 def backoff_scores(
@@ -157,6 +151,8 @@ def backoff_scores(
     side of a join, and has to give the same rows each time.
     """
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    each = ("__id", "__text")
+    texts = texts.withColumn("__key", F.xxhash64(*each, *[F.col(c).isNull() for c in each]))  # rows that are equal share it
     rows = stage(_document_rows(texts, order, backoff), "rows")
     table = stage(gram_counts(texts, "__text", 1), "grams-1")
     total = table.agg(F.sum("n")).first()[0] or 0
@@ -171,7 +167,7 @@ def backoff_scores(
             counts = stage(gram_counts(texts, "__text", n, part, passes).where(F.col("n") >= least), f"grams-{n}")
             score = F.log(F.col("n") / F.col("before"))
             known = stage(
-                counts.join(before, "prefix").join(lower, "suffix")
+                counts.join(before.hint("shuffle_hash"), "prefix").join(lower.hint("shuffle_hash"), "suffix")
                 .select("gram", "ctx", score.alias("score"), (score - F.lit(math.log(backoff)) - F.col("lower")).alias("adds")),
                 f"scores-{n}",
             )
@@ -182,19 +178,40 @@ def backoff_scores(
         for other in parts[1:]:
             known = known.unionByName(other)
     zero = F.lit(0.0)
-    every = rows.select("__id", "__sig", zero.alias("sum"), F.lit(1).cast("long").alias("copies"))
+    every = rows.select("__key", zero.alias("sum"), F.lit(1).cast("long").alias("copies"))
     for part in sums:
         every = every.unionByName(part.withColumn("copies", F.lit(0).cast("long")))
     # equal rows share their n-grams' sum
-    each = every.groupBy("__id", "__sig").agg((F.sum("sum") / F.sum("copies")).alias("sum"))
-    each = each.select(F.col("__id").alias("__i"), F.col("__sig").alias("__s"), "sum")
-    joined = rows.join(each, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__sig") == F.col("__s")))
+    joined = rows.join(every.groupBy("__key").agg((F.sum("sum") / F.sum("copies")).alias("sum")), "__key")
     return joined.select(F.col("__id").alias(id_col), "n_words", (F.col("base") + F.col("sum")).alias("log_score")).withColumn(
         "mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     )
 
 
 def _summed(exploded: DataFrame, known: DataFrame) -> DataFrame:
-    """(__id, __sig, sum) of what the n-grams of each document add."""
-    met = exploded.join(known.select("gram", "adds"), "gram")
-    return stage(met.groupBy("__id", "__sig").agg(F.sum(F.col("times") * F.col("adds")).alias("sum")), "sums")
+    """(__key, sum) of what the n-grams of each row add."""
+
+    def combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, adds = (np.concatenate(x) for x in zip(*held))
+        found, at = np.unique(keys, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, adds, len(found)))], names=["__key", "sum"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            docs = batch.column("docs")
+            if not len(docs):
+                continue
+            ends = np.frombuffer(docs.buffers()[1], np.int32, len(docs) + 1, docs.offset * 4)
+            entries = np.frombuffer(docs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(ENTRY)
+            adds = np.repeat(batch.column("adds").to_numpy(), np.diff(ends) // ENTRY.itemsize)
+            held.append((entries["key"].copy(), entries["times"] * adds))
+            n += len(entries)
+            if n >= COMBINED:
+                yield combined(held)
+                held, n = [], 0
+        if held:
+            yield combined(held)
+
+    met = exploded.join(known.select("gram", "adds").hint("shuffle_hash"), "gram").select("docs", "adds")
+    return stage(met.mapInArrow(add_up, "__key long, sum double").groupBy("__key").agg(F.sum("sum").alias("sum")), "sums")

@@ -688,3 +688,13 @@ def test_backoff_of_hot_pairs_and_repeated_rows(spark):
 
 def test_backoff_empty(empty):
     assert lm.backoff_scores(empty).count() == 0
+
+
+def test_backoff_ships_a_gram_once_a_batch(spark):
+    df = spark.range(40).select(F.col("id").alias("__key"), F.lit("a b c a b").alias("__text")).coalesce(1)
+    rows = lm.document_grams(df, 2).collect()
+    assert len(rows) == 3  # not 120
+    held = [np.frombuffer(r["docs"], lm.ENTRY) for r in rows]
+    assert all(sorted(x["key"]) == list(range(40)) for x in held) and sorted(x["times"].sum() for x in held) == [40, 40, 80]
+    both = [x for part in range(2) for x in lm.document_grams(df, 2, part, 2).collect()]
+    assert sorted(map(tuple, both)) == sorted(map(tuple, rows))
