@@ -33,7 +33,9 @@ from kinfold.llm.words import grams, small_batches, text_words
 from kinfold.plans.staging import stage, unstage
 
 #: Bytes of text whose n-grams are combined before they leave a task's Python worker.
-BATCH = 16 << 20
+BATCH = 8 << 20
+#: Rows of a batch's n-grams that leave it at once; the JVM holds an Arrow batch whole, outside its heap.
+SHIPPED = 1 << 16
 #: A row of documents that holds an n-gram: the row's key, and how often.
 ENTRY = np.dtype([("key", "<i8"), ("times", "<i4")])
 #: Entries whose sums are combined before they leave a task's Python worker.
@@ -54,6 +56,11 @@ def _chosen(hashes: np.ndarray, part: int, passes: int) -> np.ndarray:
     return np.flatnonzero((hashes >> np.uint64(40)) % np.uint64(passes) == np.uint64(part))
 
 
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, batch.num_rows, SHIPPED):
+        yield batch.slice(lo, SHIPPED)
+
+
 def gram_counts(docs: DataFrame, text: str, n: int, part: int = 0, passes: int = 1) -> DataFrame:
     """(gram, prefix, suffix, n, ctx): occurrences of every n-gram, and those with a word after them.
 
@@ -67,22 +74,27 @@ def gram_counts(docs: DataFrame, text: str, n: int, part: int = 0, passes: int =
             follows = np.ones(len(hashes), bool)
             follows[np.flatnonzero(owner[1:] != owner[:-1])] = False
             follows[-1:] = False
+            own = _chosen(hashes, part, passes)
+            hashes, follows = hashes[own], follows[own]
+            found, first, at, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            ctx = np.bincount(at, follows, len(found)).astype(np.int64)
+            first, owner = own[first], owner[own[first]]
+            del hashes, follows, own, at  # a worker's memory is the executor's
             if n > 1:
                 # of the shorter n-grams each text has one more
                 shorter, _ = _hashes(words, starts, n - 1)
-                at = np.arange(len(hashes)) + np.searchsorted(np.flatnonzero(np.diff(starts) >= n - 1), owner)
+                at = first + np.searchsorted(np.flatnonzero(np.diff(starts) >= n - 1), owner)
                 prefix, suffix = shorter[at], shorter[at + 1]
             else:
-                prefix = suffix = np.zeros(len(hashes), np.uint64)
-            own = _chosen(hashes, part, passes)
-            found, first, at, times = np.unique(hashes[own], return_index=True, return_inverse=True, return_counts=True)
-            ctx = np.bincount(at, follows[own], len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found.view(np.int64)), pa.array(prefix[own][first].view(np.int64)),
-                    pa.array(suffix[own][first].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(ctx),
-                ],
-                names=["gram", "prefix", "suffix", "n", "ctx"],
+                prefix = suffix = np.zeros(len(found), np.uint64)
+            yield from _in_parts(
+                pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found.view(np.int64)), pa.array(prefix.view(np.int64)),
+                        pa.array(suffix.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(ctx),
+                    ],
+                    names=["gram", "prefix", "suffix", "n", "ctx"],
+                )
             )
 
     counted = docs.select(text).mapInArrow(count, "gram long, prefix long, suffix long, n long, ctx long")
@@ -101,6 +113,7 @@ def document_grams(docs: DataFrame, n: int, part: int = 0, passes: int = 1) -> D
             own = _chosen(hashes, part, passes)
             own = own[np.argsort(hashes[own], kind="stable")]  # rows stay in order
             hashes, owner = hashes[own], owner[own]
+            del words, own
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
             at = np.flatnonzero(new)
@@ -111,7 +124,7 @@ def document_grams(docs: DataFrame, n: int, part: int = 0, passes: int = 1) -> D
             first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
             ends = np.append(first, len(at)).astype(np.int32) * ENTRY.itemsize
             held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), held], names=["gram", "docs"])
+            yield from _in_parts(pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), held], names=["gram", "docs"]))
 
     return docs.select("__key", "__text").mapInArrow(explode, "gram long, docs binary")
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from unittest import mock
 
 import duckdb
 import numpy as np
@@ -698,3 +699,28 @@ def test_backoff_ships_a_gram_once_a_batch(spark):
     assert all(sorted(x["key"]) == list(range(40)) for x in held) and sorted(x["times"].sum() for x in held) == [40, 40, 80]
     both = [x for part in range(2) for x in lm.document_grams(df, 2, part, 2).collect()]
     assert sorted(map(tuple, both)) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("made", [lambda df: lm.document_grams(df, 2), lambda df: lm.gram_counts(df, "__text", 2)])
+def test_backoff_hands_on_its_ngrams_in_bounded_batches(made, monkeypatch):
+    """The JVM holds an Arrow batch whole outside its heap, whatever its text was."""
+    seen = []
+
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            texts = pa.array([" ".join(f"{i}w{k}" for k in range(101)) for i in range(20)])
+            seen.extend(work(iter([pa.RecordBatch.from_arrays([pa.array(range(20)), texts], names=["__key", "__text"])])))
+            return self
+
+        def groupBy(self, *columns):  # noqa: N802
+            return self
+
+        agg = select
+
+    monkeypatch.setattr(lm, "SHIPPED", 300, raising=False)
+    monkeypatch.setattr(lm, "F", mock.MagicMock())
+    made(Table())
+    assert sum(b.num_rows for b in seen) == 2000 and max(b.num_rows for b in seen) <= 300
