@@ -111,3 +111,50 @@ def test_edit_search_by_an_index_beyond_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(strings, "ALL_PAIRS", 0)
     monkeypatch.setattr(strings, "knn_exact", None)
     assert rows(strings.knn_edit_searched(data, asked(data), 7, exclude_self=True)) == want
+
+
+@pytest.mark.parametrize("need", [None, 1, 12])
+def test_many_cells_are_met_by_groups(spark, monkeypatch, need):
+    """What all cells tell, from far fewer pairs; pivots that tell nothing are always read."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    table = np.vstack([rng.random((n - 6, 2)), [[np.nan, 0], [np.inf, 1], [1e200, 0], [0.5, 0.5], [0.5, 0.5], [0.5, 0.5]]])
+    lo, hi, cnt = rng.random(n) / 99, rng.random(n) / 30, rng.integers(1, 9, n)
+    hi = np.maximum(lo, hi)
+    hi[:3] = np.nan, np.inf, 0.4
+    own = [(i, table[i].tolist(), float(lo[i]), float(hi[i]), int(cnt[i])) for i in range(n)]
+    cells = spark.createDataFrame(own, "cell long, pobj array<double>, lo double, hi double, cnt long")
+    seek = [(i, rng.random(2).tolist(), float(r)) for i, r in enumerate([0.0, 0.02, 0.3, np.inf, np.nan] * 20)] + [(200, [np.nan, 1.0], 1.0), (201, [9.0, 9.0], 1.0)]
+    seek = spark.createDataFrame(seek, "qid long, qobj array<double>, radius double")
+    monkeypatch.setattr(pruned, "GROUPED", n)
+    found = lambda: sorted((r["qid"], r["cell"], round(r["radius"], 12) if r["radius"] == r["radius"] else None) for r in pruned._survey(cells, seek, need).collect())
+    want = found()
+    monkeypatch.setattr(pruned, "GROUPED", 512)
+    assert found() == want and len(want) > 1000
+    if need:
+        pairs, span = [], pruned._span
+        monkeypatch.setattr(pruned, "_span", lambda t, q: pairs.append(len(t) * len(q)) or span(t, q))
+        plain = np.isfinite((table * table).sum(1)) & np.isfinite(hi) & (hi < 0.4)
+        survey = pruned._Survey(table[plain], np.arange(n)[plain], lo[plain], hi[plain], cnt[plain], need)
+        pairs.clear()
+        survey.touched(rng.random((500, 2)), np.full(500, np.inf))
+        assert sum(pairs) < 500 * n / 4
+
+
+def test_parts_are_picked_as_by_the_fold(spark, points):
+    chosen = pivots.pivots_fft(points, 2)
+    assigned = pivots.assign_cells(points, chosen)
+    large = pivots.rings(assigned, chosen).select("cell", "pobj", F.lit(9).alias("parts"))
+    by_pairs = lambda a, b: knn.METRICS["l2"](a, b)
+    got, want = (pivots._parts_sampled(assigned, large, metric, 200) for metric in ("l2", by_pairs))
+    assert got.orderBy("cell").collect() == want.orderBy("cell").collect()
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_objects_of_one_file_are_assigned_by_all_tasks(spark, monkeypatch):
+    few = spark.range(200).select("id", F.array(F.rand(1), F.rand(2)).alias("obj")).coalesce(1)
+    met = []
+    monkeypatch.setattr(pivots, "assign_cells", lambda df, *a, f=pivots.assign_cells: met.append(df.rdd.getNumPartitions()) or f(df, *a))
+    monkeypatch.setattr(pivots, "SPREAD_PAIRS", 0, raising=False)
+    pivots.build_index(few, 20)
+    assert met == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
