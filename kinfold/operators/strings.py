@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.metrics import edit, usable
 from kinfold.operators.knn import distances, knn_exact, top_k
+from kinfold.operators.pivots import spread
 from kinfold.plans.staging import stage
 
 #: Classes by which the characters of a string are counted, each up to three.
@@ -28,7 +29,7 @@ LEVELS = ("once", "twice", "thrice")
 #: Characters of the longest string that stands beside each of its grams.
 CARRIED = 256
 #: The distances up to which a top-k search looks, one after the other.
-STEPS = (2, 4, 6)
+STEPS = (2, 3, 4, 6)
 #: Pairs of strings up to which a search without an index compares all.
 ALL_PAIRS = 1 << 24
 
@@ -73,7 +74,8 @@ class Strings:
     def __init__(self, data: DataFrame, gram: int = 2, carried: int = CARRIED) -> None:
         self.gram, self.carried = gram, carried
         self.data = usable(data, "id", "obj").select("id", "obj")
-        described = _described(self.data, "id", "obj").withColumn("obj", F.when(F.col("n") <= carried, F.col("text")))
+        # strings of few files, and so their grams, would be few tasks' in every search
+        described = _described(spread(self.data, "id"), "id", "obj").withColumn("obj", F.when(F.col("n") <= carried, F.col("text")))
         self.grams = stage(_grams(described, gram, "obj", "n", "levels").withColumnRenamed("own", "id"), "grams")
         self.uses = stage(self.grams.groupBy("gram").agg(F.count("*").alias("uses")), "uses")
 

@@ -122,3 +122,18 @@ def test_candidates_are_counted_where_they_are_verified(spark):
     seen = Observation()
     within = index.verified(asked, 3, seen=seen).count()
     assert 0 < within <= seen.get["tried"] == index.candidates(asked, 3).count()
+
+
+def test_few_files_of_strings_give_many_of_grams(spark):
+    index = strings.Strings(spark.range(200).select("id", F.concat(F.lit("string "), F.col("id")).alias("obj")).coalesce(1))
+    assert len(index.grams.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_near_queries_end_at_three_edits(spark, monkeypatch):
+    """Four edits meet twice the strings that three do."""
+    looked = []
+    monkeypatch.setattr(strings.Strings, "verified", lambda self, left, most, *a, f=strings.Strings.verified: looked.append(most) or f(self, left, most, *a))
+    rows = [(i, "abcdefghijklmnopqrstuvwxyz" + x * 3) for i, x in enumerate("01234567")]
+    data, asked = both(spark, rows)
+    got = strings.knn_edit(data, asked, 5, exclude_self=True).collect()
+    assert looked == [2, 3] and len(got) == 10 and {r["dist"] for r in got} == {3.0}
