@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import calibrate, knn, pivots, updates
 from kinfold.operators.nearest import Nearest, first_copies
-from kinfold.plans import pruned
+from kinfold.plans import pruned, queries
 from kinfold.streaming import topk
 
 
@@ -56,6 +56,15 @@ def test_search_by_an_index_of_its_own(spark, points, monkeypatch, exclude):
     assert rows(fit.select("qid", "kth_dist")) == sorted((r[0], r[3]) for r in want if r[1] == 7)
 
 
+def test_an_audit_finds_what_pruning_loses_at_any_size(spark, monkeypatch):
+    found, got = pruned._found, []
+    monkeypatch.setattr(pruned, "_found", lambda *a: found(*a).where("id % 3 <> 1"))  # the search loses a third
+    for most in (0, 1 << 28):
+        monkeypatch.setattr(pruned, "ALL_PAIRS", most)
+        got.append(rows(queries.recall_audit(spark, "/root/testdata/sf0.001")))
+    assert got[0] == got[1]
+
+
 def test_ablation_by_boxes(spark, points, monkeypatch):
     radii = knn.knn_exact(points, asked(points), 7, exclude_self=True).where("rank = 7").select("qid", F.col("dist").alias("radius"))
     radii = radii.union(spark.createDataFrame([(700, 1.0)], "qid long, radius double"))
