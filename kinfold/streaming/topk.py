@@ -180,7 +180,7 @@ def stream_lists(
         touched = stage(before.join(last.select("id"), "id", "left_semi").select("qid").distinct(), "touched")
         stale = asked.join(touched, "qid", "left_semi")
         still = asked.join(touched, "qid", "left_anti")
-        new = knn_searched(last.where("op = 'insert'").select("id", "obj"), still, k, metric, exclude_self)
+        new = knn_searched(last.where("op = 'insert'").select("id", "obj"), still, k, metric, exclude_self, knn_exact)
         kept = before.join(touched, "qid", "left_anti")
         found = top_k(kept.select("qid", "id", "dist").unionByName(new.select("qid", "id", "dist")), k)
         if not touched.isEmpty():
